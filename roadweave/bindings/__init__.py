@@ -5,6 +5,6 @@ from types import ModuleType
 
 def load() -> ModuleType:
     """Import all query groups and return the registry."""
-    from roadweave.bindings import columns, registry, tables  # noqa: F401
+    from roadweave.bindings import columns, files, registry, search, tables  # noqa: F401
 
     return registry

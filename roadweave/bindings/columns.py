@@ -8,6 +8,7 @@ from roadweave.bindings import proxies as P
 from roadweave.bindings.proxies import r6, s6
 from roadweave.bindings.registry import query
 from roadweave.functions import geo, keys, observe, scoring
+from roadweave.operators import areas, population
 
 c = F.col
 
@@ -27,7 +28,10 @@ def _boxes(spark, d):
 _BOXES = """WITH b AS (SELECT event_id, (event_id * 7 % 400 - 200)::DOUBLE AS w, (event_id * 3 % 200 - 100)::DOUBLE AS s,
     (event_id * 7 % 400 - 200)::DOUBLE + (event_id % 5 - 1)::DOUBLE AS e,
     (event_id * 3 % 200 - 100)::DOUBLE + (event_id % 3 - 1)::DOUBLE / 2 AS n FROM events) """
-_BOX = (c("w"), c("s"), c("e"), c("n"))
+
+
+def _box():
+    return c("w"), c("s"), c("e"), c("n")
 
 
 @query("c1_valid_bbox", _BOXES + """SELECT event_id, w BETWEEN -180 AND 180 AND e BETWEEN -180 AND 180 AND s BETWEEN -90 AND 90
@@ -37,7 +41,7 @@ _BOX = (c("w"), c("s"), c("e"), c("n"))
     WHEN w >= e THEN 'West must be less than East' WHEN s >= n THEN 'South must be less than North'
     ELSE 'Valid bbox' END AS message FROM b""")
 def _(spark, d):
-    return _boxes(spark, d).select("event_id", geo.valid_bbox(*_BOX).alias("v")).select("event_id", "v.ok", "v.message")
+    return _boxes(spark, d).select("event_id", geo.valid_bbox(*_box()).alias("v")).select("event_id", "v.ok", "v.message")
 
 
 _AREA = "(e - w) * (111.0::DOUBLE * cos(radians((s + n) / 2))) * ((n - s) * 111.0::DOUBLE)"
@@ -45,12 +49,12 @@ _AREA = "(e - w) * (111.0::DOUBLE * cos(radians((s + n) / 2))) * ((n - s) * 111.
 
 @query("c2_bbox_area_km2", _BOXES + f"SELECT event_id, {s6(_AREA)} AS area_km2 FROM b")
 def _(spark, d):
-    return _boxes(spark, d).select("event_id", r6(geo.bbox_area_km2(*_BOX)).alias("area_km2"))
+    return _boxes(spark, d).select("event_id", r6(geo.bbox_area_km2(*_box())).alias("area_km2"))
 
 
 @query("c3_oversize_bbox", _BOXES + f"SELECT event_id, {_AREA} > 25 AS oversize FROM b")
 def _(spark, d):
-    return _boxes(spark, d).select("event_id", geo.oversize_bbox(*_BOX).alias("oversize"))
+    return _boxes(spark, d).select("event_id", geo.oversize_bbox(*_box()).alias("oversize"))
 
 
 def _points(spark, d):
@@ -103,6 +107,10 @@ def _small_boxes(spark, d):
     )
 
 
+def _named(boxes):
+    return boxes.select("event_id", c("w").alias("west"), c("s").alias("south"), c("e").alias("east"), c("n").alias("north"))
+
+
 _SMALL = """WITH b0 AS (SELECT event_id, 20.0::DOUBLE + (event_id % 997) / 10000.0::DOUBLE AS w,
     50.0::DOUBLE + (event_id % 89) / 10000.0::DOUBLE AS s FROM events),
     b AS (SELECT event_id, w, s, w + (event_id % 7 + 1) / 100.0::DOUBLE AS e, s + (event_id % 5 + 1) / 100.0::DOUBLE AS n FROM b0) """
@@ -119,8 +127,7 @@ def _tx(lon: str) -> str:
 @query("c7_bbox_tiles", _SMALL + f"""SELECT event_id, x, unnest(range({_ty('n')}, {_ty('s')} + 1)) AS y
     FROM (SELECT *, unnest(range({_tx('w')}, {_tx('e')} + 1)) AS x FROM b)""")
 def _(spark, d):
-    tiles = geo.bbox_tiles(*_BOX, F.lit(12))
-    return _small_boxes(spark, d).select("event_id", F.explode(tiles).alias("t")).select("event_id", "t.x", "t.y")
+    return areas.bbox_tiles(_named(_small_boxes(spark, d)), 12).select("event_id", "x", "y")
 
 
 _SIZE = "greatest(3, least(20, trunc(sqrt(abs(e - w) * abs(n - s)) / 0.002)::INT))"
@@ -131,12 +138,12 @@ _SIZE = "greatest(3, least(20, trunc(sqrt(abs(e - w) * abs(n - s)) / 0.002)::INT
     FROM (SELECT event_id, i, j, s + (n - s) * (i / (g - 1)::DOUBLE) AS lat, w + (e - w) * (j / (g - 1)::DOUBLE) AS lon
       FROM (SELECT *, unnest(range(0, g)) AS j FROM (SELECT *, unnest(range(0, g)) AS i FROM (SELECT *, {_SIZE} AS g FROM b)))) GROUP BY 1""")
 def _(spark, d):
-    points = _small_boxes(spark, d).select("event_id", F.explode(geo.bbox_grid_points(*_BOX)).alias("p"))
-    place = c("p.i") * 100 + c("p.j")
+    points = areas.bbox_grid_points(_named(_small_boxes(spark, d)))
+    place = c("i") * 100 + c("j")
     return points.groupBy("event_id").agg(
-        F.count(F.lit(1)).alias("n"), r6(F.sum("p.lat")).alias("lat_sum"), r6(F.sum("p.lon")).alias("lon_sum"),
-        r6(F.max("p.lat")).alias("lat_max"), r6(F.min("p.lon")).alias("lon_min"),
-        r6(F.min_by("p.lon", place)).alias("first_lon"), r6(F.min_by("p.lon", F.abs(place - 1))).alias("second_lon"),
+        F.count(F.lit(1)).alias("n"), r6(F.sum("lat")).alias("lat_sum"), r6(F.sum("lon")).alias("lon_sum"),
+        r6(F.max("lat")).alias("lat_max"), r6(F.min("lon")).alias("lon_min"),
+        r6(F.min_by("lon", place)).alias("first_lon"), r6(F.min_by("lon", F.abs(place - 1))).alias("second_lon"),
     )
 
 
@@ -226,7 +233,7 @@ _ZONE = "greatest(1, least(60, floor((({w}) + 180) / 6)::INT + 1))"
 @query("c17_utm_epsg", _BOXES + f"""SELECT event_id, CASE WHEN (s + n) / 2 >= 0 THEN 'EPSG:326' ELSE 'EPSG:327' END ||
     lpad({_ZONE.format(w='(w + e) / 2')}::VARCHAR, 2, '0') AS epsg FROM b""")
 def _(spark, d):
-    return _boxes(spark, d).select("event_id", geo.utm_epsg(*_BOX).alias("epsg"))
+    return _boxes(spark, d).select("event_id", geo.utm_epsg(*_box()).alias("epsg"))
 
 
 def _utm_sql() -> str:
@@ -333,7 +340,7 @@ def _(spark, d):
 
 @query("c24_min_trip_distance", _SMALL + f"""SELECT event_id, {s6('least(1000.0, greatest(200.0, sqrt(((e - w) * 75000.0) ** 2 + ((n - s) * 111000.0) ** 2) * 0.1))')} AS metres FROM b""")
 def _(spark, d):
-    return _small_boxes(spark, d).select("event_id", r6(geo.min_trip_distance(*_BOX)).alias("metres"))
+    return _small_boxes(spark, d).select("event_id", r6(geo.min_trip_distance(*_box())).alias("metres"))
 
 
 @query("c25_speed_kmh", f"SELECT event_id, CASE WHEN value >= 3 THEN {s6('value * 3.6')} END AS kmh FROM events")
@@ -405,15 +412,15 @@ def _(spark, d):
     return pop.select("individual_id", keys.stable_seed(c("genes"), F.lit(42)).alias("seed"))
 
 
-_M = {n: c("metrics")[n] for n in (
-    "e_loss", "fail_total", "routing_failures", "teleports", "reliability_penalty", "worker_error", "error")}
+def _metrics():
+    return {n: c("metrics")[n] for n in population.METRIC_FIELDS}
 
 
 @query("c32_fail_total", P.sql("pop_base", "pop_loss", "population", select="""SELECT v AS individual_id,
     (coalesce(routing_failures, 0) + coalesce(teleports, 0))::BIGINT AS fail_total FROM population"""))
 def _(spark, d):
     return P.population(spark, d).select(
-        "individual_id", scoring.fail_total(_M["routing_failures"], _M["teleports"]).alias("fail_total")
+        "individual_id", scoring.fail_total(c("metrics.routing_failures"), c("metrics.teleports")).alias("fail_total")
     )
 
 
@@ -444,16 +451,16 @@ _RATED = ("pop_base", "pop_loss", "population", "scored", "rated")
 @query("c35_is_feasible", P.sql(*_RATED, select="SELECT v AS individual_id, feasible, fails::BIGINT AS fail_total FROM rated"))
 def _(spark, d):
     return P.population(spark, d).select(
-        "individual_id", scoring.is_feasible(c("loss"), _M).alias("feasible"),
-        scoring.effective_fail_total(_M).cast("bigint").alias("fail_total"),
+        "individual_id", scoring.is_feasible(c("loss"), _metrics()).alias("feasible"),
+        scoring.effective_fail_total(_metrics()).cast("bigint").alias("fail_total"),
     )
 
 
 @query("c36_effective_losses", P.sql(*_RATED, select="SELECT v AS individual_id, e_eff AS e_loss, pen AS penalty FROM rated"))
 def _(spark, d):
     return P.population(spark, d).select(
-        "individual_id", scoring.effective_e_loss(c("loss"), _M).alias("e_loss"),
-        scoring.effective_penalty(c("loss"), _M).alias("penalty"),
+        "individual_id", scoring.effective_e_loss(c("loss"), _metrics()).alias("e_loss"),
+        scoring.effective_penalty(c("loss"), _metrics()).alias("penalty"),
     )
 
 

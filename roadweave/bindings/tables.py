@@ -136,10 +136,10 @@ def _(spark, d):
 
 
 @query("j1_match_segments", P.sql("edge_lines", "edge_pieces", "segment_pieces", select=f"""SELECT area_id, segment_id, edge_id, current_speed,
-    {s6('1.0 - distance / 100')} AS match_confidence FROM (SELECT s.area_id, s.segment_id, e.edge_id, s.current_speed, min({piece_distance_sql()}) AS distance
-    FROM segment_pieces s JOIN edge_pieces e ON s.area_id = e.area_id GROUP BY ALL
-    QUALIFY row_number() OVER (PARTITION BY s.area_id, s.segment_id ORDER BY min({piece_distance_sql()}), e.edge_id) = 1)
-    WHERE distance <= 100 AND 1.0 - distance / 100 >= 0.1"""))
+    {s6('1.0 - distance / 100')} AS match_confidence FROM (SELECT *, row_number() OVER (PARTITION BY area_id, segment_id ORDER BY distance, edge_id) AS r
+    FROM (SELECT s.area_id, s.segment_id, e.edge_id, s.current_speed, min({piece_distance_sql()}) AS distance
+    FROM segment_pieces s JOIN edge_pieces e ON s.area_id = e.area_id GROUP BY 1, 2, 3, 4))
+    WHERE r = 1 AND distance <= 100 AND 1.0 - distance / 100 >= 0.1"""))
 def _(spark, d):
     matched = matching.match_segments(P.line_segments(spark, d), P.line_edges(spark, d))
     return matched.select("area_id", "segment_id", "edge_id", "current_speed", r6(c("match_confidence")).alias("match_confidence"))
@@ -391,7 +391,7 @@ def _(spark, d):
 
 
 @query("w1_top_mismatches", P.sql(*_SPEEDS, select="""SELECT scenario_id, edge_id, observed, simulated, error, note, rank FROM (
-    SELECT *, row_number() OVER (PARTITION BY scenario_id ORDER BY error DESC, edge_id, segment_id) AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY scenario_id ORDER BY error DESC, edge_id, segment_id)::INT AS rank FROM (
     SELECT scenario_id, edge_id, segment_id, round_even(current_speed, 1) AS observed, round_even(coalesce(speed_kmh, 0.0), 1) AS simulated,
     round_even(coalesce(abs(speed_kmh - current_speed), current_speed), 1) AS error,
     CASE WHEN speed_kmh IS NULL THEN '(No Traffic)' ELSE '' END AS note FROM joined)) WHERE rank <= 10"""))

@@ -84,47 +84,12 @@ def tile_to_lonlat(px: Column, py: Column, x: Column, y: Column, zoom: Column, e
     )
 
 
-def bbox_tiles(west: Column, south: Column, east: Column, north: Column, zoom: Column) -> Column:
-    """Array of ``struct<x, y>`` covering a box, x-major. Explode it for one row per tile."""
-    x1, x2 = tile_x(west, zoom), tile_x(east, zoom)
-    y1, y2 = tile_y(south, zoom), tile_y(north, zoom)
-    ys = F.sequence(F.least(y1, y2), F.greatest(y1, y2))
-    return F.flatten(
-        F.transform(
-            F.sequence(F.least(x1, x2), F.greatest(x1, x2)),
-            lambda tx: F.transform(ys, lambda ty: F.struct(tx.alias("x"), ty.alias("y"))),
-        )
-    )
-
-
 def grid_size(west: Column, south: Column, east: Column, north: Column) -> Column:
     # 0.002 degree spacing, at least 3 and at most 20 points a side.
     side = F.sqrt(F.abs(east - west) * F.abs(north - south)) / 0.002
     return F.greatest(F.lit(3), F.least(F.lit(20), side.cast("long"))).cast("int")
 
 
-def bbox_grid_points(west: Column, south: Column, east: Column, north: Column, size: Column | None = None) -> Column:
-    """Array of ``struct<i, j, lat, lon>``: south to north, then west to east, borders included."""
-    n = grid_size(west, south, east, north) if size is None else size
-    steps = F.sequence(F.lit(0), n - 1)
-
-    def place(low: Column, high: Column, step: Column) -> Column:
-        return F.when(n > 1, low + (high - low) * (step / (n - 1))).otherwise((low + high) / 2)
-
-    return F.flatten(
-        F.transform(
-            steps,
-            lambda i: F.transform(
-                steps,
-                lambda j: F.struct(
-                    i.alias("i"), j.alias("j"),
-                    place(south, north, i).alias("lat"), place(west, east, j).alias("lon"),
-                ),
-            ),
-        )
-    )
-
-
 def geometry_bbox(geometry: Column) -> Column:
     """``struct<west, south, east, north>`` of a point array, null when it is empty."""
     lons = F.transform(geometry, lambda p: p["lon"])

@@ -62,12 +62,12 @@ def stable_seed(genes: Column, base_seed: Column) -> Column:
 
 
 def uniform(seed: int, *parts: Column | str | int) -> Column:
-    """A number in [0, 1) that depends only on the arguments, never on the partitioning."""
-    cols = [F.lit(p) if isinstance(p, (str, int)) else p for p in parts]
+    """A number in [0, 1) that depends only on the named columns and values, never on the partitioning."""
+    cols = [F.lit(p) if isinstance(p, int) else F.col(p) if isinstance(p, str) else p for p in parts]
     return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 52)).cast("double") / float(1 << 52)
 
 
 def uniform_int(n: Column, seed: int, *parts: Column | str | int) -> Column:
     """A number in 0..n-1."""
-    cols = [F.lit(p) if isinstance(p, (str, int)) else p for p in parts]
+    cols = [F.lit(p) if isinstance(p, int) else F.col(p) if isinstance(p, str) else p for p in parts]
     return F.pmod(F.xxhash64(F.lit(seed), *cols), n.cast("bigint"))

@@ -24,23 +24,35 @@ def neighbor_lists(links: DataFrame) -> DataFrame:
     return pairs.join(degree, ["area_id", "from_edge"])
 
 
+# While the newest nodes are few, several hops run in one job; the rows may be more, the jobs are fewer.
+SMALL_FRONTIER = 200_000
+HOPS_PER_JOB = 4
+
+
 def spread(seeds: DataFrame, links: DataFrame, keys: list[str], max_hops: int | None = None) -> DataFrame:
     """All (keys, node) that the seeds (keys, node) reach along ``links`` (area_id, from_edge, to_edge).
 
-    ``keys`` starts with area_id. Each hop joins only the newest nodes and is materialised in the shared folder.
+    ``keys`` starts with area_id. Each job joins only the newest nodes and is written to the shared folder.
     """
     steps = links.select("area_id", F.col("from_edge").alias("node"), F.col("to_edge").alias("next"))
     frontier = cut(seeds.select(*keys, "node").distinct())
     visited = frontier
-    hop = 0
-    while not frontier.isEmpty() and (max_hops is None or hop < max_hops):
-        reached = (
-            frontier.join(steps, ["area_id", "node"]).select(*keys, F.col("next").alias("node")).distinct()
-        )
-        frontier = cut(reached.join(visited, [*keys, "node"], "left_anti"))
+    hop, jobs, size = 0, 0, frontier.count()
+    while size and (max_hops is None or hop < max_hops):
+        hops = HOPS_PER_JOB if size <= SMALL_FRONTIER else 1
+        if max_hops is not None:
+            hops = min(hops, max_hops - hop)
+        reached, layer = None, frontier
+        for step in range(1, hops + 1):
+            layer = layer.join(steps, ["area_id", "node"]).select(*keys, F.col("next").alias("node"))
+            # Copies are dropped after every second hop: one shuffle less, and at most one degree more rows.
+            layer = layer.distinct() if step % 2 == 0 and step < hops else layer
+            reached = layer if reached is None else reached.unionByName(layer)
+        frontier = cut(reached.distinct().join(visited, [*keys, "node"], "left_anti"))
+        size = frontier.count()
         visited = visited.unionByName(frontier)
-        hop += 1
-        if hop % 8 == 0:
+        hop, jobs = hop + hops, jobs + 1
+        if jobs % 8 == 0:
             visited = cut(visited)
     return visited
 

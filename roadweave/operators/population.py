@@ -446,6 +446,8 @@ def crowd(members: DataFrame, children: DataFrame, limit: int = CROWDING_LIMIT)
     else:
         small_members, small_children = members.join(large, keys, "left_anti"), children.join(large, keys, "left_anti")
         rest = _crowd_by_rounds(members.join(large, keys, "left_semi"), children.join(large, keys, "left_semi"))
+    # Fresh column ids: both sides may descend from the same table.
+    small_children = small_children.toDF(*small_children.columns)
     done = small_members.groupBy(*keys).cogroup(small_children.groupBy(*keys)).applyInPandas(_crowd, schema)
     return done if rest is None else done.unionByName(rest)
 

@@ -21,7 +21,8 @@ def evaluate_members(members: DataFrame, evaluate: Evaluate) -> DataFrame:
     ``loss`` and, if it has any, ``metrics``; a member that gets no loss back counts as failed."""
     known = members.select(*KEYS, "individual_id", "genes")
     result = evaluate(known)
-    empty = F.lit(None).cast(S.METRICS)
+    schema = S.struct(S.METRICS)
+    empty = F.lit(None).cast(schema)
     if "metrics" not in result.columns:
         result = result.withColumn("metrics", empty)
     given = result.select(*KEYS, "individual_id", F.col("loss").cast("double").alias("loss"), F.col("metrics"))
@@ -29,7 +30,7 @@ def evaluate_members(members: DataFrame, evaluate: Evaluate) -> DataFrame:
     lost = F.col("loss").isNull()
     failed = F.struct(
         *[
-            F.lit(v).cast(S.METRICS[n].dataType).alias(n)
+            F.lit(v).cast(schema[n].dataType).alias(n)
             for n, v in (
                 ("e_loss", float("inf")), ("fail_total", 1), ("routing_failures", 1), ("teleports", 0),
                 ("reliability_penalty", float("inf")), ("zero_flow_edges", None), ("total_vehicles", 0),
@@ -38,7 +39,7 @@ def evaluate_members(members: DataFrame, evaluate: Evaluate) -> DataFrame:
             )
         ]
     )
-    metrics = F.coalesce("metrics", F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in S.METRICS]))
+    metrics = F.coalesce("metrics", F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema]))
     return joined.select(
         *KEYS, "individual_id", "genes",
         F.when(lost, float("inf")).otherwise(F.col("loss")).alias("loss"),

@@ -23,7 +23,7 @@ def _xml(spark: SparkSession, path: str, row_tag: str, schema) -> DataFrame:
 
 def _extra(df: DataFrame, schema) -> list[str]:
     """Columns that come from partition directories."""
-    return [c for c in df.columns if c not in schema.fieldNames()]
+    return [c for c in df.columns if c not in S.struct(schema).fieldNames()]
 
 
 def parse_geometry_text(text):
@@ -164,14 +164,16 @@ def read_tile_features(spark: SparkSession, path: str) -> DataFrame:
     return explode_tiles(spark.read.schema(S.TILE_FILE).json(path))
 
 
-def scan_dataset_catalog(spark: SparkSession, root: str, source: str) -> DataFrame:
-    """Every readable ``<root>/<name>/dataset_meta.json`` with a valid box."""
+def scan_dataset_catalog(
+    spark: SparkSession, root: str, source: str, pattern: str = "*/dataset_meta.json"
+) -> DataFrame:
+    """Every readable metadata file ``<root>/<name>/dataset_meta.json`` with a valid box."""
     meta = (
         spark.read.schema(S.DATASET_META)
         .option("multiLine", True)
         .option("mode", "DROPMALFORMED")
-        .json(f"{root}/*/dataset_meta.json")
-        .withColumn("name", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/dataset_meta\.json$", 1))
+        .json(f"{root}/{pattern}")
+        .withColumn("name", F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+)/[^/]+$", 1))
     )
     box = [F.col(f"bbox.{side}") for side in ("west", "south", "east", "north")]
     return meta.where(geo.valid_bbox(*box)["ok"]).select(
@@ -193,7 +195,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 
 def scan_runs(spark: SparkSession, root: str) -> DataFrame:
     """Ids of all ``run_<id>`` directories below ``root``."""
-    run_id = F.regexp_extract("path", r"/run_([^/]+)/", 1)
+    run_id = F.regexp_extract("path", r"[/=]run_([^/]+)/", 1)
     return list_files(spark, root).select(run_id.alias("run_id")).where("run_id <> ''").distinct()
 
 
@@ -201,7 +203,7 @@ def read_pipeline_log(spark: SparkSession, path: str) -> DataFrame:
     """Lines with their run and a sortable position; parse them with ``parse_log_lines``."""
     position = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     return spark.read.text(path).select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"run_([^/]+)/", 1).alias("run_id"),
+        F.regexp_extract(F.col("_metadata.file_path"), r"[/=]run_([^/]+)/", 1).alias("run_id"),
         position.alias("line_no"),
         F.col("value").alias("line"),
     )

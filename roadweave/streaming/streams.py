@@ -8,7 +8,6 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -22,9 +21,7 @@ BatchSink = Callable[[DataFrame, int], None]
 def stream_segments(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
     """Landed point-sample responses as a stream of segments; the batch parser does the work."""
     raw = (
-        spark.readStream.schema(T.StructType(S.FLOW_RESPONSE.fields + [
-            T.StructField("area_id", T.StringType()), T.StructField("timestamp", T.TimestampType())
-        ]))
+        spark.readStream.schema(S.FLOW_RESPONSE + ", area_id string, timestamp timestamp")
         .option("maxFilesPerTrigger", files_per_trigger)
         .json(path)
     )
@@ -100,7 +97,7 @@ def stream_logs(spark: SparkSession, path: str, sink: BatchSink, n: int = 100) -
     """New log files (text) to the latest ``n`` parsed lines per run of the batch. Writers must roll files."""
     position = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     lines = spark.readStream.text(path).select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"run_([^/]+)/", 1).alias("run_id"),
+        F.regexp_extract(F.col("_metadata.file_path"), r"[/=]run_([^/]+)/", 1).alias("run_id"),
         F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"), F.col("_metadata"),
     )
 
