@@ -13,7 +13,6 @@ from roadweave.session import cut
 
 WEIGHT_SCALE = 1000
 WEIGHT_BUCKETS = 256
-DRAW_ALTERNATES = 4
 # The minimum distance shrinks by 0.8 at most 19 times before the search gives up.
 RELAXATION = 0.8
 RELAXATIONS = 19
@@ -33,14 +32,15 @@ def weighted_edges(edges: DataFrame) -> DataFrame:
 
 
 def draw_ends(weighted: DataFrame, areas: DataFrame, draws: str, seed: int) -> DataFrame:
-    """``draws`` weighted picks of two different edges per area (area_id, draw, origin, destination).
+    """``draws`` weighted picks of two different edges per area (area_id, draw, origin, destination, distance).
 
     Integer cumulative weights make the picks independent of partitioning. Edges are hashed into a fixed number of
-    buckets: a pick first finds its bucket in the short per-area table, then its edge among the bucket's edges.
+    buckets: a pick first finds its bucket in the short per-area table, then its edge among the bucket's edges. The
+    second pick draws from the weight that is left and steps over the interval of the first one.
     """
     within = W.partitionBy("area_id", "bucket").orderBy("edge_id").rowsBetween(W.unboundedPreceding, W.currentRow)
     cumulative = weighted.withColumn("hi", F.sum("weight").over(within)).select(
-        "area_id", "bucket", "edge_id", "centroid", (F.col("hi") - F.col("weight")).alias("lo"), "hi"
+        "area_id", "bucket", "edge_id", "centroid", "weight", (F.col("hi") - F.col("weight")).alias("lo"), "hi"
     )
     per_bucket = weighted.groupBy("area_id", "bucket").agg(F.sum("weight").alias("weight"))
     # At most WEIGHT_BUCKETS rows per area.
@@ -49,33 +49,35 @@ def draw_ends(weighted: DataFrame, areas: DataFrame, draws: str, seed: int) -> D
     table = bounds.groupBy("area_id").agg(
         F.array_sort(F.collect_list(F.struct("hi", "bucket", "weight"))).alias("table"), F.max("hi").alias("total")
     )
-    slots = explode_range(areas.select("area_id", F.col(draws).alias("_draws")), "_draws", "draw").select(
-        "area_id", "draw", F.explode(F.sequence(F.lit(0), F.lit(DRAW_ALTERNATES))).alias("slot")
-    )
-    aimed = slots.join(table, "area_id").withColumn("_x", K.uniform_int(F.col("total"), seed, "area_id", "draw", "slot"))
-    hit = F.filter("table", lambda t: t["hi"] > F.col("_x"))[0]
-    aimed = aimed.withColumn("_hit", hit).select(
-        "area_id", "draw", "slot", F.col("_hit.bucket").alias("bucket"),
-        (F.col("_x") - (F.col("_hit.hi") - F.col("_hit.weight"))).alias("_x"),
+
+    def find(aimed: DataFrame, keep: list[str]) -> DataFrame:
+        """The edge whose interval holds ``_x``; adds edge_id, centroid, weight and the start of the interval."""
+        hit = F.try_element_at(F.filter("table", lambda t: t["hi"] > F.col("_x")), F.lit(1))
+        placed = aimed.join(table.select("area_id", "table"), "area_id").withColumn("_hit", hit)
+        start = F.col("_hit.hi") - F.col("_hit.weight")
+        local = placed.select(*keep, F.col("_hit.bucket").alias("bucket"), start.alias("_start"), (F.col("_x") - start).alias("_x"))
+        met = local.join(cumulative, ["area_id", "bucket"]).where((F.col("_x") >= F.col("lo")) & (F.col("_x") < F.col("hi")))
+        return met.select(*keep, "edge_id", "centroid", "weight", (F.col("_start") + F.col("lo")).alias("start"))
+
+    slots = explode_range(areas.select("area_id", F.col(draws).alias("_draws")), "_draws", "draw").select("area_id", "draw")
+    totals = table.select("area_id", "total")
+    first = slots.join(totals, "area_id").withColumn(
+        "_x", K.uniform_int(F.col("total"), seed, "area_id", "draw", F.lit("origin"))
     )
-    picked = aimed.join(cumulative, ["area_id", "bucket"]).where(
-        (F.col("_x") >= F.col("lo")) & (F.col("_x") < F.col("hi"))
+    origins = find(first, ["area_id", "draw", "total"]).select(
+        "area_id", "draw", F.col("edge_id").alias("origin"), F.col("centroid").alias("o"), "start", "weight",
+        (F.col("total") - F.col("weight")).alias("_left"),
     )
-    edge = F.struct("edge_id", "centroid")
-    by_draw = picked.groupBy("area_id", "draw").agg(
-        F.max(F.when(F.col("slot") == 0, edge)).alias("o"),
-        F.array_sort(F.collect_list(F.when(F.col("slot") > 0, F.struct("slot", edge.alias("edge"))))).alias("alternates"),
+    rest = K.uniform_int(F.col("_left"), seed, "area_id", "draw", F.lit("destination"))
+    second = (
+        origins.where("_left > 0")
+        .withColumn("_y", rest)
+        .withColumn("_x", F.when(F.col("_y") < F.col("start"), F.col("_y")).otherwise(F.col("_y") + F.col("weight")))
+        .select("area_id", "draw", "origin", "o", "_x")
     )
-    other = F.filter("alternates", lambda a: a["edge"]["edge_id"] != F.col("o.edge_id"))
-    return (
-        by_draw.withColumn("_d", F.get(other, F.lit(0))["edge"])
-        .where("_d is not null")
-        .select(
-            "area_id", "draw", F.col("o.edge_id").alias("origin"), F.col("_d.edge_id").alias("destination"),
-            F.hypot(
-                F.col("_d.centroid.x") - F.col("o.centroid.x"), F.col("_d.centroid.y") - F.col("o.centroid.y")
-            ).alias("distance"),
-        )
+    return find(second, ["area_id", "draw", "origin", "o"]).select(
+        "area_id", "draw", "origin", F.col("edge_id").alias("destination"),
+        F.hypot(F.col("centroid.x") - F.col("o.x"), F.col("centroid.y") - F.col("o.y")).alias("distance"),
     )
 
 

@@ -79,6 +79,52 @@ def _cells(low, high, size: float):
     return F.sequence(F.floor(low / size), F.floor(high / size))
 
 
+def _flat_pieces(shapes: DataFrame, keep: list[str], side: str) -> DataFrame:
+    """One row per piece with its ends, its direction and the inverse of its squared length (0 for a point)."""
+    pieces = shapes.select(*keep, F.explode(geo.line_pieces(F.col("geometry"))).alias("_p"))
+    named = pieces.select(*keep, *[F.col(f"_p.{c}").alias(f"{side}{c}") for c in ("x1", "y1", "x2", "y2")])
+    dx, dy = F.col(f"{side}x2") - F.col(f"{side}x1"), F.col(f"{side}y2") - F.col(f"{side}y1")
+    return named.withColumns({f"{side}dx": dx, f"{side}dy": dy}).withColumn(
+        f"{side}inv", F.coalesce(F.try_divide(F.lit(1.0), F.col(f"{side}dx") ** 2 + F.col(f"{side}dy") ** 2), F.lit(0.0))
+    )
+
+
+def _in_cells(pieces: DataFrame, side: str, reach: float, size: float) -> DataFrame:
+    """Copy every piece to the grid cells its bounds, grown by ``reach``, touch."""
+    gridded = pieces
+    for axis in ("x", "y"):
+        one, two = F.col(f"{side}{axis}1"), F.col(f"{side}{axis}2")
+        cells = _cells(F.least(one, two) - reach, F.greatest(one, two) + reach, size)
+        gridded = gridded.select("*", F.explode(cells).alias(f"cell_{axis}"))
+    return gridded
+
+
+def _piece_distance(pairs: DataFrame) -> DataFrame:
+    """Adds ``distance`` between the pieces of sides ``s`` and ``e``.
+
+    Built column by column, so that each step compiles to a small method of its own.
+    """
+    c = F.col
+    ends = [("s", 1, "e"), ("s", 2, "e"), ("e", 1, "s"), ("e", 2, "s")]
+    for p, end, q in ends:
+        along = (c(f"{p}x{end}") - c(f"{q}x1")) * c(f"{q}dx") + (c(f"{p}y{end}") - c(f"{q}y1")) * c(f"{q}dy")
+        pairs = pairs.withColumn(f"_t{p}{end}", F.greatest(F.lit(0.0), F.least(F.lit(1.0), along * c(f"{q}inv"))))
+    offsets = {}
+    for p, end, q in ends:
+        for axis in ("x", "y"):
+            foot = c(f"{q}{axis}1") + c(f"_t{p}{end}") * c(f"{q}d{axis}")
+            offsets[f"_{axis}{p}{end}"] = c(f"{p}{axis}{end}") - foot
+    pairs = pairs.withColumns(offsets)
+    squares = [c(f"_x{p}{end}") * c(f"_x{p}{end}") + c(f"_y{p}{end}") * c(f"_y{p}{end}") for p, end, _ in ends]
+    sides = {
+        f"_side{p}{end}": c(f"{q}dx") * (c(f"{p}y{end}") - c(f"{q}y1")) - c(f"{q}dy") * (c(f"{p}x{end}") - c(f"{q}x1"))
+        for p, end, q in ends
+    }
+    pairs = pairs.withColumns({**sides, "_near": F.least(*squares)})
+    crossing = (c("_sides1") * c("_sides2") < 0) & (c("_sidee1") * c("_sidee2") < 0)
+    return pairs.withColumn("distance", F.when(crossing, 0.0).otherwise(F.sqrt("_near")))
+
+
 def match_segments(
     segments: DataFrame, edges: DataFrame, max_distance: float = 100.0, min_confidence: float = 0.1
 ) -> DataFrame:
@@ -87,44 +133,23 @@ def match_segments(
     Both sides hold planar ``geometry`` (x, y points) and an ``area_id``. Copies collapse first: a geometry
     seen in many snapshots is matched once and edges with equal pieces compete as their smallest id. The
     candidates then meet on grid cells, and the nearest one is a mergeable minimum, so nothing is ranked
-    or collected per segment.
+    or collected per segment. Only the reach that can still give ``min_confidence`` is searched.
     """
-    points = F.col("geometry")
-    usable = segments.where(F.size(points) >= 2).withColumn("_gkey", F.sha1(F.to_json(points)))
+    reach = max_distance * (1.0 - min_confidence) * (1.0 + 1e-9)
+    usable = segments.where(F.size("geometry") >= 2).withColumn("_gkey", F.unhex(F.sha1(F.to_json("geometry"))))
     shapes = usable.groupBy("area_id", "_gkey").agg(F.first("geometry").alias("geometry"))
-    reach = max_distance
-
-    seg_pieces = shapes.select("area_id", "_gkey", F.explode(geo.line_pieces(points)).alias("s"))
-    seg_cells = seg_pieces.select(
-        "area_id", "_gkey", "s",
-        F.explode(_cells(F.least("s.x1", "s.x2") - reach, F.greatest("s.x1", "s.x2") + reach, max_distance)).alias("cx"),
-    ).select(
-        "area_id", "_gkey", "s", "cx",
-        F.explode(_cells(F.least("s.y1", "s.y2") - reach, F.greatest("s.y1", "s.y2") + reach, max_distance)).alias("cy"),
-    )
+    seg_cells = _in_cells(_flat_pieces(shapes, ["area_id", "_gkey"], "s"), "s", reach, max_distance)
+    ends = ["ex1", "ey1", "ex2", "ey2"]
     edge_pieces = (
-        edges.where(F.size(points) >= 2)
-        .select("area_id", "edge_id", F.explode(geo.line_pieces(points)).alias("e"))
-        .groupBy("area_id", "e")
+        _flat_pieces(edges.where(F.size("geometry") >= 2), ["area_id", "edge_id"], "e")
+        .groupBy("area_id", *ends, "edx", "edy", "einv")
         .agg(F.min("edge_id").alias("edge_id"))
     )
-    edge_cells = edge_pieces.select(
-        "area_id", "edge_id", "e",
-        F.explode(_cells(F.least("e.x1", "e.x2"), F.greatest("e.x1", "e.x2"), max_distance)).alias("cx"),
-    ).select(
-        "area_id", "edge_id", "e", "cx",
-        F.explode(_cells(F.least("e.y1", "e.y2"), F.greatest("e.y1", "e.y2"), max_distance)).alias("cy"),
-    )
-    distance = geo.segment_distance(
-        F.col("s.x1"), F.col("s.y1"), F.col("s.x2"), F.col("s.y2"),
-        F.col("e.x1"), F.col("e.y1"), F.col("e.x2"), F.col("e.y2"),
-    )
+    edge_cells = _in_cells(edge_pieces, "e", 0.0, max_distance)
+    candidates = _piece_distance(seg_cells.join(edge_cells, ["area_id", "cell_x", "cell_y"]))
     nearest = (
-        seg_cells.join(edge_cells, ["area_id", "cx", "cy"])
-        .select("area_id", "_gkey", F.struct(distance.alias("distance"), "edge_id").alias("hit"))
-        .where(F.col("hit.distance") <= max_distance)
-        .groupBy("area_id", "_gkey")
-        .agg(F.min("hit").alias("hit"))
+        candidates.groupBy("area_id", "_gkey")
+        .agg(F.min(F.when(F.col("distance") <= max_distance, F.struct("distance", "edge_id"))).alias("hit"))
         .select(
             "area_id", "_gkey", F.col("hit.edge_id").alias("edge_id"),
             observe.match_confidence(F.col("hit.distance"), max_distance).alias("match_confidence"),
