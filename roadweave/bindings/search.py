@@ -375,6 +375,17 @@ def _(spark, d):
     return population.random_candidates(_runs(spark, d)).withColumn("genes", F.concat_ws(",", "genes"))
 
 
+@query("p1_candidates_in_bounds", """SELECT DISTINCT 'run_' || (o_custkey // 300) AS run_id, 20::BIGINT AS candidates, 16::INT AS genome_size, true AS in_bounds,
+    o_custkey // 300 % 2 = 1 AS dense FROM orders""")
+def _(spark, d):
+    zeros = F.size(F.filter("genes", lambda g: g == 0))
+    # Sparse runs switch six of ten genes off; dense ones draw a zero once in ten genes.
+    return population.random_candidates(_runs(spark, d)).groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("candidates"), F.max(F.size("genes")).alias("genome_size"),
+        F.bool_and(F.forall("genes", lambda g: g.between(0, 9))).alias("in_bounds"), (F.avg(zeros) < 5).alias("dense"),
+    )
+
+
 _PARENTS = P.sql(*_RATED, select="SELECT 1").removesuffix("SELECT 1").rstrip() + """,
     ranked AS (SELECT *, row_number() OVER (PARTITION BY run_id, generation ORDER BY e_eff, v) - 1 AS e_rank,
       count(*) OVER (PARTITION BY run_id, generation) AS n, count(*) FILTER (feasible) OVER (PARTITION BY run_id, generation) AS feasible_count FROM rated),
@@ -410,6 +421,16 @@ def _(spark, d):
     )
 
 
+@query("p3_winners_come_from_the_pool", P.sql("pop_base", select="""SELECT run_id, generation, count(*) AS winners, true AS from_pool FROM pop_base GROUP BY 1, 2"""))
+def _(spark, d):
+    scores = population.parent_scores(P.population(spark, d))
+    pool = scores.select("run_id", "generation", c("individual_id").alias("parent_id"), F.lit(True).alias("known"))
+    won = population.tournament(scores).join(pool, ["run_id", "generation", "parent_id"], "left")
+    return won.groupBy("run_id", "generation").agg(
+        F.count(F.lit(1)).alias("winners"), F.bool_and(F.coalesce("known", F.lit(False))).alias("from_pool")
+    )
+
+
 def _as_parents(spark, d):
     return P.population(spark, d).select(
         "run_id", "generation", c("individual_id").alias("child_id"), "genes", "loss", "metrics"
@@ -435,6 +456,28 @@ def _(spark, d):
     return population.crossover(population.mate_pairs(_as_parents(spark, d))).withColumn("genes", F.concat_ws(",", "genes"))
 
 
+@query("p5_crossover_keeps_genes", P.sql("pop_base", "pop_loss", select="""SELECT a.run_id, a.generation, a.r AS pair_no, a.magnitude + b.magnitude AS gene_total FROM
+    (SELECT *, row_number() OVER (PARTITION BY run_id, generation ORDER BY magnitude, v) - 1 AS r, count(*) OVER (PARTITION BY run_id, generation) AS n FROM pop_loss) a
+    JOIN (SELECT *, row_number() OVER (PARTITION BY run_id, generation ORDER BY magnitude, v) - 1 AS r FROM pop_loss) b
+    ON a.run_id = b.run_id AND a.generation = b.generation AND b.r = a.n - 1 - a.r WHERE a.r < a.n // 2"""))
+def _(spark, d):
+    kids = population.crossover(population.mate_pairs(_as_parents(spark, d)), 1.0)
+    return kids.groupBy("run_id", "generation", "pair_no").agg(F.sum(population.gene_sum(c("genes"))).alias("gene_total"))
+
+
+@query("p6_mutation_rules", P.sql("pop_base", select="""SELECT run_id, generation, count(*) AS members, true AS rest_kept, true AS floored FROM pop_base GROUP BY 1, 2"""))
+def _(spark, d):
+    parents = _as_parents(spark, d)
+    moved = population.mutate(parents).join(
+        parents.select("run_id", "generation", "child_id", c("genes").alias("before")), ["run_id", "generation", "child_id"]
+    )
+    step = F.zip_with("genes", "before", lambda g, b: (g == b) | (g >= 0))
+    return moved.groupBy("run_id", "generation").agg(
+        F.count(F.lit(1)).alias("members"), F.bool_and(c("mutated") | (c("genes") == c("before"))).alias("rest_kept"),
+        F.bool_and(F.forall(step, lambda ok: ok)).alias("floored"),
+    )
+
+
 @query("p6_mutate")
 def _(spark, d):
     return population.mutate(_as_parents(spark, d)).select(
@@ -450,11 +493,29 @@ def _next_generation(spark, d):
     return old, new
 
 
-@query("p7_replace_crowding")
+# The replacement as a fold: one step per child over the list of members that are not equal to an elite.
+_CROWDING = P.sql("pop_base", "pop_loss", select="SELECT 1").replace("WITH ", "WITH RECURSIVE ", 1).removesuffix("SELECT 1").rstrip() + """,
+    old AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY loss, v) AS r FROM pop_loss WHERE generation = 0),
+    young AS (SELECT run_id, genes, loss, row_number() OVER (PARTITION BY run_id ORDER BY v) AS k FROM pop_loss WHERE generation = 1),
+    rest AS (SELECT run_id, list(genes ORDER BY v) AS genes, list(loss ORDER BY v) AS losses FROM old o
+      WHERE NOT EXISTS (SELECT 1 FROM old e WHERE e.run_id = o.run_id AND e.r <= 2 AND e.genes = o.genes) GROUP BY 1),
+    fold AS (SELECT run_id, 0::BIGINT AS k, genes, losses FROM rest UNION ALL SELECT run_id, k,
+        list_transform(range(1, len(genes) + 1), lambda i: CASE WHEN i = near AND c_loss < losses[near] THEN c_genes ELSE genes[i] END),
+        list_transform(range(1, len(genes) + 1), lambda i: CASE WHEN i = near AND c_loss < losses[near] THEN c_loss ELSE losses[i] END)
+      FROM (SELECT *, list_position(distances, list_min(distances)) AS near FROM (
+        SELECT f.run_id, y.k, f.genes, f.losses, y.genes AS c_genes, y.loss AS c_loss, list_transform(f.genes, lambda g:
+        list_sum(list_transform(range(1, 17), lambda i: (g[i] - y.genes[i]) * (g[i] - y.genes[i])))) AS distances
+        FROM fold f JOIN young y ON y.run_id = f.run_id AND y.k = f.k + 1))),
+    done AS (SELECT run_id, unnest(genes) AS genes, unnest(losses) AS loss FROM fold f WHERE k = (SELECT max(k) FROM young y WHERE y.run_id = f.run_id)
+      UNION ALL SELECT run_id, genes, loss FROM old WHERE r <= 2)
+    SELECT run_id, 0::BIGINT AS generation, loss, array_to_string(genes, ',') AS genes FROM done"""
+
+
+@query("p7_replace_crowding", _CROWDING)
 def _(spark, d):
     old, new = _next_generation(spark, d)
     return population.replace_population(old, new, None, population_size=1000).select(
-        "run_id", "generation", "individual_id", "loss", F.concat_ws(",", "genes").alias("genes")
+        "run_id", "generation", "loss", F.concat_ws(",", "genes").alias("genes")
     )
 
 
@@ -481,3 +542,15 @@ def _(spark, d):
     runs = _runs(spark, d).select("run_id", "genome_size", "lower_bound", "upper_bound", "activation")
     _, stats = search.evolve(runs, distance_to_target, 2, population_size=20, sigma=3.0)
     return stats.select("run_id", "generation", "best_loss", "mean_loss", "genotypic_diversity")
+
+
+@query("p8_evolve_never_rises", """SELECT DISTINCT 'run_' || (o_custkey // 300) AS run_id, 2::BIGINT AS generations, true AS never_rises, true AS size_kept FROM orders""")
+def _(spark, d):
+    runs = _runs(spark, d).select("run_id", "genome_size", "lower_bound", "upper_bound", "activation")
+    history, _ = search.evolve(runs, distance_to_target, 2, population_size=20, sigma=3.0)
+    per_step = history.groupBy("run_id", "generation").agg(F.min("loss").alias("best"), F.count(F.lit(1)).alias("n"))
+    series = per_step.groupBy("run_id").agg(
+        (F.count(F.lit(1)) - 1).alias("generations"), F.array_sort(F.collect_list(F.struct("generation", "best"))).alias("s"), F.max("n").alias("most")
+    )
+    falling = F.forall(F.sequence(F.lit(1), F.size("s") - 1), lambda i: F.get("s", i)["best"] <= F.get("s", i - 1)["best"])
+    return series.select("run_id", "generations", falling.alias("never_rises"), (c("most") <= 20).alias("size_kept"))

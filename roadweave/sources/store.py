@@ -28,8 +28,9 @@ def materialize(inputs: DataFrame, build: Callable[[DataFrame], DataFrame], root
         missing = inputs.join(stored, key, "left_anti")
     except AnalysisException:
         missing = inputs
-    build(missing).write.mode("append").partitionBy(key).parquet(root)
-    result = spark.read.parquet(root).withColumn(key, F.col(key).cast("string"))
+    built = build(missing)
+    built.write.mode("append").partitionBy(key).parquet(root)
+    result = spark.read.schema(built.schema).parquet(root).select(*built.columns)
     return result.join(inputs.select(key).distinct(), key, "left_semi")
 
 
