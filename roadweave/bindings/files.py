@@ -19,6 +19,7 @@ c = F.col
 
 
 def _xml(df, path, root, row, by=None):
+    df = df.repartition(by) if by else df
     w = df.write.format("xml").option("rootTag", root).option("rowTag", row)
     (w.partitionBy(by) if by else w).save(path)
 
@@ -232,7 +233,7 @@ def _(spark, d):
         F.concat(F.lit("ds"), k.cast("string")).alias("dataset"), F.concat(F.lit("ds"), k.cast("string")).alias("dataset_name"),
         box.alias("bbox"), F.struct((k % 101).cast("double").alias("score"), F.lit("good").alias("label")).alias("quality"),
     )
-    writers.write_meta_json(meta, root, "dataset")
+    writers.write_meta_json(meta.repartition("dataset"), root, "dataset")
     found = readers.scan_dataset_catalog(spark, root, "packaged", "*/*.json")
     return found.select("id", "name", "west", "quality_label", "quality_score")
 

@@ -24,39 +24,55 @@ def neighbor_lists(links: DataFrame) -> DataFrame:
     return pairs.join(degree, ["area_id", "from_edge"])
 
 
-# While the newest nodes are few, several hops run in one job; the rows may be more, the jobs are fewer.
-SMALL_FRONTIER = 200_000
-HOPS_PER_JOB = 4
-
-
 def spread(seeds: DataFrame, links: DataFrame, keys: list[str], max_hops: int | None = None) -> DataFrame:
     """All (keys, node) that the seeds (keys, node) reach along ``links`` (area_id, from_edge, to_edge).
 
-    ``keys`` starts with area_id. Each job joins only the newest nodes and is written to the shared folder.
+    ``keys`` starts with area_id. Each round joins only the newest nodes and is written to the shared folder.
     """
     steps = links.select("area_id", F.col("from_edge").alias("node"), F.col("to_edge").alias("next"))
     frontier = cut(seeds.select(*keys, "node").distinct())
     visited = frontier
-    hop, jobs, size = 0, 0, frontier.count()
-    while size and (max_hops is None or hop < max_hops):
-        hops = HOPS_PER_JOB if size <= SMALL_FRONTIER else 1
-        if max_hops is not None:
-            hops = min(hops, max_hops - hop)
-        reached, layer = None, frontier
-        for step in range(1, hops + 1):
-            layer = layer.join(steps, ["area_id", "node"]).select(*keys, F.col("next").alias("node"))
-            # Copies are dropped after every second hop: one shuffle less, and at most one degree more rows.
-            layer = layer.distinct() if step % 2 == 0 and step < hops else layer
-            reached = layer if reached is None else reached.unionByName(layer)
-        frontier = cut(reached.distinct().join(visited, [*keys, "node"], "left_anti"))
-        size = frontier.count()
+    hop = 0
+    while not frontier.isEmpty() and (max_hops is None or hop < max_hops):
+        reached = frontier.join(steps, ["area_id", "node"]).select(*keys, F.col("next").alias("node")).distinct()
+        frontier = cut(reached.join(visited, [*keys, "node"], "left_anti"))
         visited = visited.unionByName(frontier)
-        hop, jobs = hop + hops, jobs + 1
-        if jobs % 8 == 0:
+        hop += 1
+        if hop % 8 == 0:
             visited = cut(visited)
     return visited
 
 
+SHORTCUT_GROWTH = 6
+SHORTCUT_ROUNDS = 2
+
+
+def shortcuts(links: DataFrame, growth: int = SHORTCUT_GROWTH, rounds: int = SHORTCUT_ROUNDS) -> DataFrame:
+    """Links plus the pairs two, four, eight ... hops apart, as long as the table stays below ``growth`` times its size.
+
+    What is reachable does not change, but each round of a traversal gets that much further.
+    """
+    limit = links.count() * growth
+    for _ in range(rounds):
+        onward = links.select("area_id", F.col("from_edge").alias("to_edge"), F.col("to_edge").alias("far"))
+        # The exact number of joined rows is known from the degrees before any of them is built.
+        out = links.groupBy("area_id", F.col("from_edge").alias("node")).agg(F.count(F.lit(1)).alias("o"))
+        into = links.groupBy("area_id", F.col("to_edge").alias("node")).agg(F.count(F.lit(1)).alias("i"))
+        paths = out.join(into, ["area_id", "node"]).agg(F.sum(F.col("o").cast("double") * F.col("i"))).first()[0] or 0
+        if paths == 0 or paths > limit:
+            break
+        longer = links.join(onward, ["area_id", "to_edge"]).select("area_id", "from_edge", F.col("far").alias("to_edge"))
+        grown = cut(links.unionByName(longer).distinct())
+        size = grown.count()
+        if size > limit:
+            break
+        done = size == links.count()
+        links = grown
+        if done:
+            break
+    return links
+
+
 def reachable(pairs: DataFrame, links: DataFrame, max_hops: int | None = None, pivot_rounds: int = 1) -> DataFrame:
     """Pairs (area_id, origin, destination) with a route, as distinct rows.
 
@@ -76,12 +92,13 @@ def reachable(pairs: DataFrame, links: DataFrame, max_hops: int | None = None, p
     )
     found = same
     if max_hops is None:
-        used = None
+        reach, used = shortcuts(links), None
         for _ in range(pivot_rounds):
             pivots = _pivots(links, open_pairs, used)
             used = pivots if used is None else used.unionByName(pivots)
-            yes, open_pairs = _decide_by_pivot(open_pairs, links, pivots)
+            yes, open_pairs = _decide_by_pivot(open_pairs, reach, pivots)
             found = found.unionByName(yes)
+        links = reach
     origins = open_pairs.select("area_id", "origin").distinct()
     seeds = origins.withColumn("node", F.col("origin"))
     visited = spread(seeds, links, ["area_id", "origin"], max_hops)

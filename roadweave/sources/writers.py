@@ -34,13 +34,16 @@ def write_trips_xml(trips: DataFrame, path: str, mode: str = "error") -> None:
 
 
 def write_agents(trips: DataFrame, path: str, mode: str = "error") -> None:
-    """Agents as CSV and the index dictionaries as JSON, both split by run."""
-    index_agents(trips).write.mode(mode).partitionBy("run_id").option("header", True).csv(f"{path}/agents")
+    """Agents as CSV and the index dictionaries as JSON, both split by run.
+
+    Range partitions keep the rows of a run together, and a large run in several files.
+    """
+    index_agents(trips).repartitionByRange("run_id", "id").write.mode(mode).partitionBy("run_id").option("header", True).csv(f"{path}/agents")
     od_dictionary(trips).orderBy("run_id", "role", "idx").write.mode(mode).partitionBy("run_id").json(f"{path}/od")
 
 
 def write_speed_comparison(comparison: DataFrame, path: str, mode: str = "error") -> None:
-    comparison.write.mode(mode).partitionBy("scenario_id").option("header", True).csv(path)
+    comparison.repartitionByRange("scenario_id", "edge_id").write.mode(mode).partitionBy("scenario_id").option("header", True).csv(path)
 
 
 def write_meta_json(records: DataFrame, path: str, partition_by: str | None = None, mode: str = "error") -> None:
