@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from roadweave.functions import keys as K, scoring
 from roadweave.functions.scoring import effective_e_loss, effective_fail_total, effective_penalty, is_feasible
 from roadweave.operators.ordering import explode_range, number_rows, running_min
+from roadweave.session import cut, pickle_by_value
+
+pickle_by_value(__name__)
 
 # Fixed value: at most this many pairs enter the genotypic diversity.
 DIVERSITY_PAIRS = 200
@@ -406,8 +409,6 @@ def _crowd(members: pd.DataFrame, children: pd.DataFrame) -> pd.DataFrame:
 
 def _crowd_by_rounds(members: DataFrame, children: DataFrame) -> DataFrame:
     """The same replacement for populations too large for one task: one distributed round per child."""
-    from roadweave.session import cut
-
     keys = ["run_id", "generation"]
     numbered = cut(number_rows(children.where("loss is not null"), keys, ["individual_id"], "_turn"))
     members = cut(members)

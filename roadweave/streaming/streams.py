@@ -13,8 +13,11 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from roadweave import schema as S
 from roadweave.operators import cleaning, logs, matching, quality
+from roadweave.session import pickle_by_value
 from roadweave.sources.readers import explode_tiles
 
+pickle_by_value(__name__)
+
 BatchSink = Callable[[DataFrame, int], None]
 
 
