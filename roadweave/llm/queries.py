@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from roadweave.llm import mixing, packing, quality_rules
-from roadweave.llm.common import table
+from roadweave.llm import language_id, license_scan, mixing, packing, quality_rules
+from roadweave.llm.common import crc_bucket, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,9 +25,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_bucket("doc_id", 3) == 1
+    return language_id.identify(docs, language_id.fit(docs.where(~held_out)), held_out)
+
+
 QUERIES: dict[str, Query] = {
+    "op2_license_scan": op2_license_scan,
     "op6_mixing": op6_mixing,
     "op7_quality_rules": op7_quality_rules,
+    "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
 }
 
