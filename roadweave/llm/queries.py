@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from roadweave.llm import language_id, license_scan, mixing, packing, quality_rules
+from roadweave.llm import language_id, license_scan, mixing, packing, quality_rules, toxicity, url_filter
 from roadweave.llm.common import crc_bucket, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,10 +35,22 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs.where(~held_out)), held_out)
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_bucket("doc_id", 5) == 0
+    return toxicity.score(docs, toxicity.fit(docs.where(~held_out), table(spark, sf_dir, "labels")), held_out)
+
+
 QUERIES: dict[str, Query] = {
     "op2_license_scan": op2_license_scan,
+    "op4_url_filter": op4_url_filter,
     "op6_mixing": op6_mixing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
 }
