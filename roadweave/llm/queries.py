@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from roadweave.llm import language_id, license_scan, mixing, packing, quality_rules, toxicity, url_filter
+from roadweave.llm import language_id, license_scan, mixing, packing, pii, quality_rules, toxicity, url_filter
 from roadweave.llm.common import crc_bucket, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs.where(~held_out)), held_out)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.detect(docs, pii.fit(docs))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -47,6 +52,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_license_scan": op2_license_scan,
+    "op3_pii": op3_pii,
     "op4_url_filter": op4_url_filter,
     "op6_mixing": op6_mixing,
     "op7_quality_rules": op7_quality_rules,
