@@ -41,10 +41,8 @@ PATTERNS = {
     SECRET: r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key) ?[=:] ?[^\x20\x09-\x0D]{6,}+",
     HEX_KEY: r"(?<![0-9A-Za-z])[0-9a-f]{16,}+(?![0-9A-Za-z])",
 }
-#: A cheap test that a text can hold the kind at all.
-MAYBE = {
-    EMAIL: "@", PHONE: "+", SPELLED_EMAIL: "at", SECRET: None, HEX_KEY: None, IP: ".", CARD: None, LOCAL_PHONE: None,
-}
+#: Strings one of which a text must contain to hold the kind; kinds that are not named need a digit.
+MAYBE = {EMAIL: ("@",), PHONE: ("+",), SPELLED_EMAIL: ("(at)", "[at]"), SECRET: ("=", ":")}
 CONTEXT = r"(?i)(?:card|visa|account|phone|tel|call|mail|contact|write|password|secret|key|token|server|host|addr)"
 SPAN = "struct<s:int,k:int,e:int,ok:boolean,f0:int,f1:int,f2:int,f3:int,f4:int,f5:int,f6:int>"
 FEATURES = tuple(f"f{i}" for i in range(7))
@@ -128,9 +126,10 @@ def spans(text: Column, kind: int) -> Column:
         return F.when(F.size(found) > 0, walked).otherwise(empty)
 
     both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
-    hint = MAYBE[kind]
-    possible = text.contains(hint) if hint else F.lit(True)
-    return F.when(possible & text.rlike(pattern), let(both, walk)).otherwise(empty)
+    possible = F.lit(False)
+    for part in MAYBE.get(kind, ()):
+        possible = possible | text.contains(part)
+    return F.when(possible if kind in MAYBE else text.rlike("[0-9]"), let(both, walk)).otherwise(empty)
 
 
 def candidates(text: Column) -> Column:
