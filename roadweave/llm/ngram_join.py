@@ -40,7 +40,7 @@ BUCKET_BITS = 20
 CHUNKS = 64
 FRAGMENT_BITS = 3
 PIVOTS = 6
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 CACHED_WORDS = 200_000
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 

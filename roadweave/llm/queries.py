@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from roadweave.llm import language_id, license_scan, mixing, ngram_join, packing, pii, quality_rules, toxicity, url_filter
+from roadweave.llm import (
+    embedding_dedup,
+    language_id,
+    license_scan,
+    mixing,
+    ngram_join,
+    packing,
+    pii,
+    quality_rules,
+    toxicity,
+    url_filter,
+)
 from roadweave.llm.common import crc_bucket, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +28,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -59,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op2_license_scan": op2_license_scan,
     "op3_pii": op3_pii,
     "op4_url_filter": op4_url_filter,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_mixing": op6_mixing,
     "op7_quality_rules": op7_quality_rules,
     "op8_toxicity": op8_toxicity,
