@@ -192,7 +192,8 @@ def usage(
     pieces = pieces.withColumn("at", F.when(filled, start - F.col("off")).otherwise(0))
     pieces = pieces.withColumn("n", F.when(filled, end - start).otherwise(0))
     uses = mix.draws(spark).groupBy("skey", "block").agg(F.count(F.lit(1)).alias("uses"))
-    joined = pieces.join(uses, ["skey", "block"], "left")
+    # The draws start from a short range, so their size would be guessed far too small: never broadcast them.
+    joined = pieces.join(uses.hint("merge"), ["skey", "block"], "left")
     return joined.select("doc_id", "skey", "size", "off", "at", "n", F.coalesce("uses", F.lit(0)).alias("uses")), mix
 
 
