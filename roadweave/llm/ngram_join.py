@@ -39,7 +39,7 @@ PERCENT = 90
 BUCKET_BITS = 20
 CHUNKS = 64
 FRAGMENT_BITS = 3
-PIVOTS = 6
+PIVOTS = 16
 PIVOT_ROUNDS = 2
 CACHED_WORDS = 200_000
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -80,6 +80,11 @@ def needed(size: int, percent: int) -> int:
     return -(-size * percent // 100)
 
 
+def least_overlap(size1: int, size2: int, percent: int) -> int:
+    """The least overlap with which two sets of these sizes meet the threshold."""
+    return -(-(size1 + size2) * percent // (100 + percent))
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
@@ -139,12 +144,15 @@ def _classes(measured: DataFrame) -> np.ndarray:
 
 
 def _postings(texts: DataFrame, n: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """(token, fp, node, n): the first fragment of every document."""
+    """(token, fp, node, n, early): the first fragment of every document.
+
+    ``early`` marks its shorter part that a document of at least the same size must meet.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            tokens, ids, fps, sizes, counts = [], [], [], [], []
+            tokens, ids, fps, sizes, counts, early = [], [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 grams = ngram_set(text.as_py(), n, hashes)
                 size = len(grams)
@@ -156,22 +164,25 @@ def _postings(texts: DataFrame, n: int, percent: int, classes: np.ndarray) -> Da
                     fps.append(int(np.frombuffer(xxhash.xxh3_128_digest(grams.tobytes()), np.int64)[0]))
                     sizes.append(size)
                     counts.append(length)
+                    early.append(np.arange(length) < size - least_overlap(size, size, percent) + 1)
             if ids:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(fps, np.int64), counts)),
-                     pa.array(np.repeat(np.array(ids, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int32), counts))],
-                    ["token", "fp", "node", "n"],
+                     pa.array(np.repeat(np.array(ids, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int32), counts)), pa.array(np.concatenate(early))],
+                    ["token", "fp", "node", "n", "early"],
                 )
 
-    return texts.where("doc_id is not null").mapInArrow(run, "token long, fp long, node long, n int")
+    return texts.where("doc_id is not null").mapInArrow(run, "token long, fp long, node long, n int, early boolean")
 
 
 def _shared(postings: DataFrame) -> DataFrame:
-    """(token, node, n) of the tokens that at least two different sets hold, one row per token and set.
+    """(token, node, n, early) of the tokens that at least two different sets hold, one row per token and set.
 
     Rows arrive sorted by token and set; a run is passed on while it streams by, so a long one is never held.
     """
 
+    kept_columns = ((0, pa.int64()), (2, pa.int64()), (3, pa.int32()), (4, pa.bool_()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_old = None, False  # the last row, and whether it shares its token with the row before
         for batch in batches:
@@ -187,13 +198,13 @@ def _shared(postings: DataFrame) -> DataFrame:
             old = np.concatenate([[held_old], same])
             keep = old[:-1] | same
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(columns[i][:-1][keep], t) for i, t in ((0, pa.int64()), (2, pa.int64()), (3, pa.int32()))], ["token", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(columns[i][:-1][keep], t) for i, t in kept_columns], ["token", "node", "n", "early"])
             held, held_old = [c[-1] for c in columns], bool(old[-1])
         if held is not None and held_old:
-            yield pa.RecordBatch.from_arrays([pa.array([held[i]], t) for i, t in ((0, pa.int64()), (2, pa.int64()), (3, pa.int32()))], ["token", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([held[i]], t) for i, t in kept_columns], ["token", "node", "n", "early"])
 
     ordered = postings.repartition("token").sortWithinPartitions("token", "fp", "node")
-    return ordered.mapInArrow(run, "token long, node long, n int")
+    return ordered.mapInArrow(run, "token long, node long, n int, early boolean")
 
 
 def _fits(n1: Column, n2: Column, percent: int) -> Column:
@@ -201,31 +212,43 @@ def _fits(n1: Column, n2: Column, percent: int) -> Column:
     return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
 
 
-def _pair_up(left: DataFrame, right: DataFrame, condition: Column, percent: int, at_least_token: bool) -> DataFrame:
-    """(a, b, na, nb), a < b, of rows that share a token, meet ``condition`` and may still reach the threshold.
+def _bound(overlap: Column, percent: int) -> Column:
+    """Whether a pair with this overlap in the first fragment may meet the threshold.
 
     Of the document whose prefix ends first in the global order every prefix n-gram outside the overlap is missing from
-    the other, so the whole overlap is at most the prefix overlap and what lies behind the longer rest. With
-    ``at_least_token`` a pair that shares several n-grams comes out at the least of them only.
+    the other, so the whole overlap is at most the prefix overlap and what lies behind the longer rest.
     """
-    s, t = left.alias("s"), right.alias("t")
     na, nb = F.col("s.n"), F.col("t.n")
-    rest = lambda n: F.ceil(n * percent / 100) - 1
-    least = F.ceil((na + nb) * percent / (100 + percent))
-    common = F.array_intersect("s.tokens", "t.tokens")
+    rest = F.ceil(F.greatest(na, nb) * percent / 100) - 1
+    return overlap + rest + 1 >= F.ceil((na + nb) * percent / (100 + percent))
+
+
+def _pair_up(left: DataFrame, right: DataFrame, condition: Column, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b, na, nb), a < b, of rows that share a token, meet ``condition`` and may still reach the threshold.
+
+    The shared token lies in the early part of the smaller document's prefix. The number of shared tokens of each bounds
+    the prefix overlap at once; it is counted exactly for the pairs that remain.
+    """
+    s, t = left.alias("s"), right.alias("t")
+    smaller = F.struct("s.n", "s.node") < F.struct("t.n", "t.node")
     met = s.join(
         t,
         (F.col("s.token") == F.col("t.token"))
         & (F.col("s.node") != F.col("t.node"))
-        & _fits(na, nb, percent)
-        & condition
-        & (F.size(common) + F.greatest(rest(na), rest(nb)) + 1 >= least)
-        & ((F.array_min(common) == F.col("s.token")) if at_least_token else F.lit(True)),
+        & _fits(F.col("s.n"), F.col("t.n"), percent)
+        & F.when(smaller, F.col("s.early")).otherwise(F.col("t.early"))
+        & _bound(F.least("s.k", "t.k"), percent)
+        & condition,
     )
     lower = F.col("s.node") < F.col("t.node")
     ends = [F.when(lower, F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(a) for c, a in (("node", "a"), ("n", "na"))]
     ends += [F.when(lower, F.col(f"t.{c}")).otherwise(F.col(f"s.{c}")).alias(b) for c, b in (("node", "b"), ("n", "nb"))]
-    return met.select(*ends)
+    pairs = met.select(*ends).distinct()
+    held = pairs.join(prefixes.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
+    held = held.join(prefixes.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
+    common = F.size(F.array_intersect("ta", "tb"))
+    sides = held.select("a", "b", common.alias("o"), F.struct(F.col("na").alias("n")).alias("s"), F.struct(F.col("nb").alias("n")).alias("t"))
+    return sides.where(_bound(F.col("o"), percent)).select("a", "b", F.col("s.n").alias("na"), F.col("t.n").alias("nb"))
 
 
 def _fragments(texts: DataFrame, nodes: DataFrame, n: int, classes: np.ndarray) -> DataFrame:
@@ -271,13 +294,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     classes = _classes(measured)
     shared = cut(_shared(_postings(texts, n, percent, classes)))
     lists = shared.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-    prefixes = shared.groupBy("node").agg(F.collect_list("token").alias("tokens"))  # bounded by a document's prefix
-    marked = cut(shared.join(lists, "token").join(prefixes, "node"))
+    # Bounded: a document's prefix.
+    prefixes = cut(shared.groupBy("node").agg(F.collect_list("token").alias("tokens")))
+    marked = cut(shared.join(lists, "token").join(prefixes.select("node", F.size("tokens").alias("k")), "node"))
     long_lists = marked.where(F.col("c") > pivots)
     # Every row of a list meets the list's pivots; two pivots meet once.
     drawn = marked.withColumn("pivot", (F.col("c") <= pivots) | _drawn(0, pivots))
     once = ~F.col("s.pivot") | (F.col("s.node") > F.col("t.node"))
-    pairs = cut(_pair_up(drawn, drawn.where("pivot"), once, percent, False).distinct())
+    pairs = cut(_pair_up(drawn, drawn.where("pivot"), once, prefixes, percent))
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(long_lists.select("node"))
     fragments = cut(_fragments(texts, nodes, n, classes))
     links = cut(_linked(pairs, fragments, percent))
@@ -289,7 +313,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
             apart, few = F.col("s.component") != F.col("t.component"), grouped.where(_drawn(turn, pivots))
         else:
             apart, few = F.col("s.component") < F.col("t.component"), grouped
-        rest = cut(_pair_up(grouped, few, apart, percent, turn == PIVOT_ROUNDS).distinct())
+        rest = cut(_pair_up(grouped, few, apart, prefixes, percent))
         if not rest.isEmpty():
             links = cut(links.union(_linked(rest, fragments, percent)))
             labels = connected(links)
