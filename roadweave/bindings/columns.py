@@ -411,7 +411,7 @@ _BYTES = "concat(" + ", ".join(f"substr(h, {i}, 2)" for i in range(15, 0, -2)) +
 
 @query("c31_stable_seed", P.sql("pop_base", select=f"""SELECT individual_id, (xor(('0x' || {_BYTES})::UBIGINT, 42::UBIGINT) % 4294967295)::BIGINT AS seed FROM (
     SELECT v AS individual_id, substr(sha256(unhex(string_agg({_BYTES}, '' ORDER BY i))), 1, 16) AS h FROM (
-    SELECT v, i, lpad(to_hex(genes[i]::BIGINT), 16, '0') AS h FROM (SELECT v, genes, unnest(range(1, 17)) AS i FROM pop_base)) GROUP BY v)"""))
+    SELECT v, i, lpad(to_hex(genes[i]::BIGINT), 16, '0') AS h FROM (SELECT v, genes, unnest(range(1, len(genes) + 1)) AS i FROM pop_base)) GROUP BY v)"""))
 def _(spark, d):
     pop = P.population(spark, d)
     return pop.select("individual_id", keys.stable_seed(c("genes"), F.lit(42)).alias("seed"))

@@ -344,7 +344,7 @@ def trips(spark, d) -> DataFrame:
 
 def population(spark, d) -> DataFrame:
     v = F.col("vec_id")
-    genes_col = F.transform(F.slice("embedding", 1, 16), lambda x: (x.cast("double") * 20).cast("int"))
+    genes_col = F.transform("embedding", lambda x: (x.cast("double") * 20).cast("int"))
     total = F.aggregate(F.col("genes"), F.lit(0), lambda acc, g: acc + F.abs(g))
     failed = v % 29 == 0
     loss = F.when(failed, float("inf")).otherwise(total + (v % 7) * 0.25)
@@ -517,7 +517,7 @@ VIEWS: dict[str, str] = {
     "trips": """SELECT 'run_' || (o_custkey // 300) AS run_id, 'trip_' || o_orderkey AS trip_id, 'n' || (o_custkey % 83) AS origin,
         'n' || (o_orderkey % 61) AS destination, o_orderkey % 1200 + 0.5::DOUBLE AS departure FROM orders""",
     "pop_base": """SELECT vec_id AS v, 'run_' || label AS run_id, vec_id % 2 AS generation,
-        list_transform(embedding[1:16], lambda x: trunc(x::DOUBLE * 20)::INT) AS genes FROM embeddings""",
+        list_transform(embedding, lambda x: trunc(x::DOUBLE * 20)::INT) AS genes FROM embeddings""",
     "pop_loss": """SELECT *, list_sum(genes)::BIGINT AS magnitude, CASE WHEN v % 29 = 0 THEN 'inf'::DOUBLE
         ELSE list_sum(list_transform(genes, lambda g: abs(g))) + (v % 7) * 0.25 END AS loss FROM pop_base""",
     "population": """SELECT *, CASE WHEN v % 5 <> 0 THEN loss - 1.5 END AS e_loss, CASE WHEN v % 6 <> 0 THEN v % 3 END AS fail_total,

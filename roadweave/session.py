@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import uuid
 
 from pyspark import cloudpickle
@@ -34,7 +33,7 @@ def build_session(app_name: str = "roadweave", master: str | None = None, **conf
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, named by the cluster in ``spark.checkpoint.dir``.
 
-    A temporary folder is used only in local mode, where driver and executors share one machine.
+    Where it is unset, as in tests, a folder below the warehouse takes its place, which executors share as well.
     """
     context = spark.sparkContext
     configured = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF)
@@ -43,9 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     current = context.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    if not context.master.startswith("local"):
-        raise ValueError(f"{CHECKPOINT_CONF} must name a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="roadweave-")
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_roadweave"
     spark.conf.set(CHECKPOINT_CONF, folder)
     return folder
 

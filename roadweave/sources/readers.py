@@ -200,8 +200,16 @@ def scan_runs(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_pipeline_log(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their run and a sortable position; parse them with ``parse_log_lines``."""
-    position = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    """Lines with their run and a sortable position; parse them with ``parse_log_lines``.
+
+    A rolled file (``name.1``, ``name.2`` ...) is older the larger its number, so it comes before the file that is written.
+    """
+    rolled = F.regexp_extract(F.col("_metadata.file_path"), r"\.([0-9]+)$", 1)
+    age = F.when(rolled == "", 0).otherwise(rolled.cast("int"))
+    position = F.struct(
+        (-age).alias("age"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"),
+    )
     return spark.read.text(path).select(
         F.regexp_extract(F.col("_metadata.file_path"), r"[/=]run_([^/]+)/", 1).alias("run_id"),
         position.alias("line_no"),

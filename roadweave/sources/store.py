@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Files every dataset bundle must hold.
@@ -17,17 +16,22 @@ REQUIRED_FILES = (
 )
 
 
+def _holds_results(spark: SparkSession, root: str) -> bool:
+    """Whether a write to ``root`` has been completed; any other fault of a stored result stays an error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_SUCCESS")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def materialize(inputs: DataFrame, build: Callable[[DataFrame], DataFrame], root: str, key: str = "cache_key") -> DataFrame:
     """Results of ``build`` for every key of ``inputs``; keys already stored under ``root`` are not built again.
 
     Results are parquet partitions named by their content key. A key that yields no rows is not stored.
     """
     spark = inputs.sparkSession
-    try:
+    missing = inputs
+    if _holds_results(spark, root):
         stored = spark.read.parquet(root).select(F.col(key).cast("string").alias(key)).distinct()
         missing = inputs.join(stored, key, "left_anti")
-    except AnalysisException:
-        missing = inputs
     built = build(missing)
     built.write.mode("append").partitionBy(key).parquet(root)
     result = spark.read.schema(built.schema).parquet(root).select(*built.columns)
