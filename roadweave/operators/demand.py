@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,25 +12,35 @@ from pyspark.sql import functions as F
 from roadweave.functions import geo, keys as K, observe
 from roadweave.operators.graph import reachable
 from roadweave.operators.ordering import explode_range, number_rows, running_sum
-from roadweave.session import cut
+from roadweave.session import cut, pickle_by_value
+
+pickle_by_value(__name__)
 
 WEIGHT_SCALE = 1000
 WEIGHT_BUCKETS = 256
-# The minimum distance shrinks by 0.8 at most 19 times before the search gives up.
+# The minimum distance shrinks by 0.8 after 1000 failures in a row and after every 500 more; a search ends
+# after 10 000 failures in a row, or after 100 attempts per wanted pair, 10 000 at least.
 RELAXATION = 0.8
-RELAXATIONS = 19
+RELAX_AFTER = 1000
+RELAX_EVERY = 500
+MAX_FAILURES = 10_000
+ATTEMPTS_PER_PAIR = 100
+LEAST_ATTEMPTS = 10_000
+# Draws per wanted pair in the first round, and how much each further round draws more. The result does not depend on them.
+FIRST_ATTEMPTS = 16
+ATTEMPTS_GROWTH = 8
 GENE_SLICE = 1024
 
 
-def weighted_edges(edges: DataFrame) -> DataFrame:
-    """Edges with their integer selection weight and centroid."""
+def weighted_edges(edges: DataFrame, buckets: int = WEIGHT_BUCKETS) -> DataFrame:
+    """Edges with their integer selection weight and centroid; give large areas more ``buckets``."""
     weight = observe.edge_weight(F.col("priority"), F.col("speed"), F.col("num_lanes"))
     return edges.select(
         "area_id",
         "edge_id",
         F.round(weight * WEIGHT_SCALE).cast("bigint").alias("weight"),
         geo.line_centroid(F.col("geometry")).alias("centroid"),
-        F.pmod(F.xxhash64("edge_id"), F.lit(WEIGHT_BUCKETS)).cast("int").alias("bucket"),
+        F.pmod(F.xxhash64("edge_id"), F.lit(buckets)).cast("int").alias("bucket"),
     )
 
 
@@ -43,7 +56,7 @@ def draw_ends(weighted: DataFrame, areas: DataFrame, draws: str, seed: int) -> D
         "area_id", "bucket", "edge_id", "centroid", "weight", (F.col("hi") - F.col("weight")).alias("lo"), "hi"
     )
     per_bucket = weighted.groupBy("area_id", "bucket").agg(F.sum("weight").alias("weight"))
-    # At most WEIGHT_BUCKETS rows per area.
+    # One row per bucket of an area.
     upto = W.partitionBy("area_id").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
     bounds = per_bucket.withColumn("hi", F.sum("weight").over(upto))
     table = bounds.groupBy("area_id").agg(
@@ -81,38 +94,84 @@ def draw_ends(weighted: DataFrame, areas: DataFrame, draws: str, seed: int) -> D
     )
 
 
+def attempt_limit(max_pairs: int) -> int:
+    """Attempts after which the search of an area ends in any case."""
+    return max(ATTEMPTS_PER_PAIR * max_pairs, LEAST_ATTEMPTS) + 1
+
+
+def relaxations(failures: int) -> int:
+    """How often a run of failures has relaxed the distance."""
+    return 0 if failures < RELAX_AFTER else (failures - RELAX_AFTER) // RELAX_EVERY + 1
+
+
+def _accept(tries: pd.DataFrame, max_pairs: int, max_failures: int) -> pd.DataFrame:
+    """The attempts of one area that yield a pair. Attempts that never can are left out: gaps between draws count as failures."""
+    tier, last, seen, taken = 0, 0, set(), []
+    ordered = tries.sort_values("draw", ignore_index=True)
+    for at, (draw, origin, destination, need) in enumerate(
+        ordered[["draw", "origin", "destination", "tier"]].itertuples(index=False, name=None)
+    ):
+        failures = draw - 1 - last
+        if len(taken) == max_pairs or failures > max_failures:
+            break
+        reached = tier + relaxations(failures)
+        if need <= reached and (origin, destination) not in seen:
+            seen.add((origin, destination))
+            taken.append(at)
+            tier, last = reached, draw
+    return ordered.iloc[taken].assign(od_idx=range(len(taken)))
+
+
+def _attempts(
+    weighted: DataFrame, links: DataFrame, areas: DataFrame, max_pairs: int, seed: int, attempts: int, max_failures: int
+) -> DataFrame:
+    """Pairs that the first ``attempts`` draws of every area yield; an area's group holds ``attempts`` rows at most."""
+    drawn = draw_ends(weighted, areas.select("area_id", F.lit(attempts).alias("draws")), "draws", seed)
+    factors = [1.0]
+    while len(factors) <= relaxations(attempts - 1):
+        factors.append(factors[-1] * RELAXATION)
+    wanted = F.coalesce("min_distance", F.lit(0.0))
+    short = F.filter(F.array(*map(F.lit, factors)), lambda f: F.col("distance") < F.col("min_distance") * f)
+    free = wanted <= 0
+    tries = cut(
+        drawn.join(areas, "area_id")
+        .where(free | F.col("distance").isNotNull())
+        .withColumn("tier", F.when(free, F.lit(0)).otherwise(F.size(short)))
+        .where(F.col("tier") < len(factors))
+        .select("area_id", "draw", "origin", "destination", "distance", "tier")
+    )
+    ends = ["area_id", "origin", "destination"]
+    routable = tries.join(reachable(tries.select(*ends).distinct(), links), ends, "left_semi")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tries.schema) + ", od_idx int"
+    return cut(routable.groupBy("area_id").applyInPandas(lambda t: _accept(t, max_pairs, max_failures), schema))
+
+
 def select_od_pairs(
-    edges: DataFrame, links: DataFrame, areas: DataFrame, max_pairs: int = 50, seed: int = 42, draws_per_pair: int = 8
+    edges: DataFrame, links: DataFrame, areas: DataFrame, max_pairs: int = 50, seed: int = 42,
+    max_failures: int = MAX_FAILURES, weight_buckets: int = WEIGHT_BUCKETS,
 ) -> DataFrame:
-    """Weighted, distance-checked, unique, reachable pairs, at most ``max_pairs`` per area.
+    """Weighted, distance-checked, unique, reachable pairs, at most ``max_pairs`` per area, in the order of their draws.
 
-    ``areas``: area_id and min_distance. Pairs that keep the full distance come first; where they run out the
-    distance is relaxed step by step. The order is that of the first draw.
+    ``areas``: area_id and min_distance. An attempt fails if its pair is too short, known or not routable; long runs of
+    failures relax the distance of the area for good. ``tier`` is the number of relaxations a pair needs. Areas start
+    with few draws; those that are full leave, the others go on with more draws of the same sequence up to the limit.
     """
-    budget = areas.select("area_id", F.lit(max_pairs * draws_per_pair).alias("draws"))
-    drawn = draw_ends(weighted_edges(edges), budget, "draws", seed)
-    unique = drawn.groupBy("area_id", "origin", "destination").agg(
-        F.min("draw").alias("draw"), F.first("distance").alias("distance")
-    )
-    tier = F.when(
-        (F.col("min_distance") <= 0) | (F.col("distance") >= F.col("min_distance")), F.lit(0)
-    ).when(
-        F.col("distance") > 0,
-        F.ceil(F.log(F.col("distance") / F.col("min_distance")) / F.log(F.lit(RELAXATION)) - 1e-9).cast("int"),
-    )
-    tiered = cut(
-        unique.join(areas.select("area_id", "min_distance"), "area_id")
-        .withColumn("tier", tier)
-        .where(F.col("tier") <= RELAXATIONS)
-    )
-    routable = tiered.join(reachable(tiered, links), ["area_id", "origin", "destination"], "left_semi")
-    # Draws per area are bounded by the budget above.
-    order = W.partitionBy("area_id").orderBy("tier", "draw")
-    return (
-        routable.withColumn("_n", F.row_number().over(order))
-        .where(F.col("_n") <= max_pairs)
-        .select("area_id", (F.col("_n") - 1).alias("od_idx"), "origin", "destination", "distance", "tier")
-    )
+    weighted = cut(weighted_edges(edges, weight_buckets))
+    limit = attempt_limit(max_pairs)
+    attempts, left, results = min(limit, FIRST_ATTEMPTS * max_pairs), areas.select("area_id", "min_distance"), []
+    while True:
+        found = _attempts(weighted, links, left, max_pairs, seed, attempts, max_failures)
+        if attempts == limit:
+            results.append(found)
+            break
+        ended = (F.count(F.lit(1)) >= max_pairs) | (F.lit(attempts) - F.max("draw") > max_failures)
+        over = found.groupBy("area_id").agg(ended.alias("over")).where("over").select("area_id")
+        results.append(found.join(over, "area_id", "left_semi"))
+        left = cut(left.join(over, "area_id", "left_anti"))
+        if left.isEmpty():
+            break
+        attempts = min(limit, attempts * ATTEMPTS_GROWTH)
+    return reduce(DataFrame.unionByName, results).select("area_id", "od_idx", "origin", "destination", "distance", "tier")
 
 
 def od_status(pairs: DataFrame, areas: DataFrame, max_pairs: int) -> DataFrame:

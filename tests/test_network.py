@@ -188,6 +188,46 @@ def test_od_pairs_are_valid_and_stable(spark, city):
     assert status == {"A": (25, "ok"), "B": (0, "no_pairs")}
 
 
+def brute_pairs(draws, links, min_distance, max_pairs):
+    """One attempt after the other, as a plain loop."""
+    reach, taken, failures, attempts, distance_needed = {}, [], 0, 0, min_distance
+    while len(taken) < max_pairs and attempts <= max(100 * max_pairs, 10_000) and failures <= 10_000:
+        if failures > 500 and failures % 500 == 0:
+            distance_needed *= 0.8
+        o, d, distance = draws[attempts]
+        attempts += 1
+        if o not in reach:
+            reach[o] = brute_reach(links, "A", o)
+        if distance >= distance_needed and (o, d) not in taken and d in reach[o]:
+            taken.append((o, d))
+            failures = 0
+        else:
+            failures += 1
+    return taken
+
+
+@pytest.mark.parametrize("min_distance, max_pairs", [(2600.0, 12), (800.0, 30)])
+def test_od_pairs_equal_one_attempt_after_the_other(spark, city, min_distance, max_pairs):
+    _, links, edge_df, link_df, _ = city
+    areas = spark.createDataFrame([("A", min_distance)], "area_id string, min_distance double")
+    budget = spark.createDataFrame([("A", demand.attempt_limit(max_pairs))], "area_id string, draws int")
+    drawn = demand.draw_ends(demand.weighted_edges(edge_df), budget, "draws", 42).orderBy("draw").collect()
+    want = brute_pairs([(r["origin"], r["destination"], r["distance"]) for r in drawn], links, min_distance, max_pairs)
+    got = demand.select_od_pairs(edge_df, link_df, areas, max_pairs=max_pairs).orderBy("od_idx").collect()
+    assert [(r["origin"], r["destination"]) for r in got] == want
+
+
+def test_od_pairs_keep_the_distance_while_draws_qualify(spark):
+    # A star of 100 edges of which two lie 5 km off: about 4 % of the draws are long enough.
+    edges = [("A", f"e{i}", [(5000.0 * (i % 50 == 0), float(i)), (5001.0 * (i % 50 == 0), float(i))], 1, 10.0, 1) for i in range(100)]
+    links = [link for i in range(1, 100) for link in (("A", "e0", f"e{i}"), ("A", f"e{i}", "e0"))]
+    edge_df = spark.createDataFrame(edges, "area_id string, edge_id string, geometry array<struct<x:double,y:double>>, priority int, speed double, num_lanes int")
+    link_df = spark.createDataFrame(links, "area_id string, from_edge string, to_edge string")
+    areas = spark.createDataFrame([("A", 1000.0)], "area_id string, min_distance double")
+    pairs = demand.select_od_pairs(edge_df, link_df, areas, max_pairs=15).collect()
+    assert len(pairs) == 15 and all(r["distance"] >= 1000 and r["tier"] == 0 for r in pairs)
+
+
 def test_draws_follow_the_weights(spark):
     edges = spark.createDataFrame(
         [("A", f"e{i}", [(0.0, float(i)), (1.0, float(i))], p, 10.0, 1) for i, p in enumerate((1, 1, 8))],
