@@ -188,19 +188,18 @@ def _(spark, d):
 
 @query("a11_genotypic_diversity")
 def _(spark, d):
-    return population.genotypic_diversity(P.population(spark, d))
+    return population.genotypic_diversity(P.population(spark, d), population.DIVERSITY_PAIRS)
 
 
 def _pairs_sql(value: str) -> str:
-    distance = "sqrt(list_sum(list_transform(range(1, 17), lambda i: (a.genes[i] - b.genes[i]) ** 2)))"
+    distance = "sqrt(list_sum(list_transform(range(1, len(a.genes) + 1), lambda i: (a.genes[i] - b.genes[i]) ** 2)))"
     return P.sql("pop_base", select=f"""SELECT a.run_id, a.generation, {s6(f'avg({distance})')} AS {value} FROM pop_base a JOIN pop_base b
         ON a.run_id = b.run_id AND a.generation = b.generation AND a.v < b.v GROUP BY 1, 2""")
 
 
 @query("a11_genotypic_diversity_all_pairs", _pairs_sql("genotypic_diversity"))
 def _(spark, d):
-    # A pair limit beyond the number of pairs makes the mean exact and the shuffle irrelevant.
-    return _rounded(population.genotypic_diversity(P.population(spark, d), max_pairs=100_000), "genotypic_diversity")
+    return _rounded(population.genotypic_diversity(P.population(spark, d), max_pairs=None), "genotypic_diversity")
 
 
 _FINITE = "CASE WHEN loss < 'inf'::DOUBLE THEN loss END"
@@ -504,7 +503,7 @@ _CROWDING = P.sql("pop_base", "pop_loss", select="SELECT 1").replace("WITH ", "W
         list_transform(range(1, len(genes) + 1), lambda i: CASE WHEN i = near AND c_loss < losses[near] THEN c_loss ELSE losses[i] END)
       FROM (SELECT *, list_position(distances, list_min(distances)) AS near FROM (
         SELECT f.run_id, y.k, f.genes, f.losses, y.genes AS c_genes, y.loss AS c_loss, list_transform(f.genes, lambda g:
-        list_sum(list_transform(range(1, 17), lambda i: (g[i] - y.genes[i]) * (g[i] - y.genes[i])))) AS distances
+        list_sum(list_transform(range(1, len(g) + 1), lambda i: (g[i] - y.genes[i]) * (g[i] - y.genes[i])))) AS distances
         FROM fold f JOIN young y ON y.run_id = f.run_id AND y.k = f.k + 1))),
     done AS (SELECT run_id, unnest(genes) AS genes, unnest(losses) AS loss FROM fold f WHERE k = (SELECT max(k) FROM young y WHERE y.run_id = f.run_id)
       UNION ALL SELECT run_id, genes, loss FROM old WHERE r <= 2)

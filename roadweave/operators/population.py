@@ -38,27 +38,26 @@ def l2(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, v: acc + v))
 
 
-def genotypic_diversity(pop: DataFrame, max_pairs: int = DIVERSITY_PAIRS, seed: int = 42) -> DataFrame:
-    """Mean pairwise L2 distance per (run, generation) over the first ``max_pairs`` pairs of a hash shuffle.
+def genotypic_diversity(pop: DataFrame, max_pairs: int | None, seed: int = 42) -> DataFrame:
+    """Mean pairwise L2 distance per (run, generation) over the first ``max_pairs`` pairs of a hash shuffle, None for all pairs.
 
-    The pair numbers are turned into positions directly, so neither all pairs nor all members are ever listed:
-    the first ``max_pairs`` pairs touch at most ``max_pairs + 1`` members.
+    The pair numbers are turned into positions directly, so with a limit neither all pairs nor all members are ever
+    listed: the first ``max_pairs`` pairs touch at most ``max_pairs + 1`` members.
     """
     keys = ["run_id", "generation"]
     sizes = pop.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     shuffled = W.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), *keys, "individual_id"), "individual_id")
-    members = (
-        pop.select(*keys, "individual_id", "genes")
-        .withColumn("_r", F.row_number().over(shuffled))
-        .where(F.col("_r") <= max_pairs + 1)
-        .select(*keys, (F.col("_r") - 1).cast("bigint").alias("pos"), "genes")
-    )
+    members = pop.select(*keys, "individual_id", "genes").withColumn("_r", F.row_number().over(shuffled))
+    if max_pairs is not None:
+        members = members.where(F.col("_r") <= max_pairs + 1)
+    members = members.select(*keys, (F.col("_r") - 1).cast("bigint").alias("pos"), "genes")
     n, p = F.col("n"), F.col("p")
+    every = F.floor(n * (n - 1) / 2)
     root = F.floor((2 * n - 1 - F.sqrt((2 * n - 1).cast("double") * (2 * n - 1) - p * 8)) / 2)
     i = F.when(p < n - 1, F.lit(0).cast("bigint")).otherwise(root)
     pairs = (
         sizes.where("n >= 2")
-        .withColumn("m", F.least(F.lit(max_pairs).cast("bigint"), F.floor(n * (n - 1) / 2)))
+        .withColumn("m", every if max_pairs is None else F.least(F.lit(max_pairs).cast("bigint"), every))
         .select(*keys, "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)).alias("p"))
         .withColumn("i", i)
         .withColumn("j", p - F.floor(F.col("i") * (2 * n - F.col("i") - 1) / 2) + F.col("i") + 1)
@@ -79,8 +78,11 @@ def phenotypic_diversity(pop: DataFrame) -> DataFrame:
     )
 
 
-def generation_stats(pop: DataFrame, boosts: DataFrame | None = None) -> DataFrame:
-    """The fifteen per-generation figures; the best individual is the first one on equal loss."""
+def generation_stats(pop: DataFrame, boosts: DataFrame | None = None, diversity_pairs: int | None = DIVERSITY_PAIRS) -> DataFrame:
+    """The fifteen per-generation figures; the best individual is the first one on equal loss.
+
+    The genotypic diversity takes ``diversity_pairs`` pairs, None for all.
+    """
     m = {name: F.col("metrics")[name] for name in METRIC_FIELDS}
     fails = effective_fail_total(m)
     best_row = F.struct(
@@ -101,7 +103,7 @@ def generation_stats(pop: DataFrame, boosts: DataFrame | None = None) -> DataFra
         F.avg(fails).alias("mean_fail_total"),
         F.when(F.count("loss") < 2, 0.0).otherwise(F.stddev_pop("loss")).alias("phenotypic_diversity"),
     )
-    joined = stats.join(genotypic_diversity(pop), ["run_id", "generation"], "left")
+    joined = stats.join(genotypic_diversity(pop, diversity_pairs), ["run_id", "generation"], "left")
     if boosts is None:
         joined = joined.withColumn("mutation_boosted", F.lit(False))
     else:

@@ -31,11 +31,11 @@ def members(spark, rows, run="r", generation=0):
 def test_diversities(spark):
     spread = members(spark, [((0, 0, 0), 10.0, {}), ((10, 10, 10), 20.0, {}), ((5, 5, 5), 30.0, {})])
     same = members(spark, [((1, 2), 5.0, {})] * 3)
-    assert P.genotypic_diversity(spread).first()["genotypic_diversity"] == pytest.approx(20 * math.sqrt(3) / 3)
-    assert P.genotypic_diversity(same).first()["genotypic_diversity"] == 0
+    assert P.genotypic_diversity(spread, None).first()["genotypic_diversity"] == pytest.approx(20 * math.sqrt(3) / 3)
+    assert P.genotypic_diversity(same, 200).first()["genotypic_diversity"] == 0
     assert P.phenotypic_diversity(spread).first()["phenotypic_diversity"] == pytest.approx(8.165, abs=1e-3)
     assert P.phenotypic_diversity(same).first()["phenotypic_diversity"] == 0
-    assert P.genotypic_diversity(members(spark, [((1, 2), 5.0, {})])).first()["genotypic_diversity"] == 0
+    assert P.genotypic_diversity(members(spark, [((1, 2), 5.0, {})]), 200).first()["genotypic_diversity"] == 0
 
 
 @pytest.mark.parametrize(("n", "limit"), [(250, 200), (12, 7)])
