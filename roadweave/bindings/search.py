@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from roadweave.bindings import proxies as P
@@ -11,10 +13,21 @@ from roadweave.bindings.registry import query
 from roadweave.bindings.tables import _rounded, _speed_tables
 from roadweave.functions import scoring
 from roadweave.operators import demand, graph, objective, population, reporting
+from roadweave.operators.ordering import number_rows_sliced
 from roadweave.plans import search
 
 c = F.col
 
+
+def _draw(*parts: str) -> str:
+    """SQL of the 52 drawn bits for seed 42."""
+    return f"('0x' || substr(md5(concat_ws('|', 42, {', '.join(parts)})), 1, 13))::BIGINT"
+
+
+def _uniform(*parts: str) -> str:
+    return f"({_draw(*parts)}::DOUBLE / 4503599627370496.0::DOUBLE)"
+
+
 # ---- G: graph --------------------------------------------------------------------------------------------------------
 
 _REACHED = P.sql("links", "graph_pairs", select="SELECT 1").replace("WITH ", "WITH RECURSIVE ", 1).removesuffix("SELECT 1").rstrip() + """,
@@ -171,9 +184,8 @@ def _(spark, d):
 @query("j8_index_agents_sliced", P.sql("trips", select="""SELECT run_id, origin, dense_rank() OVER (PARTITION BY run_id ORDER BY origin) - 1 AS idx
     FROM (SELECT DISTINCT run_id, origin FROM trips)"""))
 def _(spark, d):
-    # The path for very large groups, forced here so that it is compared as well.
     ids = P.trips(spark, d).select("run_id", "origin").distinct()
-    return demand.number_rows(ids, ["run_id"], ["origin"], "idx", hot_rows=0, slices=8)
+    return number_rows_sliced(ids, ["run_id"], ["origin"], "idx", slices=8)
 
 
 @query("o7_od_dictionary", P.sql("trips", select="""SELECT run_id, 'origins' AS role, row_number() OVER (PARTITION BY run_id ORDER BY e) - 1 AS idx, e AS edge_id
@@ -186,17 +198,25 @@ def _(spark, d):
 # ---- A11-A13, W4-W10, W13, R2 ------------------------------------------------------------------------------------------
 
 
-@query("a11_genotypic_diversity")
-def _(spark, d):
-    return population.genotypic_diversity(P.population(spark, d), population.DIVERSITY_PAIRS)
-
-
 def _pairs_sql(value: str) -> str:
     distance = "sqrt(list_sum(list_transform(range(1, len(a.genes) + 1), lambda i: (a.genes[i] - b.genes[i]) ** 2)))"
     return P.sql("pop_base", select=f"""SELECT a.run_id, a.generation, {s6(f'avg({distance})')} AS {value} FROM pop_base a JOIN pop_base b
         ON a.run_id = b.run_id AND a.generation = b.generation AND a.v < b.v GROUP BY 1, 2""")
 
 
+_LISTED_PAIRS = P.sql("pop_base", select=f""", shuffled AS (SELECT run_id, generation, genes, row_number() OVER (PARTITION BY run_id, generation
+      ORDER BY {_uniform("run_id", "generation", "v", "'diversity'")}, v) AS pos FROM pop_base),
+    measured AS (SELECT a.run_id, a.generation, sqrt(list_sum(list_transform(range(1, len(a.genes) + 1), lambda i: (a.genes[i] - b.genes[i]) ** 2))) AS distance
+      FROM shuffled a JOIN shuffled b ON a.run_id = b.run_id AND a.generation = b.generation AND a.pos < b.pos
+      QUALIFY row_number() OVER (PARTITION BY a.run_id, a.generation ORDER BY a.pos, b.pos) <= {population.DIVERSITY_PAIRS})
+    SELECT run_id, generation, {s6("avg(distance)")} AS genotypic_diversity FROM measured GROUP BY 1, 2""")
+
+
+@query("a11_genotypic_diversity", _LISTED_PAIRS)
+def _(spark, d):
+    return _rounded(population.genotypic_diversity(P.population(spark, d), population.DIVERSITY_PAIRS), "genotypic_diversity")
+
+
 @query("a11_genotypic_diversity_all_pairs", _pairs_sql("genotypic_diversity"))
 def _(spark, d):
     return _rounded(population.genotypic_diversity(P.population(spark, d), max_pairs=None), "genotypic_diversity")
@@ -249,10 +269,7 @@ def _(spark, d):
         "run_id", "generation", "individual_id",
         scoring.effective_e_loss(c("loss"), {n: c("metrics")[n] for n in ("e_loss", "worker_error", "error")}).alias("e_eff"),
     )
-    numbered = population.number_rows(
-        ranked, ["run_id", "generation"], ["e_eff", "individual_id"], "e_rank", hot_rows=0, slices=16
-    )
-    return numbered.drop("e_eff")
+    return number_rows_sliced(ranked, ["run_id", "generation"], ["e_eff", "individual_id"], "e_rank", slices=16).drop("e_eff")
 
 
 @query("w5_top_k", P.sql("pop_base", "pop_loss", select="""SELECT run_id, generation, v AS individual_id, loss FROM pop_loss
@@ -369,7 +386,12 @@ def _runs(spark, d, n=20, genes=16):
     )
 
 
-@query("p1_random_candidates")
+_CANDIDATES = f"""SELECT run_id, 0::INT AS generation, (i - 1)::BIGINT AS individual_id, array_to_string(list_transform(range(0, 16), lambda j:
+    CASE WHEN n % 2 = 1 OR {_uniform("run_id", "0", "i", "j", "'init-active'")} < 0.4 THEN {_draw("run_id", "0", "i", "j", "'init'")} % 10 ELSE 0 END), ',') AS genes
+    FROM (SELECT DISTINCT 'run_' || (o_custkey // 300) AS run_id, o_custkey // 300 AS n FROM orders), range(1, 21) t(i)"""
+
+
+@query("p1_random_candidates", _CANDIDATES)
 def _(spark, d):
     return population.random_candidates(_runs(spark, d)).withColumn("genes", F.concat_ws(",", "genes"))
 
@@ -413,7 +435,20 @@ def _(spark, d):
     return _parents(spark, d, 0.3)
 
 
-@query("p3_tournament")
+_RAW_SCORES = _PARENTS.format(pct="0.1").replace("(round_even(", "(").replace(", 6) + 0.0)", ")").replace(
+    "elite_count, feasible_count FROM sized",
+    "n, loss, CASE WHEN feasible_count >= elite_count THEN elite_count ELSE n END AS pool_size FROM sized",
+)
+_TOURNAMENT = f"""WITH scores AS ({_RAW_SCORES}),
+    runs AS (SELECT run_id, generation, max(n) AS n, max(pool_size) AS pool FROM scores GROUP BY 1, 2),
+    slots AS (SELECT *, unnest(range(1, n + 1)) AS slot FROM runs),
+    drawn AS (SELECT run_id, generation, slot, k, {_draw("run_id", "generation", "slot", "k", "'tournament'")} % pool AS pool_idx
+      FROM slots, range(0, 3) t(k) WHERE k < greatest(1, pool))
+    SELECT run_id, generation, slot - 1 AS child_id, arg_min(individual_id, (score, k)) AS parent_id, arg_min(loss, (score, k)) AS loss
+    FROM drawn JOIN scores USING (run_id, generation, pool_idx) GROUP BY 1, 2, 3"""
+
+
+@query("p3_tournament", _TOURNAMENT)
 def _(spark, d):
     return population.tournament(population.parent_scores(P.population(spark, d))).select(
         "run_id", "generation", "child_id", "parent_id", "loss"
@@ -450,7 +485,22 @@ def _(spark, d):
     return population.mate_pairs(_as_parents(spark, d), False).select("run_id", "generation", "pair_no", "child_a", "child_b")
 
 
-@query("p5_crossover")
+_PAIR = ("run_id", "generation", "pair_no")
+_CROSSOVER = P.sql("pop_base", "pop_loss", select=f""", ranked AS (SELECT *, row_number() OVER (PARTITION BY run_id, generation ORDER BY magnitude, v) - 1 AS r,
+      count(*) OVER (PARTITION BY run_id, generation) AS n FROM pop_loss),
+    mates AS (SELECT a.run_id, a.generation, a.r AS pair_no, a.v AS child_a, b.v AS child_b, a.genes AS genes_a, b.genes AS genes_b,
+      least(len(a.genes), len(b.genes)) AS length FROM ranked a JOIN ranked b
+      ON a.run_id = b.run_id AND a.generation = b.generation AND b.r = a.n - 1 - a.r WHERE a.r < a.n // 2),
+    drawn AS (SELECT *, {_uniform(*_PAIR, "'cross'")} < 0.7 AS crossed, {_draw(*_PAIR, "'cx1'")} % greatest(length, 1) + 1 AS c1,
+      {_draw(*_PAIR, "'cx2'")} % greatest(length - 1, 1) + 1 AS c2 FROM mates),
+    cuts AS (SELECT *, least(c1, CASE WHEN c2 >= c1 THEN c2 + 1 ELSE c2 END) AS cut_low,
+      greatest(c1, CASE WHEN c2 >= c1 THEN c2 + 1 ELSE c2 END) AS cut_high FROM drawn),
+    kids AS (SELECT *, child_a AS child_id, genes_a AS own, genes_b AS other FROM cuts UNION ALL SELECT *, child_b, genes_b, genes_a FROM cuts)
+    SELECT run_id, generation, pair_no, child_id, crossed, cut_low, cut_high, array_to_string(CASE WHEN crossed AND length >= 2
+      THEN list_concat(list_concat(own[1:cut_low], other[cut_low + 1:cut_high]), own[cut_high + 1:]) ELSE own END, ',') AS genes FROM kids""")
+
+
+@query("p5_crossover", _CROSSOVER)
 def _(spark, d):
     return population.crossover(population.mate_pairs(_as_parents(spark, d))).withColumn("genes", F.concat_ws(",", "genes"))
 
@@ -477,7 +527,14 @@ def _(spark, d):
     )
 
 
-@query("p6_mutate")
+_GENE = ("run_id", "generation", "v", "(i - 1)")
+_MUTATION = P.sql("pop_base", select=f""", chosen AS (SELECT *, {_uniform("run_id", "generation", "v", "'mutate-individual'")} < 0.5 AS mutated FROM pop_base)
+    SELECT run_id, generation, v AS child_id, mutated, array_to_string(CASE WHEN mutated THEN list_transform(genes, lambda g, i:
+      CASE WHEN {_uniform(*_GENE, "'mutate-gene'")} < 0.3 THEN greatest(0, g + trunc(sqrt(ln(1.0::DOUBLE - {_uniform(*_GENE, "'mutate-radius'")}) * -2.0::DOUBLE)
+      * cos({_uniform(*_GENE, "'mutate-angle'")} * {2 * math.pi!r}::DOUBLE) * 20.0::DOUBLE)::INT) ELSE g END) ELSE genes END, ',') AS genes FROM chosen""")
+
+
+@query("p6_mutate", _MUTATION)
 def _(spark, d):
     return population.mutate(_as_parents(spark, d)).select(
         "run_id", "generation", "child_id", F.concat_ws(",", "genes").alias("genes"), "mutated"
@@ -529,6 +586,22 @@ def _(spark, d):
     )
 
 
+@query("p7_replace_immigrants", P.sql("pop_base", "pop_loss", select=""", placed AS (SELECT run_id, r AS pos, loss FROM (
+      SELECT run_id, loss, row_number() OVER (PARTITION BY run_id ORDER BY loss, v) - 1 AS r FROM pop_loss WHERE generation = 0) WHERE r < 2
+      UNION ALL SELECT run_id, r + 2, loss FROM (SELECT run_id, loss, row_number() OVER (PARTITION BY run_id ORDER BY v) - 1 AS r FROM pop_loss
+      WHERE generation = 1) WHERE r < 13),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY loss, pos) - 1 AS place, count(*) OVER (PARTITION BY run_id) AS n FROM placed),
+    news AS (SELECT run_id, loss AS new_loss, row_number() OVER (PARTITION BY run_id ORDER BY v) - 1 AS i FROM pop_loss WHERE generation = 1 QUALIFY i < 3)
+    SELECT r.run_id, 0::BIGINT AS generation, place AS individual_id, coalesce(new_loss, loss) AS loss
+    FROM ranked r LEFT JOIN news w ON w.run_id = r.run_id AND w.i = r.n - 1 - r.place"""))
+def _(spark, d):
+    old, new = _next_generation(spark, d)
+    immigrants = population.top_k(new, 3, order="individual_id")
+    return population.replace_population(old, new, immigrants, crowding=False, population_size=15).select(
+        "run_id", "generation", "individual_id", "loss"
+    )
+
+
 def distance_to_target(members):
     """Stand-in evaluator: summed distance of the genes to a fixed profile, as loss and error."""
     target = F.transform("genes", lambda g, i: F.abs(g - (i % 5)).cast("double"))

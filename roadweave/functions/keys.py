@@ -61,13 +61,18 @@ def stable_seed(genes: Column, base_seed: Column) -> Column:
     return F.pmod(high.bitwiseXOR(base_high) + low.bitwiseXOR(base_low), F.lit(4294967295))
 
 
+def _drawn(seed: int, parts: tuple[Column | str | int, ...]) -> Column:
+    """52 bits of the md5 of the seed and the parts joined as text: any SQL engine can draw the same numbers."""
+    cols = [F.lit(p) if isinstance(p, int) else F.col(p) if isinstance(p, str) else p for p in parts]
+    text = F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in cols])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
+
+
 def uniform(seed: int, *parts: Column | str | int) -> Column:
     """A number in [0, 1) that depends only on the named columns and values, never on the partitioning."""
-    cols = [F.lit(p) if isinstance(p, int) else F.col(p) if isinstance(p, str) else p for p in parts]
-    return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 52)).cast("double") / float(1 << 52)
+    return _drawn(seed, parts).cast("double") / float(1 << 52)
 
 
 def uniform_int(n: Column, seed: int, *parts: Column | str | int) -> Column:
     """A number in 0..n-1."""
-    cols = [F.lit(p) if isinstance(p, int) else F.col(p) if isinstance(p, str) else p for p in parts]
-    return F.pmod(F.xxhash64(F.lit(seed), *cols), n.cast("bigint"))
+    return F.pmod(_drawn(seed, parts), n.cast("bigint"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadweave.functions import observe, scoring
@@ -190,6 +190,14 @@ def loss_components(
         .join(counts, "scenario_id", "left")
         .join(expected.select("scenario_id", "expected_vehicles"), "scenario_id", "left")
     )
+    return _with_losses(joined).select(
+        "area_id", "scenario_id", "mae", "coverage_penalty", "e_loss", "fail_total", "reliability_penalty", "loss",
+        "missing_edges",
+    )
+
+
+def _with_losses(joined: DataFrame) -> DataFrame:
+    """Loss columns added to error sums with the trip counts of their scenario."""
     some = F.col("total_edges") > 0
     failed = scoring.fail_total(F.col("routing_failures"), F.col("teleports"))
     penalty = F.when(
@@ -206,25 +214,30 @@ def loss_components(
         .withColumn("e_loss", F.col("mae") + F.col("coverage_penalty"))
         .withColumn("fail_total", failed)
         .withColumn("reliability_penalty", penalty)
-        .select(
-            "area_id", "scenario_id", "mae", "coverage_penalty", "e_loss", "fail_total", "reliability_penalty",
-            (F.col("e_loss") + F.col("reliability_penalty")).alias("loss"), "missing_edges",
-        )
+        .withColumn("loss", F.col("e_loss") + F.col("reliability_penalty"))
     )
 
 
+def _mse() -> Column:
+    return F.when(F.col("total_edges") > 0, F.col("sq_sum") / F.col("total_edges")).otherwise(INF)
+
+
+def _avg_speed_diff() -> Column:
+    return F.when(F.col("total_edges") > 0, F.col("diff_sum") / F.col("total_edges")).otherwise(0.0)
+
+
 def speed_metrics(observed: DataFrame, simulated: DataFrame, scenarios: DataFrame) -> DataFrame:
     n = F.col("total_edges")
     return error_sums(observed, simulated, scenarios).select(
         "area_id",
         "scenario_id",
         F.when(n > 0, F.col("abs_sum") / n).otherwise(INF).alias("mae"),
-        F.when(n > 0, F.col("sq_sum") / n).otherwise(INF).alias("mse"),
+        _mse().alias("mse"),
         "matched_edges",
         "missing_edges",
         F.col("missing_edges").alias("zero_flow_edges"),
         "total_edges",
-        F.when(n > 0, F.col("diff_sum") / n).otherwise(0.0).alias("avg_speed_diff"),
+        _avg_speed_diff().alias("avg_speed_diff"),
     )
 
 
@@ -267,22 +280,21 @@ def evaluate_scenarios(
     expected = candidates.select("scenario_id", "expected_vehicles")
     trips = trip_stats(tripinfo, statistics, expected)
     scenarios = candidates.select("area_id", "scenario_id")
-    loss = loss_components(observed, simulated, scenarios, trips, expected).drop("area_id", "missing_edges")
-    metrics = speed_metrics(observed, simulated, scenarios).drop("area_id", "mae")
     ran = (
         simulated.select("scenario_id")
         .union(statistics.select("scenario_id"))
-        .union(tripinfo.select("scenario_id"))
         .distinct()
         .withColumn("ran", F.lit(True))
     )
     joined = (
-        candidates.join(loss, "scenario_id")
-        .join(metrics, "scenario_id")
-        .join(trips.drop("expected_vehicles"), "scenario_id")
+        _with_losses(error_sums(observed, simulated, scenarios).join(trips, "scenario_id"))
+        .withColumn("mse", _mse())
+        .withColumn("avg_speed_diff", _avg_speed_diff())
+        .withColumn("zero_flow_edges", F.col("missing_edges"))
         .join(ran, "scenario_id", "left")
     )
-    ok = F.coalesce("ran", F.lit(False))
+    # A scenario with completed trips has run even without any other output.
+    ok = F.coalesce("ran", F.col("completed_trips") > 0)
     sentinel = F.lit(scoring.FAILED_EVALUATION_FAIL_TOTAL).cast("bigint")
 
     def unless_failed(name: str, failed):

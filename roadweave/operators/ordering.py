@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
 SLICES = 128
 SAMPLE_PER_SLICE = 20
 CHUNK = 4096
@@ -73,13 +72,16 @@ def sampled_slice(df: DataFrame, order: list[str], slices: int = SLICES) -> Colu
     return F.size(F.filter(F.array(*[literal(p) for p in points]), lambda p: p <= here))
 
 
-def number_rows(
-    df: DataFrame, keys: list[str], order: list[str], out: str, hot_rows: int = HOT_ROWS, slices: int = SLICES
-) -> DataFrame:
-    """Row number from 0 per group along ``order`` (ascending; make it unique within a group)."""
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= hot_rows:
-        return df.withColumn(out, (F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1).cast("bigint"))
+def number_rows(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """Row number from 0 per group along ``order`` (ascending; make it unique within a group).
+
+    For groups that a parameter or a network bounds (a population, the edges of one area): one task sorts a group.
+    """
+    return df.withColumn(out, (F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1).cast("bigint"))
+
+
+def number_rows_sliced(df: DataFrame, keys: list[str], order: list[str], out: str, slices: int = SLICES) -> DataFrame:
+    """The same numbers for groups without a bound: no task sorts a whole group. Samples the order when called."""
     numbered = df.withColumn("_one", F.lit(1).cast("bigint"))
     return running_sum(numbered, keys, sampled_slice(df, order, slices), order, "_one", out).drop("_one")
 

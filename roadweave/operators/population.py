@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from roadweave.functions import keys as K, scoring
 from roadweave.functions.scoring import effective_e_loss, effective_fail_total, effective_penalty, is_feasible
 from roadweave.operators.ordering import explode_range, number_rows, running_min
-from roadweave.session import cut, pickle_by_value
+from roadweave.session import pickle_by_value
 
 pickle_by_value(__name__)
 
@@ -46,7 +46,7 @@ def genotypic_diversity(pop: DataFrame, max_pairs: int | None, seed: int = 42) -
     """
     keys = ["run_id", "generation"]
     sizes = pop.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    shuffled = W.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), *keys, "individual_id"), "individual_id")
+    shuffled = W.partitionBy(*keys).orderBy(K.uniform(seed, *keys, "individual_id", F.lit("diversity")), "individual_id")
     members = pop.select(*keys, "individual_id", "genes").withColumn("_r", F.row_number().over(shuffled))
     if max_pairs is not None:
         members = members.where(F.col("_r") <= max_pairs + 1)
@@ -380,9 +380,6 @@ def checkpoints(pop: DataFrame, every: int = 10) -> DataFrame:
 
 # ---- replacement -----------------------------------------------------------------------------------------------
 
-CROWDING_LIMIT = 20_000
-
-
 def _crowd(members: pd.DataFrame, children: pd.DataFrame) -> pd.DataFrame:
     """Children in order replace their nearest member when they beat it, seeing earlier replacements."""
     if members.empty:
@@ -409,60 +406,24 @@ def _crowd(members: pd.DataFrame, children: pd.DataFrame) -> pd.DataFrame:
     return result
 
 
-def _crowd_by_rounds(members: DataFrame, children: DataFrame) -> DataFrame:
-    """The same replacement for populations too large for one task: one distributed round per child."""
+def crowd(members: DataFrame, children: DataFrame) -> DataFrame:
+    """Deterministic crowding per (run, generation): children are tried one after the other, each sees what the earlier
+    ones replaced. One grouped task per population, so the population size is the bound of a task."""
     keys = ["run_id", "generation"]
-    numbered = cut(number_rows(children.where("loss is not null"), keys, ["individual_id"], "_turn"))
-    members = cut(members)
-    last = numbered.agg(F.max("_turn")).first()[0]
-    for turn in range(0 if last is None else last + 1):
-        child = numbered.where(F.col("_turn") == turn).select(
-            *keys, F.col("genes").alias("c_genes"), F.col("loss").alias("c_loss"), F.col("metrics_json").alias("c_metrics")
-        )
-        near = (
-            members.join(child, keys)
-            .groupBy(*keys)
-            .agg(F.min_by("individual_id", F.struct(l2(F.col("genes"), F.col("c_genes")), "individual_id")).alias("individual_id"))
-        )
-        placed = child.join(near, keys)
-        wins = F.col("c_loss") < F.col("loss")
-        members = cut(
-            members.join(placed, [*keys, "individual_id"], "left").select(
-                *keys, "individual_id",
-                F.when(wins, F.col("c_genes")).otherwise(F.col("genes")).alias("genes"),
-                F.when(wins, F.col("c_loss")).otherwise(F.col("loss")).alias("loss"),
-                F.when(wins, F.col("c_metrics")).otherwise(F.col("metrics_json")).alias("metrics_json"),
-            )
-        )
-    return members
-
-
-def crowd(members: DataFrame, children: DataFrame, limit: int = CROWDING_LIMIT) -> DataFrame:
-    """Deterministic crowding per (run, generation). Runs within ``limit`` rows go through one grouped task each;
-    larger ones take the distributed rounds, with the same result."""
-    keys = ["run_id", "generation"]
-    schema = members.schema
-    sizes = members.select(*keys).unionByName(children.select(*keys)).groupBy(*keys).count()
-    large = sizes.where(F.col("count") > limit).select(*keys)
-    if large.isEmpty():
-        small_members, small_children, rest = members, children, None
-    else:
-        small_members, small_children = members.join(large, keys, "left_anti"), children.join(large, keys, "left_anti")
-        rest = _crowd_by_rounds(members.join(large, keys, "left_semi"), children.join(large, keys, "left_semi"))
     # Fresh column ids: both sides may descend from the same table.
-    small_children = small_children.toDF(*small_children.columns)
-    done = small_members.groupBy(*keys).cogroup(small_children.groupBy(*keys)).applyInPandas(_crowd, schema)
-    return done if rest is None else done.unionByName(rest)
+    fresh = children.toDF(*children.columns)
+    return members.groupBy(*keys).cogroup(fresh.groupBy(*keys)).applyInPandas(_crowd, members.schema)
 
 
 def replace_population(
     pop: DataFrame, children: DataFrame, immigrants: DataFrame | None, elitism: int = 2, crowding: bool = True,
-    population_size: int = 50, crowding_limit: int = CROWDING_LIMIT,
+    population_size: int = 50,
 ) -> DataFrame:
     """The next population: elites stay, children compete, immigrants overwrite the worst, size is kept.
 
     All inputs: run_id, generation, individual_id, genes, loss, metrics. Members that equal an elite are dropped
-    before crowding, so the population may shrink.
+    before crowding, so the population may shrink. ``population_size`` and the children of one generation bound what
+    one task holds while they crowd.
     """
     keys = ["run_id", "generation"]
     metrics_type = pop.schema["metrics"].dataType
@@ -476,7 +437,7 @@ def replace_population(
     tagged_elites = elites.withColumn("_part", F.lit(0))
     if crowding:
         rest = pop.join(elites.select(*keys, "genes").distinct(), [*keys, "genes"], "left_anti").select(*columns)
-        filled = crowd(rest, children.select(*columns), crowding_limit).withColumn("_part", F.lit(1))
+        filled = crowd(rest, children.select(*columns)).withColumn("_part", F.lit(1))
     else:
         numbered = number_rows(children, keys, ["individual_id"], "_n")
         filled = numbered.where(F.col("_n") < population_size - elitism).drop("_n").withColumn("_part", F.lit(1))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadweave.operators import demand
-from roadweave.operators.ordering import explode_range, number_rows, running_min, running_sum
+from roadweave.operators.ordering import explode_range, number_rows, number_rows_sliced, running_min, running_sum
 
 PAIRS = [("A", 0, "A", "B"), ("A", 1, "C", "D")]
 BINS = [("A", 0, 0, 60), ("A", 1, 60, 120)]
@@ -90,8 +90,7 @@ def test_sliced_numbering_equals_a_window(skewed):
     for k, v, i in sorted(rows):
         want[k, i] = seen.get(k, 0)
         seen[k] = want[k, i] + 1
-    for hot_rows in (0, 10**9):
-        got = number_rows(df, ["k"], ["v", "i"], "n", hot_rows=hot_rows, slices=16)
+    for got in (number_rows(df, ["k"], ["v", "i"], "n"), number_rows_sliced(df, ["k"], ["v", "i"], "n", slices=16)):
         assert {(r["k"], r["i"]): r["n"] for r in got.collect()} == want
 
 
