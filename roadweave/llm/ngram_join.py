@@ -131,13 +131,13 @@ def _classes(measured: DataFrame) -> np.ndarray:
             for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
                 part = np.frombuffer(counts.as_py(), "<u4").astype(np.int64)
                 total[chunk] = total[chunk] + part if chunk in total else part
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.astype("<u4").tobytes() for v in total.values()], pa.binary())], ["chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.astype("<i8").tobytes() for v in total.values()], pa.binary())], ["chunk", "counts"])
 
     parts = measured.where("chunk is not null").select("chunk", "counts")
     summed = parts.repartition(CHUNKS, "chunk").mapInArrow(add, "chunk int, counts binary")
     counts = np.zeros((CHUNKS, (1 << BUCKET_BITS) // CHUNKS), np.int64)
     for chunk, part in summed.collect():
-        counts[chunk] += np.frombuffer(part, "<u4")
+        counts[chunk] += np.frombuffer(part, "<i8")
     flat = counts.ravel()
     mean = max(1.0, flat.mean())
     return np.clip(np.floor(np.log2(np.maximum(flat, 1) / mean)), 0, 60).astype(np.uint8)
