@@ -1,14 +1,15 @@
-"""Near-duplicate embeddings by a robust-pruned flat graph.
+"""Near-duplicate embeddings, every pair within the threshold found, by cells of space that overlap exactly as far as needed.
 
-Equal vectors are one node. Nodes go to every cluster whose centre is nearly as close as the nearest one, so the shards
-(label, dimension, cluster) overlap; a shard that is too large is dealt into blocks that share anchor nodes. Each shard
-builds a graph whose adjacency lists are robust-pruned: a neighbour is kept unless a kept one is much closer to it. The
-lists of a node from all its shards are united. Each shard then searches the united graph: from its medoid greedily with a
-beam for every node, and from what lies within the threshold on along its neighbours, as long as that joins new nodes.
-Links are tested in double precision. Nodes that links join are a group, and every pair of a group is verified once, in
-blocks, which counts the links of each vector without listing pairs. ``recall`` audits the result against brute force.
+Equal vectors are one node. The nodes of a label and dimension are a cell; a cell with more than ``CELL`` nodes is split by
+centres, again and again, as long as that saves comparisons. A node is at home with its nearest centre and visits every other cell
+that a vector within the threshold of it can be at home in: two unit vectors with cosine t are sqrt(2 - 2t) apart, so
+a cell takes in what lies up to that distance behind the plane between its centre and the visitor's. A linked pair so meets in the
+home cell of either vector. A cell that is still large is dealt into blocks and every two blocks meet in a task. A task
+compares its pairs in double precision, counts the links of the nodes at home and gives a spanning set of links, so no
+list of pairs is made; nodes that links join are a group.
 
-Cluster centres are fitted on a bounded sample (``SAMPLE`` vectors, at most ``CENTRES`` centres); every vector is indexed.
+Centres are fitted on a bounded sample of a cell; they decide the cost only. Vectors without cluster structure in many
+dimensions cannot be split, and each is compared with every vector of its label.
 
 Defined results: a null label, or a vector that is null, empty, zero or has null or non-finite components, links with
 nothing; vectors of different length never link; repeated rows are equal vectors; rows that repeat an id are counted as
@@ -26,17 +27,15 @@ from roadweave.llm.components import connected
 from roadweave.session import cut, pickle_by_value
 
 THRESHOLD = 0.98
-SAMPLE = 20_000
-CENTRES = 256
-PER_CENTRE = 8192
-MARGIN = 0.08
+CELL = 4096
+SAMPLE = 4096
+CENTRES = 32
+LEVELS = 6
+MOST_PAIRS = 0.5
+MOST_COPIES = 3.0
+SLACK = 1e-6
 BLOCK = 4096
-ANCHORS = 256
-DEGREE = 16
-CANDIDATES = 40
-ALPHA = 1.2
-BEAM = 12
-VERIFY = 1024
+STRIP = 512
 
 
 def usable(embedding: Column) -> Column:
@@ -51,176 +50,137 @@ def unit(rows: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def centres(nodes: DataFrame) -> dict[int, np.ndarray]:
-    """Unit cluster centres by dimension, fitted on a bounded sample of the nodes."""
-    total = nodes.count()
-    share = min(1.0, 2 * SAMPLE / max(total, 1))
-    place = F.pmod(F.xxhash64(F.lit(11), "node"), F.lit(1 << 30))
-    rows = nodes.where(place < int(share * (1 << 30)) + 1).orderBy(place, "node").limit(SAMPLE).select("embedding").toPandas()
-    fitted = {}
-    wanted = max(1, min(CENTRES, -(-total // PER_CENTRE)))
-    for size, group in rows.groupby(rows["embedding"].map(len)):
-        x, rng = unit(group["embedding"]), np.random.default_rng(5)
-        c = x[rng.choice(len(x), min(wanted, len(x)), replace=False)]
-        for _ in range(10):
-            near = (x @ c.T).argmax(axis=1)
-            sums = np.stack([x[near == k].sum(axis=0) if (near == k).any() else c[k] for k in range(len(c))])
-            c = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-        fitted[int(size)] = c
-    return fitted
-
-
-def place_in_shards(nodes: DataFrame, fitted: dict[int, np.ndarray]) -> DataFrame:
-    """(label, dim, cluster, block, node, embedding): every node in its cluster and in those nearly as close."""
-
-    def assign(batches):
-        for batch in batches:
-            for dim, rows in batch.groupby(batch["embedding"].map(len)):
-                c = fitted.get(int(dim))
-                near = np.ones((len(rows), 1), bool) if c is None else None
-                if near is None:
-                    cos = unit(rows["embedding"]) @ c.T
-                    near = cos >= cos.max(axis=1, keepdims=True) - MARGIN
-                at, cluster = np.nonzero(near)
-                out = rows.iloc[at].reset_index(drop=True)
-                out["dim"], out["cluster"] = int(dim), cluster
-                yield out[["label", "dim", "cluster", "node", "embedding"]]
-
-    placed = nodes.mapInPandas(assign, "label int, dim int, cluster int, node long, embedding array<float>")
-    sizes = placed.groupBy("label", "dim", "cluster").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    anchor = F.pmod(F.xxhash64(F.lit(12), "node"), F.col("size")) < ANCHORS
-    one = F.array(F.pmod(F.xxhash64(F.lit(13), "node"), blocks).cast("int"))
-    block = F.when((blocks > 1) & anchor, F.sequence(F.lit(0), blocks - 1)).otherwise(one)
-    return placed.join(sizes, ["label", "dim", "cluster"]).select("label", "dim", "cluster", F.explode(block).alias("block"), "node", "embedding")
-
-
-SHARD = ["label", "dim", "cluster", "block"]
-
-
-def robust_prune(x: np.ndarray, i: int, found: np.ndarray, cos: np.ndarray) -> list[int]:
-    """Neighbours of node ``i`` out of ``found`` (nearest first): each drops those it is much closer to than ``i`` is."""
-    between = 1 - x[found] @ x[found].T
-    mine, alive, kept = 1 - cos, np.ones(len(found), bool), []
-    for k in range(len(found)):
-        if alive[k]:
-            kept.append(int(found[k]))
-            if len(kept) == DEGREE:
-                break
-            alive &= ~(ALPHA * between[k] <= mine)
-    return kept
-
-
-def build(shard: pd.DataFrame) -> pd.DataFrame:
-    """(node, near): the pruned adjacency lists of a shard."""
-    x, ids = unit(shard["embedding"]), shard["node"].to_numpy()
-    lists = []
-    for low in range(0, len(x), 512):
-        cos = x[low : low + 512] @ x.T
-        for r in range(len(cos)):
-            cos[r, low + r] = -2.0
-            k = min(CANDIDATES, len(x) - 1)
-            found = np.argpartition(-cos[r], k - 1)[:k] if k > 0 else np.empty(0, int)
-            found = found[np.argsort(-cos[r, found], kind="stable")]
-            lists.append(ids[robust_prune(x, low + r, found, cos[r, found])].tolist() if k > 0 else [])
-    return pd.DataFrame({"node": ids, "near": lists})
-
-
-def search(shard: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """(a, b): links that join the nodes of a shard which the search finds within the threshold, a spanning set of them."""
-    x, ids = unit(shard["embedding"]), shard["node"].to_numpy()
-    place = {n: i for i, n in enumerate(ids.tolist())}
-    width = max([1, *map(len, shard["near"])])
-    near = np.full((len(x), width), -1)
-    for i, row in enumerate(shard["near"]):
-        inside = [place[n] for n in row if n in place]
-        near[i, : len(inside)] = inside
-    parent = np.arange(len(x))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    links: list[tuple[int, int]] = []
-
-    def join(a: np.ndarray, b: np.ndarray) -> None:
-        good = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
-        for i, j in zip(a[good].tolist(), b[good].tolist()):
-            p, q = root(i), root(j)
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-                links.append((i, j))
-
-    medoid = int((x @ x.mean(axis=0)).argmax())
-    for low in range(0, len(x), 256):
-        queries = np.arange(low, min(low + 256, len(x)))
-        beam = np.full((len(queries), BEAM), -1)
-        beam[:, 0] = medoid
-        cos = np.full(beam.shape, -2.0)
-        cos[:, 0] = x[queries] @ x[medoid]
-        done = np.zeros(beam.shape, bool)
-        for _ in range(4 * BEAM):
-            todo = np.where(done | (beam < 0), -3.0, cos)
-            pick = todo.argmax(axis=1)
-            active = np.take_along_axis(todo, pick[:, None], 1)[:, 0] > -3
-            if not active.any():
-                break
-            np.put_along_axis(done, pick[:, None], True, 1)
-            step = near[np.where(active, np.take_along_axis(beam, pick[:, None], 1)[:, 0], 0)]
-            step[~active] = -1
-            known = (step[:, :, None] == beam[:, None, :]).any(axis=2)
-            step[known] = -1
-            fresh = np.einsum("qd,qkd->qk", x[queries], x[step])
-            fresh[step < 0] = -2.0
-            ids_, cs, ds = np.hstack([beam, step]), np.hstack([cos, fresh]), np.hstack([done, np.zeros(step.shape, bool)])
-            top = np.argsort(-cs, axis=1, kind="stable")[:, :BEAM]
-            beam, cos, done = (np.take_along_axis(v, top, 1) for v in (ids_, cs, ds))
-        a, b = np.repeat(queries, BEAM), beam.ravel()
-        keep = (b >= 0) & (a != b)
-        join(a[keep], b[keep])
-    # The range grows along the graph: neighbours of what has been joined, as long as they join anything more.
-    before = -1
-    while len(links) != before:
-        before = len(links)
-        a, b = np.repeat(np.arange(len(x)), width), near.ravel()
-        keep = b >= 0
-        join(a[keep], b[keep])
-        roots = np.array([root(i) for i in range(len(x))])
-        hop = near[np.where(near < 0, 0, near)].reshape(len(x), -1)
-        hop[np.repeat(near < 0, width, axis=1)] = -1
-        a, b = np.repeat(np.arange(len(x)), hop.shape[1]), hop.ravel()
-        keep = b >= 0
-        a, b = a[keep], b[keep]
-        keep = roots[a] != roots[b]
-        for low in range(0, int(keep.sum()), 100_000):
-            join(a[keep][low : low + 100_000], b[keep][low : low + 100_000])
-    return pd.DataFrame({"a": ids[[i for i, _ in links]], "b": ids[[j for _, j in links]]}, dtype=np.int64)
-
-
-def count_block(block: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links of the nodes on the left side of a block pair to those on its right side, equal vectors counted each."""
-    left, right = block[block["side"] == 0], block[block["side"] == 1]
-    if not len(left) or not len(right):
-        return pd.DataFrame({"node": np.empty(0, np.int64), "links": np.empty(0, np.int64)})
-    near = (unit(left["embedding"]) @ unit(right["embedding"]).T) >= threshold
-    near &= left["node"].to_numpy()[:, None] != right["node"].to_numpy()[None, :]
-    return pd.DataFrame({"node": left["node"].to_numpy(), "links": near @ right["copies"].to_numpy()})
-
-
-def links_in_groups(nodes: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
-    """(node, links) of the nodes of a group, every pair of the group compared once, ``VERIFY`` by ``VERIFY``."""
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.ceil(F.col("size") / VERIFY).cast("int")
-    mine = F.pmod(F.xxhash64(F.lit(14), "node"), blocks).cast("int")
-    rows = nodes.join(groups, "node").join(sizes, "component").withColumn("blocks", blocks).withColumn("mine", mine)
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    base = rows.select("component", "mine", every, "node", "embedding", "copies")
-    sides = base.select("component", F.col("mine").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "node", "embedding", "copies").union(
-        base.select("component", F.col("other").alias("i"), F.col("mine").alias("j"), F.lit(1).alias("side"), "node", "embedding", "copies")
+KEY = ["label", "dim", "cell"]
+PLACED = "label int, dim int, cell string, home boolean, node long, embedding array<float>, copies long"
+
+
+def reach(threshold: float) -> float:
+    """The largest distance of two unit vectors within the threshold."""
+    return float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+
+
+def cells_of(x: np.ndarray, c: np.ndarray, far: float) -> tuple[np.ndarray, np.ndarray]:
+    """(home, visited): the nearest centre of each vector, and all cells that hold the homes of vectors up to ``far`` away."""
+    cos = x @ c.T
+    home = cos.argmax(axis=1)
+    apart = np.linalg.norm(c[:, None, :] - c[None, :, :], axis=2)
+    return home, np.take_along_axis(cos, home[:, None], 1) - cos <= far * apart[home] + SLACK
+
+
+def fit_cell(sample: pd.DataFrame, far: float) -> pd.DataFrame:
+    """(label, dim, cell, centres): the centres of one cell, or no row if a split by them does not pay."""
+    x, rng = unit(sample["embedding"]), np.random.default_rng(5)
+    wanted = min(CENTRES, int(-(-2 * sample["size"].iloc[0] // CELL)), len(x))
+    c = x[rng.choice(len(x), wanted, replace=False)]
+    for _ in range(10):
+        near = (x @ c.T).argmax(axis=1)
+        sums = np.stack([x[near == k].sum(axis=0) if (near == k).any() else c[k] for k in range(len(c))])
+        c = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+    home, visited = cells_of(x, c, far)
+    inside, copies = visited.sum(axis=0), visited.sum() / len(x)
+    pays = (np.bincount(home, minlength=len(c)) @ inside) / len(x) ** 2 <= MOST_PAIRS and copies <= MOST_COPIES
+    out = sample[KEY].head(int(pays))
+    return out.assign(centres=pd.Series([c.ravel().tolist()] * len(out), index=out.index, dtype=object))
+
+
+def assign(rows: pd.DataFrame, fitted: pd.DataFrame, far: float) -> pd.DataFrame:
+    """A part of one cell in the cells of its centres; what only visits the cell visits its parts."""
+    names = [*KEY, "home", "node", "embedding", "copies"]
+    if not len(rows) or not len(fitted):
+        return rows[names].head(0)
+    home, visited = cells_of(unit(rows["embedding"]), np.array(fitted["centres"].iloc[0]).reshape(-1, int(rows["dim"].iloc[0])), far)
+    at, cell = np.nonzero(visited)
+    out = rows.iloc[at].reset_index(drop=True)
+    out["home"] = out["home"].to_numpy(bool) & (home[at] == cell)
+    out["cell"] = out["cell"] + "/" + pd.Series(cell.astype(str), dtype=object)
+    return out[names]
+
+
+def cell_sizes(rows: DataFrame) -> DataFrame:
+    return cut(rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("total"), F.count(F.when(F.col("home"), 1)).alias("size")))
+
+
+def place_in_cells(nodes: DataFrame, threshold: float) -> DataFrame:
+    """Every node in its home cell and in the cells it visits, with the number of nodes of the cell (``total``)."""
+    far = reach(threshold)
+    rows = nodes.select(
+        "label", F.size("embedding").alias("dim"), F.lit("").alias("cell"), F.lit(True).alias("home"), "node", "embedding", "copies"
+    )
+    done = []
+    for level in range(LEVELS + 1):
+        sizes = cell_sizes(rows)
+        large = sizes.where(F.col("size") > CELL)
+        if level == LEVELS or large.isEmpty():
+            done.append(rows.join(sizes, KEY))
+            break
+        # Bounded: about SAMPLE rows of a cell.
+        drawn = F.pmod(F.xxhash64(F.lit(11 + level), "node"), F.col("size")) < SAMPLE
+        sample = rows.where("home").join(large, KEY).where(drawn).select(*KEY, "size", "embedding")
+        fitted = cut(sample.groupBy(*KEY).applyInPandas(lambda s: fit_cell(s, far), "label int, dim int, cell string, centres array<double>"))
+        split = cut(fitted.select(*KEY))
+        done.append(rows.join(split, KEY, "left_anti").join(sizes, KEY))
+        if split.isEmpty():
+            break
+        parts = F.ceil(F.col("total") / BLOCK).cast("int")
+        dealt = rows.join(split, KEY).join(sizes, KEY).withColumn("part", F.pmod(F.xxhash64(F.lit(31), "node"), parts).cast("int"))
+        every = fitted.join(sizes, KEY).select(*KEY, "centres", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        both = dealt.groupBy(*KEY, "part").cogroup(every.groupBy(*KEY, "part"))
+        rows = cut(both.applyInPandas(lambda r, c: assign(r, c, far), PLACED))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def spanning(near: np.ndarray) -> tuple[list[int], list[int]]:
+    """(rows, columns) of links that join all that the links of ``near`` join: a tree for each part."""
+    back = np.ascontiguousarray(near.T)
+    new_row, new_col = near.any(axis=1), back.any(axis=1)
+    a: list[int] = []
+    b: list[int] = []
+    for first in np.flatnonzero(new_row).tolist():
+        if not new_row[first]:
+            continue
+        new_row[first] = False
+        todo = [(True, first)]
+        while todo:
+            is_row, i = todo.pop()
+            fresh = np.flatnonzero(near[i] & new_col if is_row else back[i] & new_row).tolist()
+            (new_col if is_row else new_row)[fresh] = False
+            a += [i] * len(fresh) if is_row else fresh
+            b += fresh if is_row else [i] * len(fresh)
+            todo += [(not is_row, j) for j in fresh]
+    return a, b
+
+
+def compare(block: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """(a, b, links) of two blocks of a cell: the links of each node at home, as (node, node, links), equal vectors counted each,
+    and links (a, b, 0) that join the nodes."""
+    i, j = int(block["i"].iloc[0]), int(block["j"].iloc[0])
+    left, right = block[block["mine"] == i], block[block["mine"] == j]
+    x, y = unit(left["embedding"]) if len(left) else np.empty((0, 0)), unit(right["embedding"]) if len(right) else np.empty((0, 0))
+    if not len(x) or not len(y):
+        return pd.DataFrame({"a": [], "b": [], "links": []}, dtype=np.int64)
+    p, q = left["node"].to_numpy(), right["node"].to_numpy()
+    near = np.empty((len(x), len(y)), bool)
+    for low in range(0, len(x), STRIP):
+        near[low : low + STRIP] = (x[low : low + STRIP] @ y.T >= threshold) & (p[low : low + STRIP, None] != q[None, :])
+    parts = [(left, near @ right["copies"].to_numpy())]
+    if i != j:
+        parts.append((right, left["copies"].to_numpy() @ near))
+    counted = [pd.DataFrame({"a": side["node"], "b": side["node"], "links": n})[side["home"].to_numpy(bool) & (n > 0)] for side, n in parts]
+    a, b = spanning(near)
+    return pd.concat([*counted, pd.DataFrame({"a": p[a], "b": q[b], "links": 0})]).astype(np.int64)
+
+
+def compared(placed: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, links) of all cells, every two blocks of a cell in one task, ``BLOCK`` by ``BLOCK``."""
+    blocks = F.ceil(F.col("total") / BLOCK).cast("int")
+    rows = placed.withColumn("mine", F.pmod(F.xxhash64(F.lit(13), "node"), blocks).cast("int"))
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
+        *KEY, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "home", "node", "embedding", "copies"
     )
-    counted = sides.groupBy("component", "i", "j").applyInPandas(lambda b: count_block(b, threshold), "node long, links long")
-    return counted.groupBy("node").agg(F.sum("links").alias("links"))
+    return met.groupBy(*KEY, "i", "j").applyInPandas(lambda b: compare(b, threshold), "a long, b long, links long")
 
 
 def dedup(
@@ -233,12 +193,9 @@ def dedup(
     fit_for = F.col("label").isNotNull() & F.coalesce(usable(F.col("embedding")), F.lit(False)) & F.col("vec_id").isNotNull()
     good = rows.where(fit_for)
     nodes = cut(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")))
-    placed = cut(place_in_shards(nodes, centres(nodes)))
-    lists = placed.groupBy(*SHARD).applyInPandas(build, "node long, near array<long>")
-    united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    links = placed.join(united, "node").groupBy(*SHARD).applyInPandas(lambda s: search(s, threshold), "a long, b long")
-    groups = connected(cut(links))
-    counted = links_in_groups(nodes, groups, threshold)
+    found = cut(compared(place_in_cells(nodes, threshold), threshold))
+    groups = connected(found.where("a <> b").select("a", "b"))
+    counted = found.where("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     known = nodes.join(groups, "node", "left").join(counted, "node", "left").select(
         F.col("label").alias("_label"), F.col("embedding").alias("_embedding"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"),

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -192,6 +193,52 @@ def test_embedding_dedup_equals_brute_force(spark):
     assert embedding_dedup.dedup(table.limit(0)).collect() == []
 
 
+def components(links, n):
+    """The least member of each part, by links (a, b)."""
+    part = list(range(n))
+
+    def root(i):
+        while part[i] != i:
+            part[i] = i = part[part[i]]
+        return i
+
+    for a, b in links:
+        p, q = sorted((root(a), root(b)))
+        part[q] = p
+    return [root(i) for i in range(n)]
+
+
+def exact_dedup(spark, x, labels):
+    """(got, want): n_links and component_id by vec_id of ``dedup`` and of all pairs of each label."""
+    table = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, labels))], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.dedup(table).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = []
+    for low in range(0, len(u), 500):
+        near = (u[low : low + 500] @ u.T >= 0.98) & (labels[low : low + 500, None] == labels[None, :])
+        links += [(low + a, b) for a, b in np.argwhere(near).tolist() if low + a != b]
+    counts = Counter(a for a, _ in links)
+    return got, {i: (counts[i], c) for i, c in enumerate(components(links, len(x)))}
+
+
+def test_embedding_dedup_finds_isolated_pairs_of_a_large_label(spark):
+    rng = np.random.default_rng(8)
+    far = rng.normal(size=(10_000, 24)).astype(np.float32)
+    twins = (far[:400] + rng.normal(size=(400, 24)) * 0.05).astype(np.float32)
+    got, want = exact_dedup(spark, np.vstack([far, twins]), np.zeros(10_400, int))
+    assert got == want and sum(n for n, _ in want.values()) >= 800
+
+
+def test_embedding_dedup_splits_a_large_label_without_loss(spark):
+    rng = np.random.default_rng(9)
+    x = np.vstack([rng.normal(size=(9000, 3)), rng.normal(size=(30, 3))]).astype(np.float32)
+    labels = np.r_[np.zeros(9000, int), np.ones(30, int)]
+    fitted = embedding_dedup.fit_cell(pd.DataFrame({"embedding": list(x[:4096]), "size": 9000, "label": 0, "dim": 3, "cell": ""}), embedding_dedup.reach(0.98))
+    assert len(fitted) == 1
+    got, want = exact_dedup(spark, x, labels)
+    assert got == want
+
+
 def test_mixing_meets_targets(spark, docs, empty):
     got = mixing.mix_report(docs, block=16).collect()
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in TEXTS)
