@@ -239,6 +239,20 @@ def test_embedding_dedup_splits_a_large_label_without_loss(spark):
     assert got == want
 
 
+def test_embedding_dedup_joins_tight_groups(spark):
+    rng = np.random.default_rng(10)
+
+    def group(size, axis, shift):
+        x = np.zeros((size, 32))
+        x[:, axis], x[:, axis + 1] = 1.0, shift
+        return x + rng.normal(size=x.shape) * 0.002
+
+    # A third group, far away, holds the middle of all.
+    x = np.vstack([group(120, 0, 0.0), group(120, 0, 0.17), group(400, 8, 0.0)]).astype(np.float32)
+    got, want = exact_dedup(spark, x, np.zeros(640, int))
+    assert got == want and {c for _, c in got.values()} == {0, 240}
+
+
 def test_mixing_meets_targets(spark, docs, empty):
     got = mixing.mix_report(docs, block=16).collect()
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in TEXTS)
