@@ -3,7 +3,8 @@
 The lexicon is learned: words that mark toxic documents by their log odds and stand in several different contexts (words
 of a copied text always follow the same word). Its trie is intersected with the Levenshtein automaton of distance one, stems
 (``lowe*``) match whatever follows: states are sets of (trie node, edits), built when first met, so a word costs one table step per letter. Each match is
-weighed by the words in a window around it and by quotation marks; a logistic model of these sums gives the score.
+weighed by the words in a window around it and by its place between quotation marks; a logistic model of these sums gives the score.
+A digit or symbol between letters (``mor0n``) counts as one edit; words that clean documents use are no misspellings.
 
 Lexicon, context words and weights are fitted on a bounded sample of labelled rows (``per_class`` of each class) and have
 fixed bounds; every document is scored over its whole text. Language, source and id are no inputs of a score.
@@ -16,6 +17,7 @@ other columns are never read; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,18 +35,36 @@ MAX_CONTEXT = 2000
 MAX_KNOWN = 5000
 MIN_CONTEXTS = 3
 MIN_LOG_ODDS = 2.0
-FUZZY_LENGTH = 6
+FUZZY_LENGTH = 4
 REACH = 4
 CACHED_WORDS = 200_000
 MAX_STATES = 200_000
 STEM = "*"
 STEM_LENGTHS = (4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
-_QUOTES = re.compile("[\"“„«‘>]")
-
-
-def words_in(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+_CHAIN = re.compile(r"[^\W\d_]++(?:(?!\s)[\W\d_][^\W\d_]++)++")
+#: What stands between an opening and its closing mark, and lines behind ``>``. A mark without its other one quotes nothing.
+_QUOTED = re.compile(
+    r'(?<!\w)"[^"]*+"(?!\w)|“[^“”]*+”|„[^„“”]*+[“”]|«[^«»]*+»|‘(?:[^‘’]|(?<=\w)’(?=\w))*+’|^[ \t]*+>[^\n]*+', re.MULTILINE
+)
+
+
+def words_and_joined(text: str | None) -> tuple[list[str], list[tuple[int, str]]]:
+    """The words, and what one digit or symbol joins as (place of its first word, string)."""
+    text = (text or "").lower()
+    words: list[str] = []
+    joined: list[tuple[int, str]] = []
+    at = 0
+    for m in _CHAIN.finditer(text):
+        words += _WORD.findall(text, at, m.start())
+        pieces = _WORD.findall(m.group())
+        place = 0
+        for k, (a, b) in enumerate(zip(pieces, pieces[1:])):
+            joined.append((len(words) + k, m.group()[place : place + len(a) + 1 + len(b)]))
+            place += len(a) + 1
+        words += pieces
+        at = m.end()
+    return words + _WORD.findall(text, at), joined
 
 
 class Automaton:
@@ -146,25 +166,33 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"matches": None}
 
-    def hits(self, words: list[str]) -> list[tuple[int, int, int]]:
+    def hits(self, words: list[str], joined: list[tuple[int, str]] = ()) -> list[tuple[int, int, int]]:
+        """(place, edits, term) of the words that match, and of two joined words where neither matches."""
         if self.matches is None:
             self.matches = Matches(Automaton(self.terms), self.known)
-        return [(i, *m) for i, m in enumerate(map(self.matches.__getitem__, words)) if m is not None]
+        found = {i: m for i, m in enumerate(map(self.matches.__getitem__, words)) if m is not None}
+        for i, form in joined:
+            if i not in found and i + 1 not in found and (m := self.matches[form]) is not None:
+                found[i] = m
+        return [(i, *m) for i, m in sorted(found.items())]
 
     def window(self, words: list[str], i: int) -> list[str]:
         return words[max(0, i - REACH) : i] + words[i + 1 : i + 1 + REACH]
 
     def features(self, text: str | None) -> list[float]:
-        words = words_in(text)
-        hits = self.hits(words)
+        words, joined = words_and_joined(text)
+        hits = self.hits(words, joined)
         if not hits:
             return [1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]
         exact = [h for h in hits if h[1] == 0]
         near = [self.context.get(w, 0.0) for i, _, _ in hits for w in self.window(words, i)]
         quoted = 0.0
-        if _QUOTES.search(text):
-            marks = {w for m in _QUOTES.finditer(text) for w in words_in(text[m.end() : m.end() + 40])[:2]}
-            quoted = sum(words[i] in marks for i, _, _ in hits) / len(hits)
+        text = text.lower()
+        inside = [m.span() for m in _QUOTED.finditer(text)]
+        if inside:
+            starts, opens = [m.start() for m in _WORD.finditer(text)], [low for low, _ in inside]
+            spans = [inside[bisect_right(opens, starts[i]) - 1] for i, _, _ in hits]
+            quoted = sum(low <= starts[i] < high for (i, _, _), (low, high) in zip(hits, spans)) / len(hits)
         return [
             1.0,
             float(np.log1p(len(exact))),
@@ -210,8 +238,8 @@ def _per_word(emit) -> object:
 
 
 def _seen(text: str | None, label: int, count: Counter, bits: dict[str, int]) -> None:
-    words = words_in(text)
-    count.update({w for w in words} | {w[:n] + STEM for w in set(words) for n in STEM_LENGTHS if len(w) > n})
+    words, joined = words_and_joined(text)
+    count.update({w for w in words} | {form for _, form in joined} | {w[:n] + STEM for w in set(words) for n in STEM_LENGTHS if len(w) > n})
     if label:
         for before, w in zip(words, words[1:]):
             bit = 1 << (sum(before.encode()) * 31 + len(before)) % 61
@@ -254,8 +282,8 @@ def fit(
     model = Model(lexicon, known)
 
     def around(text: str | None, label: int, count: Counter, bits: dict[str, int]) -> None:
-        words = words_in(text)
-        count.update(w for i, _, _ in model.hits(words) for w in model.window(words, i))
+        words, joined = words_and_joined(text)
+        count.update(w for i, _, _ in model.hits(words, joined) for w in model.window(words, i))
 
     context = _summed(rows, around).select("*", (F.col("pos") + F.col("neg")).alias("n")).where("n >= 20")
     beside = context.orderBy(F.desc("n"), "word").limit(MAX_CONTEXT).collect()

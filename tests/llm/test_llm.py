@@ -332,6 +332,25 @@ def test_toxicity_separates_held_out_documents(spark, docs, empty):
     assert {r.score for r in toxicity.score(docs, nothing, crc_bucket("doc_id", 5) == 0).collect()} == {0.0}
 
 
+def test_toxicity_matches_short_misspellings_symbols_and_quotations():
+    model = toxicity.Model({"moron": 3.0, "scum": 3.0, "pathetic": 3.0}, frozenset({"boron"}))
+
+    def found(text):
+        return [(i, edits, model.terms[t]) for i, edits, t in model.hits(*toxicity.words_and_joined(text))]
+
+    assert found("a morron, boron") == [(1, 1, "moron")]
+    assert found("mor0n path3tic sc*um") == [(0, 1, "moron"), (2, 1, "pathetic"), (4, 1, "scum")]
+    assert found("a-moron/scum x1y m0r0n") == [(1, 0, "moron"), (2, 0, "scum")]
+
+    def quoted(text):
+        return model.features(text)[6]
+
+    assert quoted('they wrote "what a sad old moron" to me') == 1.0
+    assert quoted("„so ein moron“ and «ah scum» and ‘it’s scum’") == 1.0
+    assert quoted("> you are all such pathetic people\nno moron here") == 0.5
+    assert quoted('"good day" moron') == 0.0 and quoted('the 5" moron') == 0.0
+
+
 def test_language_id_on_held_out_documents(spark, empty):
     if not os.path.isdir(DATA):
         pytest.skip("benchmark tables are not here")
