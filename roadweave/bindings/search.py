@@ -570,7 +570,7 @@ _CROWDING = P.sql("pop_base", "pop_loss", select="SELECT 1").replace("WITH ", "W
 @query("p7_replace_crowding", _CROWDING)
 def _(spark, d):
     old, new = _next_generation(spark, d)
-    return population.replace_population(old, new, None, population_size=1000).select(
+    return population.replace_population(old, new, None, population_size=None).select(
         "run_id", "generation", "loss", F.concat_ws(",", "genes").alias("genes")
     )
 

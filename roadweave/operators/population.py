@@ -417,14 +417,16 @@ def crowd(members: DataFrame, children: DataFrame) -> DataFrame:
 
 def replace_population(
     pop: DataFrame, children: DataFrame, immigrants: DataFrame | None, elitism: int = 2, crowding: bool = True,
-    population_size: int = 50,
+    population_size: int | None = 50,
 ) -> DataFrame:
     """The next population: elites stay, children compete, immigrants overwrite the worst, size is kept.
 
     All inputs: run_id, generation, individual_id, genes, loss, metrics. Members that equal an elite are dropped
-    before crowding, so the population may shrink. ``population_size`` and the children of one generation bound what
-    one task holds while they crowd.
+    before crowding, so the population may shrink. The members and the children of one generation meet in one task while
+    they crowd; ``population_size`` limits the result only, with None (crowding only) every member stays.
     """
+    if population_size is None and not crowding:
+        raise ValueError("population_size may be None with crowding only")
     keys = ["run_id", "generation"]
     metrics_type = pop.schema["metrics"].dataType
     columns = [*keys, "individual_id", "genes", "loss", "metrics_json"]
@@ -464,7 +466,8 @@ def replace_population(
             F.when(taken, F.col("i_loss")).otherwise(F.col("loss")).alias("loss"),
             F.when(taken, F.col("i_metrics")).otherwise(F.col("metrics_json")).alias("metrics_json"),
         )
-    return placed.where(F.col("_pos") < population_size).select(
+    kept = placed if population_size is None else placed.where(F.col("_pos") < population_size)
+    return kept.select(
         *keys, F.col("_pos").alias("individual_id"), "genes", "loss",
         F.from_json("metrics_json", metrics_type, {"allowNonNumericNumbers": "true"}).alias("metrics"),
     )

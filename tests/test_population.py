@@ -178,6 +178,16 @@ def test_crowding_equals_a_loop(spark):
     assert sorted(r["individual_id"] for r in got) == list(range(len(want)))
 
 
+def test_crowding_query_keeps_every_member(spark, monkeypatch):
+    from roadweave.bindings import search
+    from roadweave.bindings.registry import QUERIES
+
+    old = members(spark, [((i,), float(i), {}) for i in range(1100)])
+    monkeypatch.setattr(search, "_next_generation", lambda spark, d: (old, members(spark, [((1050,), 0.5, {})])))
+    got = QUERIES["p7_replace_crowding"](spark, "").collect()
+    assert len(got) == 1100 and [r["genes"] for r in got if r["loss"] == 0.5] == ["1050"]
+
+
 def test_elitism_and_immigrants(spark):
     pop = members(spark, [((i,), float(i), {}) for i in range(6)])
     kids = members(spark, [((10 + i,), 10.0 + i, {"error": "boom"}) for i in range(6)])
