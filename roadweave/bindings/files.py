@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from roadweave.bindings import proxies as P
@@ -247,18 +249,27 @@ def _(spark, d):
     return readers.scan_runs(spark, root)
 
 
-def _write_logs(spark, d):
-    root = scratch_path(spark, "logs")
+def _log_lines(docs):
     i = c("doc_id") % 4
     level = F.when(i == 0, "INFO").when(i == 1, "WARNING").when(i == 2, "ERROR").otherwise("DEBUG")
     one_line = F.regexp_replace("text", r"[\r\n]+", " ")
-    P.table(spark, d, "documents").select(
+    return docs.select(
         F.concat(F.lit("run_"), c("source")).alias("dir"), c("doc_id"),
         F.concat_ws(" - ", F.lit("2024-01-01 00:00:00"), F.lit("app"), level, one_line).alias("value"),
-    ).repartition("dir").sortWithinPartitions("dir", "doc_id").drop("doc_id").write.partitionBy("dir").text(root)
+    ).repartition("dir").sortWithinPartitions("dir", "doc_id").drop("doc_id")
+
+
+def _write_logs(spark, d):
+    root = scratch_path(spark, "logs")
+    _log_lines(P.table(spark, d, "documents")).write.partitionBy("dir").text(root)
     return root
 
 
+def _write_rolled(docs, root, number):
+    """One file per run, in a folder whose name sorts by time."""
+    _log_lines(docs).write.partitionBy("dir").text(f"{root}/rolled_{number}")
+
+
 _LOG_FILE_SQL = """SELECT source AS run_id, CASE doc_id % 4 WHEN 0 THEN 'info' WHEN 1 THEN 'warning' WHEN 2 THEN 'error' END AS level,
     regexp_replace(regexp_replace(text, '[\\r\\n]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS message FROM documents WHERE doc_id % 4 < 3"""
 
@@ -419,12 +430,32 @@ def _(spark, d):
     return out.select("area_id", "segment_id", "edge_id", "current_speed", r6(c("match_confidence")).alias("match_confidence"))
 
 
+@contextmanager
+def _state_in_rocksdb(spark):
+    """Stateful processors need this state store."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @query("t5_stream_logs", f"""SELECT run_id, level, message FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY doc_id DESC) AS r FROM (
     {_LOG_FILE_SQL.replace('SELECT source', 'SELECT doc_id, source', 1)})) WHERE r <= 20""")
 def _(spark, d):
-    root = _write_logs(spark, d)
-    out = _batches(spark, lambda sink: streams.stream_logs(spark, root, sink, 20))
-    return out.select("run_id", "level", "message")
+    # Four rolled files of every run, the smallest ids in the file that was rolled first; several triggers.
+    root = scratch_path(spark, "rolled-logs")
+    docs = P.table(spark, d, "documents")
+    quarters = docs.agg(F.percentile_approx("doc_id", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()[0]
+    for number, (low, high) in enumerate(zip([None, *quarters], [*quarters, None])):
+        part = docs.where((F.lit(low).isNull() | (c("doc_id") >= F.lit(low))) & (F.lit(high).isNull() | (c("doc_id") < F.lit(high))))
+        _write_rolled(part, root, number)
+    with _state_in_rocksdb(spark):
+        snapshots = _batches(spark, lambda sink: streams.for_each_batch(
+            streams.stream_logs(spark, root, 20, files_per_trigger=20), lambda b: b, sink).outputMode("update"))
+    return streams.current_tails(snapshots).select("run_id", "level", "message")
 
 
 @query("t6_stream_progress", B.PROGRESS_SQL)
@@ -438,35 +469,36 @@ def _(spark, d):
     "SELECT run_id, generation::BIGINT AS generation, best_loss, improved, stalled, stalled >= 5 AS boosted,",
     "SELECT run_id, generation::BIGINT AS generation, best_loss, stalled, stalled >= 5 AS boosted FROM fold --").split("--")[0])
 def _(spark, d):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with _state_in_rocksdb(spark):
         stream = _landed(P.generations(spark, d).select("run_id", c("generation").cast("bigint").alias("generation"), "best_loss"), spark)
         return _to_parquet(streams.stream_stagnation(stream, patience=5), spark)
-    finally:
-        spark.conf.set(key, before)
 
 
-_STREAM_QUALITY = f"""WITH matched AS ({ORACLE['j1_match_segments']}), base AS (
-    SELECT e.area_id, substr(e.area_id, 6)::DOUBLE / 10 AS i, coalesce(f.n, 0) AS fetched, coalesce(m.n, 0) AS matched, e.n AS edges, median, low FROM
-    (SELECT 'area_' || (p_partkey // 250) AS area_id, count(*) AS n FROM part GROUP BY 1) e
-    LEFT JOIN (SELECT 'area_' || (c_custkey // 188) AS area_id, count(*) AS n FROM customer GROUP BY 1) f USING (area_id)
-    LEFT JOIN (SELECT area_id, count(*) AS n, median(match_confidence) AS median, avg((match_confidence < 0.85)::INT) AS low FROM matched GROUP BY 1) m USING (area_id)),
-    figures AS (SELECT *, matched::DOUBLE / nullif(fetched, 0) AS rate, matched::DOUBLE / edges AS ratio,
-    matched / ((0.05::DOUBLE) * (111.0::DOUBLE * cos(radians(i + 0.025))) * (0.05::DOUBLE * 111.0)) AS density FROM base),
+_BUCKET_S = "c_custkey * 37 % 3600 // 300 * 300"
+_STREAM_QUALITY = f"""WITH matched AS ({ORACLE['j1_match_segments']}), placed AS (SELECT 'area_' || (c_custkey // 188) AS area_id, 'seg' || c_custkey AS segment_id,
+    {_BUCKET_S} AS start_s FROM customer WHERE {_BUCKET_S} + 300 <= (SELECT max(c_custkey * 37 % 3600) FROM customer) - 600),
+    figures AS (SELECT area_id, start_s, e.n AS edges, count(*) AS fetched, count(match_confidence) AS matched, median(match_confidence) AS median,
+    avg((match_confidence < 0.85)::INT) AS low FROM placed LEFT JOIN matched USING (area_id, segment_id)
+    JOIN (SELECT 'area_' || (p_partkey // 250) AS area_id, count(*) AS n FROM part GROUP BY 1) e USING (area_id) GROUP BY 1, 2, 3),
+    rates AS (SELECT *, substr(area_id, 6)::DOUBLE / 10 AS i, matched::DOUBLE / fetched AS rate, matched::DOUBLE / edges AS ratio,
+    matched / ((0.05::DOUBLE) * (111.0::DOUBLE * cos(radians(substr(area_id, 6)::DOUBLE / 10 + 0.025))) * (0.05::DOUBLE * 111.0)) AS density FROM figures),
     points AS (SELECT *, {MATCHED_SQL.format(v='matched')} + {RATE_SQL.format(v='coalesce(rate, 0)')} + {CONFIDENCE_SQL.format(v='median', s='low')}
-      + {DENSITY_SQL.format(v='density')} + {COVERAGE_SQL.format(v='ratio')} AS score FROM figures)
-    SELECT area_id, fetched AS fetched_segments, matched AS matched_edges, edges AS total_network_edges, score::INT AS score,
+      + {DENSITY_SQL.format(v='density')} + {COVERAGE_SQL.format(v='ratio')} AS score FROM rates)
+    SELECT area_id, start_s, fetched AS fetched_segments, matched AS matched_edges, edges AS total_network_edges, score::INT AS score,
     {LABEL_SQL.format(v='score')} AS label, {RECOMMEND_SQL.format(v='score', m='matched')} AS recommendation FROM points"""
 
 
 @query("t8_stream_quality", _STREAM_QUALITY)
 def _(spark, d):
-    stream, edges = _landed(P.line_segments(spark, d), spark), P.line_edges(spark, d)
+    seconds = F.substring("segment_id", 4, 20).cast("bigint") * 37 % 3600
+    stream = _landed(P.line_segments(spark, d).withColumn("timestamp", F.timestamp_seconds(seconds)), spark)
+    edges = P.line_edges(spark, d)
     n = F.substring("area_id", 6, 20).cast("double") / 10
     areas = edges.select("area_id").distinct().select(
         "area_id", n.alias("west"), n.alias("south"), (n + 0.05).alias("east"), (n + 0.05).alias("north")
     )
-    out = _batches(spark, lambda sink: streams.stream_quality(stream, edges, areas, sink))
-    return out.select("area_id", "fetched_segments", "matched_edges", "total_network_edges", "score", "label", "recommendation")
+    out = _to_parquet(streams.stream_quality(stream, edges, areas), spark)
+    return out.select(
+        "area_id", F.unix_timestamp("bucket_start").alias("start_s"), "fetched_segments", "matched_edges", "total_network_edges", "score", "label",
+        "recommendation",
+    )

@@ -441,9 +441,9 @@ VIEWS: dict[str, str] = {
         FROM expected e LEFT JOIN (SELECT scenario_id, count(*) AS completed_trips, avg(duration) AS avg_duration,
             avg(waiting) AS avg_waiting_time FROM tripinfo GROUP BY 1) t USING (scenario_id)
         LEFT JOIN statistics st USING (scenario_id)""",
-    "losses": """SELECT j.area_id, j.scenario_id, avg(abs(coalesce(speed_kmh, freeflow_speed) - current_speed)) AS mae,
-        avg((coalesce(speed_kmh, freeflow_speed) - current_speed) ** 2) AS mse,
-        avg(coalesce(speed_kmh, freeflow_speed) - current_speed) AS diff,
+    "losses": """SELECT j.area_id, j.scenario_id, sum(abs(coalesce(speed_kmh, freeflow_speed) - current_speed)::DECIMAL(28, 12))::DOUBLE / count(*) AS mae,
+        sum(((coalesce(speed_kmh, freeflow_speed) - current_speed) ** 2)::DECIMAL(28, 12))::DOUBLE / count(*) AS mse,
+        sum((coalesce(speed_kmh, freeflow_speed) - current_speed)::DECIMAL(28, 12))::DOUBLE / count(*) AS diff,
         count(*) AS total, count(speed_kmh) AS matched, count(*) - count(speed_kmh) AS missing
         FROM joined j GROUP BY 1, 2""",
     "loss_components": """SELECT l.area_id, l.scenario_id, mae, missing::DOUBLE / total * 10.0 AS coverage_penalty,

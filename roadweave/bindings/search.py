@@ -185,7 +185,7 @@ def _(spark, d):
     FROM (SELECT DISTINCT run_id, origin FROM trips)"""))
 def _(spark, d):
     ids = P.trips(spark, d).select("run_id", "origin").distinct()
-    return number_rows_sliced(ids, ["run_id"], ["origin"], "idx", slices=8)
+    return number_rows_sliced(ids, ["run_id"], ["origin"], "idx")
 
 
 @query("o7_od_dictionary", P.sql("trips", select="""SELECT run_id, 'origins' AS role, row_number() OVER (PARTITION BY run_id ORDER BY e) - 1 AS idx, e AS edge_id
@@ -269,7 +269,7 @@ def _(spark, d):
         "run_id", "generation", "individual_id",
         scoring.effective_e_loss(c("loss"), {n: c("metrics")[n] for n in ("e_loss", "worker_error", "error")}).alias("e_eff"),
     )
-    return number_rows_sliced(ranked, ["run_id", "generation"], ["e_eff", "individual_id"], "e_rank", slices=16).drop("e_eff")
+    return number_rows_sliced(ranked, ["run_id", "generation"], ["e_eff", "individual_id"], "e_rank").drop("e_eff")
 
 
 @query("w5_top_k", P.sql("pop_base", "pop_loss", select="""SELECT run_id, generation, v AS individual_id, loss FROM pop_loss

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from roadweave.functions import geo, observe
 
 INTERNAL = ":"
+#: Edge pieces of a cell beyond which it is halved, again and again; at most so often.
+CROWD = 256
+MOST_HALVINGS = 5
 
 
 def build_edges(lanes: DataFrame, vclass: str = "passenger") -> DataFrame:
@@ -81,7 +84,10 @@ def _cells(low, high, size: float):
 
 def _flat_pieces(shapes: DataFrame, keep: list[str], side: str) -> DataFrame:
     """One row per piece with its ends, its direction and the inverse of its squared length (0 for a point)."""
-    pieces = shapes.select(*keep, F.explode(geo.line_pieces(F.col("geometry"))).alias("_p"))
+    return _named_pieces(shapes.select(*keep, F.explode(geo.line_pieces(F.col("geometry"))).alias("_p")), keep, side)
+
+
+def _named_pieces(pieces: DataFrame, keep: list[str], side: str) -> DataFrame:
     named = pieces.select(*keep, *[F.col(f"_p.{c}").alias(f"{side}{c}") for c in ("x1", "y1", "x2", "y2")])
     dx, dy = F.col(f"{side}x2") - F.col(f"{side}x1"), F.col(f"{side}y2") - F.col(f"{side}y1")
     return named.withColumns({f"{side}dx": dx, f"{side}dy": dy}).withColumn(
@@ -89,14 +95,77 @@ def _flat_pieces(shapes: DataFrame, keep: list[str], side: str) -> DataFrame:
     )
 
 
+def _rows_touched(pieces: DataFrame, side: str, reach: float, size, column: str, low=None, high=None) -> DataFrame:
+    """Adds ``cell_y`` or ``fine_y``: the rows of a column of cells that the piece comes within ``reach`` of.
+
+    The piece is cut to the strip around the column; only what remains of it counts.
+    """
+    c = F.col
+    x1, y1, dx, dy = (c(f"{side}{n}") for n in ("x1", "y1", "dx", "dy"))
+    left, right = c(column) * size - reach, (c(column) + 1) * size + reach
+    # Where the piece enters and leaves the strip, as a share of its length; a vertical piece never leaves.
+    ta, tb = F.try_divide(left - x1, dx), F.try_divide(right - x1, dx)
+    enter = F.when(dx == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.least(ta, tb))))
+    leave = F.when(dx == 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.greatest(ta, tb))))
+    cut = pieces.withColumns({"_ya": y1 + enter * dy, "_yb": y1 + leave * dy})
+    first, last = F.floor((F.least("_ya", "_yb") - reach) / size), F.floor((F.greatest("_ya", "_yb") + reach) / size)
+    if low is not None:
+        first, last = F.greatest(first, low), F.least(last, high)
+    rows = F.when(first <= last, F.sequence(first, last))
+    return cut.select("*", F.explode_outer(rows).alias(column[:-1] + "y")).drop("_ya", "_yb")
+
+
 def _in_cells(pieces: DataFrame, side: str, reach: float, size: float) -> DataFrame:
-    """Copy every piece to the grid cells its bounds, grown by ``reach``, touch."""
-    gridded = pieces
-    for axis in ("x", "y"):
-        one, two = F.col(f"{side}{axis}1"), F.col(f"{side}{axis}2")
-        cells = _cells(F.least(one, two) - reach, F.greatest(one, two) + reach, size)
-        gridded = gridded.select("*", F.explode(cells).alias(f"cell_{axis}"))
-    return gridded
+    """Copy every piece to the grid cells that it comes within ``reach`` of; a piece without coordinates stays, without a cell.
+
+    The number of cells follows the length of a piece, not the area of its bounds.
+    """
+    one, two = F.col(f"{side}x1"), F.col(f"{side}x2")
+    known = F.expr(f"coalesce({side}x1 + {side}y1 + {side}dx + {side}dy, double('NaN'))")
+    columns = F.when(~F.isnan(known), _cells(F.least(one, two) - reach, F.greatest(one, two) + reach, size))
+    return _rows_touched(pieces.select("*", F.explode_outer(columns).alias("cell_x")), side, reach, F.lit(size), "cell_x")
+
+
+def _crowded(edge_cells: DataFrame) -> DataFrame:
+    """Cells with many pieces and the number of halvings that leaves about ``CROWD`` pieces in each part."""
+    counts = edge_cells.groupBy("area_id", "cell_x", "cell_y").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWD)
+    halvings = F.least(F.lit(MOST_HALVINGS), F.ceil(F.log(F.col("_n") / CROWD) / F.log(F.lit(4.0)))).cast("int")
+    return counts.select("area_id", "cell_x", "cell_y", halvings.alias("_halvings"))
+
+
+def _divided(in_cells: DataFrame, crowded: DataFrame, side: str, reach: float, size: float) -> DataFrame:
+    """Split crowded cells: adds ``fine_x`` and ``fine_y`` within a cell, (0, 0) in a cell that is whole."""
+    joined = in_cells.join(crowded, ["area_id", "cell_x", "cell_y"], "left")
+    parts = F.expr("shiftleft(1, coalesce(_halvings, 0))")
+    fine = F.lit(size) / parts
+    one, two = F.col(f"{side}x1"), F.col(f"{side}x2")
+    first = F.greatest(F.floor((F.least(one, two) - reach) / fine), F.col("cell_x") * parts)
+    last = F.least(F.floor((F.greatest(one, two) + reach) / fine), (F.col("cell_x") + 1) * parts - 1)
+    columns = joined.withColumns({"_parts": parts, "_fine": fine}).select(
+        "*", F.explode_outer(F.when(first <= last, F.sequence(first, last))).alias("fine_x")
+    )
+    rows = _rows_touched(
+        columns, side, reach, F.col("_fine"), "fine_x", F.col("cell_y") * F.col("_parts"), (F.col("cell_y") + 1) * F.col("_parts") - 1
+    )
+    return rows.drop("_halvings", "_parts", "_fine")
+
+
+CELL = ("area_id", "cell_x", "cell_y", "fine_x", "fine_y")
+
+
+def network_cells(edges: DataFrame, size: float) -> tuple[DataFrame, DataFrame]:
+    """Edge pieces in the cells that they cross, and the crowded cells. Equal pieces compete as their smallest edge id."""
+    ends = ["ex1", "ey1", "ex2", "ey2"]
+    pieces = (
+        _flat_pieces(edges.where(F.size("geometry") >= 2), ["area_id", "edge_id"], "e")
+        .groupBy("area_id", *ends, "edx", "edy", "einv")
+        .agg(F.min("edge_id").alias("edge_id"))
+    )
+    # A hair of reach, so that rounding at a cell border loses nothing.
+    hair = size * 1e-7
+    in_cells = _in_cells(pieces, "e", hair, size).where("cell_y is not null")
+    crowded = _crowded(in_cells)
+    return _divided(in_cells, crowded, "e", hair, size).where("fine_y is not null"), crowded
 
 
 def _piece_distance(pairs: DataFrame) -> DataFrame:
@@ -125,6 +194,32 @@ def _piece_distance(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("distance", F.when(crossing, 0.0).otherwise(F.sqrt("_near")))
 
 
+def search_reach(max_distance: float, min_confidence: float) -> float:
+    return max_distance * (1.0 - min_confidence) * (1.0 + 1e-9)
+
+
+def geometry_key():
+    return F.unhex(F.sha1(F.to_json("geometry")))
+
+
+def candidate_edges(segments: DataFrame, edges: DataFrame, keep: list[str], max_distance: float, min_confidence: float) -> DataFrame:
+    """(keep, first, distance, edge_id): every edge piece near a piece of a segment, without any grouping.
+
+    ``first`` marks one row of every segment, whether anything is near or not, so that rows of it can be counted. Works on
+    a stream of segments too.
+    """
+    reach = search_reach(max_distance, min_confidence)
+    edge_cells, crowded = network_cells(edges, max_distance)
+    pieces = F.coalesce(geo.line_pieces(F.col("geometry")), F.array())
+    nothing = F.array(F.lit(None).cast("struct<x1:double,y1:double,x2:double,y2:double>"))
+    exploded = segments.select(*keep, F.posexplode(F.concat(nothing, pieces)).alias("_i", "_p"))
+    flat = _named_pieces(exploded, [*keep, "_i"], "s")
+    placed = _divided(_in_cells(flat, "s", reach, max_distance), crowded, "s", reach, max_distance)
+    pairs = _piece_distance(placed.join(edge_cells, list(CELL), "left"))
+    near = F.when(F.col("distance") <= max_distance, F.col("distance"))
+    return pairs.select(*keep, (F.col("_i") == 0).alias("first"), near.alias("distance"), "edge_id")
+
+
 def match_segments(
     segments: DataFrame, edges: DataFrame, max_distance: float = 100.0, min_confidence: float = 0.1
 ) -> DataFrame:
@@ -132,21 +227,16 @@ def match_segments(
 
     Both sides hold planar ``geometry`` (x, y points) and an ``area_id``. Copies collapse first: a geometry
     seen in many snapshots is matched once and edges with equal pieces compete as their smallest id. The
-    candidates then meet on grid cells, and the nearest one is a mergeable minimum, so nothing is ranked
+    candidates then meet on grid cells, crowded ones split, and the nearest one is a mergeable minimum, so nothing is ranked
     or collected per segment. Only the reach that can still give ``min_confidence`` is searched.
     """
-    reach = max_distance * (1.0 - min_confidence) * (1.0 + 1e-9)
-    usable = segments.where(F.size("geometry") >= 2).withColumn("_gkey", F.unhex(F.sha1(F.to_json("geometry"))))
+    reach = search_reach(max_distance, min_confidence)
+    usable = segments.where(F.size("geometry") >= 2).withColumn("_gkey", geometry_key())
     shapes = usable.groupBy("area_id", "_gkey").agg(F.first("geometry").alias("geometry"))
+    edge_cells, crowded = network_cells(edges, max_distance)
     seg_cells = _in_cells(_flat_pieces(shapes, ["area_id", "_gkey"], "s"), "s", reach, max_distance)
-    ends = ["ex1", "ey1", "ex2", "ey2"]
-    edge_pieces = (
-        _flat_pieces(edges.where(F.size("geometry") >= 2), ["area_id", "edge_id"], "e")
-        .groupBy("area_id", *ends, "edx", "edy", "einv")
-        .agg(F.min("edge_id").alias("edge_id"))
-    )
-    edge_cells = _in_cells(edge_pieces, "e", 0.0, max_distance)
-    candidates = _piece_distance(seg_cells.join(edge_cells, ["area_id", "cell_x", "cell_y"]))
+    fine_cells = _divided(seg_cells, crowded, "s", reach, max_distance)
+    candidates = _piece_distance(fine_cells.join(edge_cells, list(CELL)))
     nearest = (
         candidates.groupBy("area_id", "_gkey")
         .agg(F.min(F.when(F.col("distance") <= max_distance, F.struct("distance", "edge_id"))).alias("hit"))

@@ -128,11 +128,25 @@ def uncovered_edges(observed: DataFrame, simulated: DataFrame) -> DataFrame:
     return missing.orderBy("area_id", "edge_id")
 
 
+#: Values below this in size are summed exactly, to twelve digits behind the point.
+EXACT_LIMIT = 1e15
+
+
+def exact_sum(value: Column, name: str) -> list[Column]:
+    """Aggregates whose total does not depend on the order of the rows: decimals, and what is too large for them as doubles."""
+    small = F.abs(value) < EXACT_LIMIT
+    return [
+        F.coalesce(F.sum(F.when(small, value).cast("decimal(28,12)")), F.lit(0).cast("decimal(38,12)")).alias(name),
+        F.coalesce(F.sum(F.when(~small, value)), F.lit(0.0)).alias(f"{name}_large"),
+    ]
+
+
 def error_sums(observed: DataFrame, simulated: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Error sums per scenario without building scenario x observed rows.
 
     A missing edge counts as free flow in every scenario, so the sum over all observed rows is known per area
-    once; matched rows then replace their free-flow term by their simulated one.
+    once; matched rows then replace their free-flow term by their simulated one. The sums are exact, so neither the
+    difference nor the order of the rows leaves a rounding error.
     """
     observed = with_freeflow_default(observed)
     free = F.col("freeflow_speed") - F.col("current_speed")
@@ -140,9 +154,9 @@ def error_sums(observed: DataFrame, simulated: DataFrame, scenarios: DataFrame)
 
     def sums(error, prefix: str):
         return [
-            F.coalesce(F.sum(F.abs(error)), F.lit(0.0)).alias(f"{prefix}_abs"),
-            F.coalesce(F.sum(error * error), F.lit(0.0)).alias(f"{prefix}_sq"),
-            F.coalesce(F.sum(error), F.lit(0.0)).alias(f"{prefix}_sum"),
+            *exact_sum(F.abs(error), f"{prefix}_abs"),
+            *exact_sum(error * error, f"{prefix}_sq"),
+            *exact_sum(error, f"{prefix}_sum"),
             F.count_if(error.isNull()).alias(f"{prefix}_unknown"),
         ]
 
@@ -158,10 +172,11 @@ def error_sums(observed: DataFrame, simulated: DataFrame, scenarios: DataFrame)
     total, hit = F.coalesce("total_edges", zero), F.coalesce("matched_edges", zero)
 
     def combined(name: str):
-        parts = [F.coalesce(F.col(f"{p}_{name}"), F.lit(0.0)) for p in ("area", "free", "sim")]
+        exact = [F.coalesce(F.col(f"{p}_{name}"), F.lit(0).cast("decimal(38,12)")) for p in ("area", "free", "sim")]
+        large = [F.coalesce(F.col(f"{p}_{name}_large"), F.lit(0.0)) for p in ("area", "free", "sim")]
         # Nothing left over: avoid the rounding residue of a difference of equal sums.
-        rest = F.when(hit == total, 0.0).otherwise(parts[0] - parts[1])
-        return rest + parts[2]
+        rest = F.when(hit == total, 0.0).otherwise(large[0] - large[1])
+        return (exact[0] - exact[1] + exact[2]).cast("double") + rest + large[2]
 
     unknown = (
         F.coalesce("area_unknown", zero) - F.coalesce("free_unknown", zero) + F.coalesce("sim_unknown", zero)

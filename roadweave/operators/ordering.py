@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SLICES = 128
-SAMPLE_PER_SLICE = 20
+from roadweave.session import cut
+
 CHUNK = 4096
 
 
@@ -52,26 +52,6 @@ def running_min(
     )
 
 
-def sampled_slice(df: DataFrame, order: list[str], slices: int = SLICES) -> Column:
-    """Slice number that follows ``order``, from split points of a bounded hash sample.
-
-    The split points become literals of the plan, so every evaluation of the plan sees the same slices.
-    """
-    sample = (
-        df.select(*order).orderBy(F.xxhash64(*order), *order).limit(slices * SAMPLE_PER_SLICE).orderBy(*order).collect()
-    )
-    points = sample[SAMPLE_PER_SLICE // 2 :: SAMPLE_PER_SLICE]
-    types = [df.schema[name].dataType for name in order]
-
-    def literal(row) -> Column:
-        return F.struct(*[F.lit(v).cast(t).alias(n) for n, v, t in zip(order, row, types)])
-
-    if not points:
-        return F.lit(0)
-    here = F.struct(*order)
-    return F.size(F.filter(F.array(*[literal(p) for p in points]), lambda p: p <= here))
-
-
 def number_rows(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
     """Row number from 0 per group along ``order`` (ascending; make it unique within a group).
 
@@ -80,10 +60,22 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], out: str) -> D
     return df.withColumn(out, (F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1).cast("bigint"))
 
 
-def number_rows_sliced(df: DataFrame, keys: list[str], order: list[str], out: str, slices: int = SLICES) -> DataFrame:
-    """The same numbers for groups without a bound: no task sorts a whole group. Samples the order when called."""
-    numbered = df.withColumn("_one", F.lit(1).cast("bigint"))
-    return running_sum(numbered, keys, sampled_slice(df, order, slices), order, "_one", out).drop("_one")
+def number_rows_sliced(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """The same numbers for groups without a bound: no task sorts a whole group.
+
+    Spark ranges the rows over partitions by group and order; the table is stored with its partition numbers, so that the
+    counts per partition, which give the offsets, and the numbers within a partition speak of the same rows.
+    """
+    stored = cut(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = stored.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*order)) - 1
+    numbered = stored.withColumn("_inside", inside)
+    # A null key is a group too.
+    on = [numbered[k].eqNullSafe(offsets[k]) for k in [*keys, "_part"]]
+    joined = numbered.join(offsets, on)
+    return joined.select(*[numbered[c] for c in df.columns], (F.col("_offset") + F.col("_inside")).cast("bigint").alias(out))
 
 
 def exact_median(

@@ -23,7 +23,11 @@ def quality_inputs(segments: DataFrame, observed: DataFrame, edges: DataFrame, a
     joined = areas
     for part in (fetched, matched, median, network):
         joined = joined.join(part, "area_id", "left")
-    joined = joined.fillna(0, ["fetched_segments", "matched_edges", "total_network_edges"])
+    return quality_rates(joined.fillna(0, ["fetched_segments", "matched_edges", "total_network_edges"]))
+
+
+def quality_rates(joined: DataFrame) -> DataFrame:
+    """Rates and densities from the counts and the box of an area."""
     area = geo.bbox_area_km2(F.col("west"), F.col("south"), F.col("east"), F.col("north"))
     n = F.col("matched_edges")
     return (

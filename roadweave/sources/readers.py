@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweave import schema as S
@@ -199,19 +199,31 @@ def scan_runs(spark: SparkSession, root: str) -> DataFrame:
     return list_files(spark, root).select(run_id.alias("run_id")).where("run_id <> ''").distinct()
 
 
-def read_pipeline_log(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their run and a sortable position; parse them with ``parse_log_lines``.
+def line_position(row: Column) -> Column:
+    """Sortable place of a log line among the lines of its run; ``row`` numbers the lines of a file block.
 
     A rolled file (``name.1``, ``name.2`` ...) is older the larger its number, so it comes before the file that is written.
     """
     rolled = F.regexp_extract(F.col("_metadata.file_path"), r"\.([0-9]+)$", 1)
     age = F.when(rolled == "", 0).otherwise(rolled.cast("int"))
-    position = F.struct(
+    return F.struct(
         (-age).alias("age"), F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"),
-    )
-    return spark.read.text(path).select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"[/=]run_([^/]+)/", 1).alias("run_id"),
-        position.alias("line_no"),
-        F.col("value").alias("line"),
+        F.col("_metadata.file_block_start").alias("block"), row.cast("bigint").alias("row"),
     )
+
+
+def _run_of_file() -> Column:
+    return F.regexp_extract(F.col("_metadata.file_path"), r"[/=]run_([^/]+)/", 1).alias("run_id")
+
+
+def read_pipeline_log(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with their run and a sortable position; parse them with ``parse_log_lines``."""
+    position = line_position(F.monotonically_increasing_id()).alias("line_no")
+    return spark.read.text(path).select(_run_of_file(), position, F.col("value").alias("line"))
+
+
+def stream_log_lines(spark: SparkSession, path: str, files_per_trigger: int) -> DataFrame:
+    """The same columns from new files below ``path``, as a stream. A file is one row until its lines are numbered."""
+    files = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path, wholetext=True, recursiveFileLookup=True)
+    lines = files.select("_metadata", F.posexplode(F.split("value", "\r\n|\r|\n")).alias("_row", "line"))
+    return lines.select(_run_of_file(), line_position(F.col("_row")).alias("line_no"), "line")

@@ -90,7 +90,7 @@ def test_sliced_numbering_equals_a_window(skewed):
     for k, v, i in sorted(rows):
         want[k, i] = seen.get(k, 0)
         seen[k] = want[k, i] + 1
-    for got in (number_rows(df, ["k"], ["v", "i"], "n"), number_rows_sliced(df, ["k"], ["v", "i"], "n", slices=16)):
+    for got in (number_rows(df, ["k"], ["v", "i"], "n"), number_rows_sliced(df, ["k"], ["v", "i"], "n")):
         assert {(r["k"], r["i"]): r["n"] for r in got.collect()} == want
 
 

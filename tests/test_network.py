@@ -237,3 +237,53 @@ def test_draws_follow_the_weights(spark):
     drawn = demand.draw_ends(demand.weighted_edges(edges), areas, "draws", 42)
     share = drawn.agg(F.avg((F.col("origin") == "e2").cast("double"))).first()[0]
     assert 0.77 < share < 0.83 and drawn.where("origin = destination").isEmpty()
+
+
+POINT = "array<struct<x:double,y:double>>"
+
+
+def test_cells_follow_the_length_of_a_piece(spark):
+    line = spark.createDataFrame([("A", "d", [(0.0, 0.0), (100_000.0, 100_000.0)])], f"area_id string, edge_id string, geometry {POINT}")
+    cells, crowded = matching.network_cells(line, 100.0)
+    assert 1000 <= cells.count() <= 3200 and crowded.isEmpty()
+    pieces = matching._flat_pieces(line, ["area_id", "edge_id"], "s")
+    assert matching._in_cells(pieces, "s", 90.0, 100.0).count() < 8000
+
+
+def test_matches_in_crowded_cells_equal_all_pairs(spark, monkeypatch):
+    import math
+    import random
+
+    rnd = random.Random(4)
+
+    def line(scale):
+        x, y = rnd.uniform(-150, 350), rnd.uniform(-150, 350)
+        return [(x, y), (x + rnd.uniform(-scale, scale), y + rnd.uniform(-scale, scale))]
+
+    edges = [("A", f"e{i}", line(rnd.choice([0, 10, 300]))) for i in range(160)] + [("A", "v", [(50.0, -300.0), (50.0, 300.0)])]
+    segments = [("A", f"s{i}", line(rnd.choice([0, 20, 400]))) for i in range(80)] + [("A", "none", None), ("A", "nan", [(None, 1.0), (2.0, 2.0)])]
+
+    def distance(a, b):
+        def to_piece(p, q1, q2):
+            dx, dy = q2[0] - q1[0], q2[1] - q1[1]
+            t = 0.0 if dx == dy == 0 else max(0.0, min(1.0, ((p[0] - q1[0]) * dx + (p[1] - q1[1]) * dy) / (dx * dx + dy * dy)))
+            return math.hypot(p[0] - q1[0] - t * dx, p[1] - q1[1] - t * dy)
+
+        def side(p, q1, q2):
+            return (q2[0] - q1[0]) * (p[1] - q1[1]) - (q2[1] - q1[1]) * (p[0] - q1[0])
+
+        if side(a[0], *b) * side(a[1], *b) < 0 and side(b[0], *a) * side(b[1], *a) < 0:
+            return 0.0
+        return min(to_piece(a[0], *b), to_piece(a[1], *b), to_piece(b[0], *a), to_piece(b[1], *a))
+
+    want = {}
+    for _, s, g in segments[:80]:
+        d, e = min((distance(g, h), e) for _, e, h in edges)
+        if 1 - d / 100 >= 0.1:
+            want[s] = (e, round(1 - d / 100, 6))
+    frame = [spark.createDataFrame(r, f"area_id string, {n} string, geometry {POINT}") for r, n in ((segments, "segment_id"), (edges, "edge_id"))]
+    for crowd in (256, 3):
+        monkeypatch.setattr(matching, "CROWD", crowd)
+        assert matching.network_cells(frame[1], 100.0)[1].isEmpty() == (crowd == 256)
+        got = {r["segment_id"]: (r["edge_id"], round(r["match_confidence"], 6)) for r in matching.match_segments(*frame).collect()}
+        assert got == want and len(want) > 50
