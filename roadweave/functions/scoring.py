@@ -66,7 +66,9 @@ def effective_penalty(loss: Column, m: Column) -> Column:
 
 
 def report_round(value: Column, digits: int = 2) -> Column:
-    return F.when(is_finite(value), F.bround(value, digits))
+    """Half-even on the decimal text; null if not finite. What lies behind nine digits is noise of the sums and goes first,
+    so that a mean that ends in 5 is the same tie whatever order its terms came in."""
+    return F.when(is_finite(value), F.bround(F.bround(value, 9), digits))
 
 
 def _ladder(value: Column, steps, rest: Column | int | str) -> Column:
