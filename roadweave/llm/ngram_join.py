@@ -7,18 +7,21 @@ results, frequencies only make it fast. The order is cut into fragments:
 * The first fragment of a document is its prefix: two documents at the threshold share at least one n-gram of it. Equal
   sets are one node; postings of n-grams that several nodes share give the candidate pairs. Their overlap in the prefix
   bounds the whole overlap, which drops documents that merely share a passage.
-* The other fragments are ranges of the order. For the candidates that remain, the overlap of each fragment is counted
-  separately, and the counts are summed per pair and compared with the exact threshold.
+* The order is also cut into ranges of its own. One after the other, each range is joined and counted by itself: for the
+  pairs that remain, the n-grams that both sets hold in the range are counted, the counts are summed per pair, and a pair
+  whose sum cannot reach the threshold any more is dropped before the next range. The n-grams of one range at a time are moved.
 
-A long posting list is not paired with itself: its nodes are first paired with about ``PIVOTS`` of its members. Links
-found join nodes into components; only pairs of a list that are still in different components are then compared, each of
-them. So every link that could change a component is decided exactly, while a large group of near copies costs rows in
-proportion to its size.
+A long posting list is not paired with itself: its nodes are first paired with about ``PIVOTS`` of its members, the same
+ones in every list of a group. Links found join nodes into components; only pairs of a list that are still in different
+components are then compared, each of them. So every link that could change a component is decided exactly, while a
+large group of near copies costs rows in proportion to its size.
+
+Nodes are distinct sets, not ids, so rows without an id and rows that share one take part like all others.
 
 Defined results: a text without words, empty or null, has no n-gram and links with nothing; a text with fewer words than
-``n`` has its whole sequence as its one n-gram; repeated rows are equal sets and share a component; rows that repeat an id
-are one document; other columns are never read; an empty table gives an empty result. N-grams are compared by 64-bit
-hashes, equal sets by 128-bit ones.
+``n`` has its whole sequence as its one n-gram; repeated rows are equal sets and share a component; a component is named
+by its smallest id, null if none of its rows has one; a row without words is its own component; other columns are never
+read; an empty table gives an empty result. N-grams are compared by 64-bit hashes, equal sets by 64-bit hashes of those.
 """
 
 from __future__ import annotations
@@ -31,15 +34,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadweave.llm.common import SPACE_CHARS
 from roadweave.llm.components import connected
-from roadweave.session import cut, pickle_by_value
+from roadweave.session import Scratch, pickle_by_value
 
 N = 3
 PERCENT = 90
 BUCKET_BITS = 20
 CHUNKS = 64
-FRAGMENT_BITS = 3
-PIVOTS = 16
+FRAGMENT_BITS = 2
+PIVOTS = 8
 PIVOT_ROUNDS = 2
 CACHED_WORDS = 200_000
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -86,40 +90,49 @@ def least_overlap(size1: int, size2: int, percent: int) -> int:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), _text_key(text_col).alias("key"))
+
+
+def _text_key(text_col: str) -> Column:
+    """Tells the texts of rows that share an id apart."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def _set_hash(grams: np.ndarray) -> int:
+    return int(np.frombuffer(xxhash.xxh3_64_digest(grams.tobytes()), np.int64)[0])
 
 
 def _measured(texts: DataFrame, n: int) -> DataFrame:
-    """Rows (doc_id, n, fp, fp2) of documents and, from each task, rows (chunk, counts) of its n-gram counts by bucket."""
+    """Rows (doc_id, key, n, node) of documents and, from each task, rows (chunk, counts) of its n-gram counts by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts, waiting, held = WordHashes(), np.zeros(1 << BUCKET_BITS, np.int64), [], 0
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        names = ["doc_id", "n", "fp", "fp2", "chunk", "counts"]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+        names = ["doc_id", "key", "n", "node", "chunk", "counts"]
 
-        def rows(ids, sizes, fps, fps2, chunks, parts):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids, sizes, fps, fps2, chunks, parts), kinds)], names)
+        def rows(*columns):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
         for batch in batches:
-            ids, sizes, fps = batch.column(0).to_pylist(), [], []
+            ids, keys, sizes, nodes = batch.column(0).to_pylist(), batch.column(2).to_pylist(), [], []
             for text in batch.column(1):
                 grams = ngram_set(text.as_py(), n, hashes)
                 sizes.append(len(grams))
-                fps.append(np.frombuffer(xxhash.xxh3_128_digest(grams.tobytes()), np.int64))
+                nodes.append(_set_hash(grams))
                 waiting.append(grams >> np.uint64(64 - BUCKET_BITS))
                 held += len(grams)
                 if held > 1_000_000:
                     counts += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=len(counts))
                     waiting, held = [], 0
             none = [None] * len(ids)
-            yield rows(ids, sizes, [int(f[0]) for f in fps], [int(f[1]) for f in fps], none, none)
+            yield rows(ids, keys, sizes, nodes, none, none)
         if waiting:
             counts += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=len(counts))
         if counts.any():
             none = [None] * CHUNKS
             yield rows(none, none, none, none, range(CHUNKS), [c.astype("<u4").tobytes() for c in np.split(counts, CHUNKS)])
 
-    return texts.mapInArrow(run, "doc_id long, n int, fp long, fp2 long, chunk int, counts binary")
+    return texts.mapInArrow(run, "doc_id long, key long, n int, node long, chunk int, counts binary")
 
 
 def _classes(measured: DataFrame) -> np.ndarray:
@@ -144,7 +157,7 @@ def _classes(measured: DataFrame) -> np.ndarray:
 
 
 def _postings(texts: DataFrame, n: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """(token, fp, node, n, early): the first fragment of every document.
+    """(token, node, n, early): the first fragment of every document.
 
     ``early`` marks its shorter part that a document of at least the same size must meet.
     """
@@ -152,27 +165,26 @@ def _postings(texts: DataFrame, n: int, percent: int, classes: np.ndarray) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            tokens, ids, fps, sizes, counts, early = [], [], [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            tokens, nodes, sizes, counts, early = [], [], [], [], []
+            for text in batch.column(1):
                 grams = ngram_set(text.as_py(), n, hashes)
                 size = len(grams)
                 if size:
                     length = size - needed(size, percent) + 1
                     rank = classes[(grams >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
                     tokens.append(grams[np.argsort(rank, kind="stable")[:length]])
-                    ids.append(doc)
-                    fps.append(int(np.frombuffer(xxhash.xxh3_128_digest(grams.tobytes()), np.int64)[0]))
+                    nodes.append(_set_hash(grams))
                     sizes.append(size)
                     counts.append(length)
                     early.append(np.arange(length) < size - least_overlap(size, size, percent) + 1)
-            if ids:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(fps, np.int64), counts)),
-                     pa.array(np.repeat(np.array(ids, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int32), counts)), pa.array(np.concatenate(early))],
-                    ["token", "fp", "node", "n", "early"],
+            if nodes:
+                columns = (
+                    np.concatenate(tokens).view(np.int64), np.repeat(np.array(nodes, np.int64), counts),
+                    np.repeat(np.array(sizes, np.int32), counts), np.concatenate(early),
                 )
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "node", "n", "early"])
 
-    return texts.where("doc_id is not null").mapInArrow(run, "token long, fp long, node long, n int, early boolean")
+    return texts.mapInArrow(run, "token long, node long, n int, early boolean")
 
 
 def _shared(postings: DataFrame) -> DataFrame:
@@ -180,8 +192,8 @@ def _shared(postings: DataFrame) -> DataFrame:
 
     Rows arrive sorted by token and set; a run is passed on while it streams by, so a long one is never held.
     """
-
-    kept_columns = ((0, pa.int64()), (2, pa.int64()), (3, pa.int32()), (4, pa.bool_()))
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+    names = ["token", "node", "n", "early"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_old = None, False  # the last row, and whether it shares its token with the row before
@@ -189,21 +201,21 @@ def _shared(postings: DataFrame) -> DataFrame:
             columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if held is not None:
                 columns = [np.concatenate([[h], c]) for h, c in zip(held, columns)]
-            token, fp = columns[0], columns[1]
+            token, node = columns[0], columns[1]
             first = np.ones(len(token), bool)
-            first[1:] = (token[1:] != token[:-1]) | (fp[1:] != fp[:-1])
+            first[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
             columns = [c[first] for c in columns]
             token = columns[0]
             same = token[1:] == token[:-1]
             old = np.concatenate([[held_old], same])
             keep = old[:-1] | same
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(columns[i][:-1][keep], t) for i, t in kept_columns], ["token", "node", "n", "early"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep], t) for c, t in zip(columns, kinds)], names)
             held, held_old = [c[-1] for c in columns], bool(old[-1])
         if held is not None and held_old:
-            yield pa.RecordBatch.from_arrays([pa.array([held[i]], t) for i, t in kept_columns], ["token", "node", "n", "early"])
+            yield pa.RecordBatch.from_arrays([pa.array([h], t) for h, t in zip(held, kinds)], names)
 
-    ordered = postings.repartition("token").sortWithinPartitions("token", "fp", "node")
+    ordered = postings.repartition("token").sortWithinPartitions("token", "node")
     return ordered.mapInArrow(run, "token long, node long, n int, early boolean")
 
 
@@ -251,87 +263,144 @@ def _pair_up(left: DataFrame, right: DataFrame, condition: Column, prefixes: Dat
     return sides.where(_bound(F.col("o"), percent)).select("a", "b", F.col("s.n").alias("na"), F.col("t.n").alias("nb"))
 
 
-def _fragments(texts: DataFrame, nodes: DataFrame, n: int, classes: np.ndarray) -> DataFrame:
-    """(node, fragments) of the documents in ``nodes``: the global order cut into ranges, one array for each."""
+FRAGMENTS = range((1 << FRAGMENT_BITS) + 1)
+
+
+def _fragments(texts: DataFrame, sets: DataFrame, nodes: DataFrame, n: int, classes: np.ndarray) -> DataFrame:
+    """(node, fragment, grams) of the sets in ``nodes``: the global order cut into ranges, frequent n-grams last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last = WordHashes(), 1 << FRAGMENT_BITS
+        hashes = WordHashes()
         for batch in batches:
-            ids, parts = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            found, places, parts = [], [], []
+            for text in batch.column(0):
                 grams = ngram_set(text.as_py(), n, hashes)
                 part = (grams >> np.uint64(64 - FRAGMENT_BITS)).astype(np.int64)
-                part[classes[(grams >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] > 0] = last
-                ids.append(doc)
-                parts.append([grams[part == f].view(np.int64) for f in range(last + 1)])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.list_(pa.list_(pa.int64())))], ["node", "fragments"])
+                part[classes[(grams >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] > 0] = FRAGMENTS[-1]
+                node = _set_hash(grams)
+                for f in FRAGMENTS:
+                    if len(inside := grams[part == f]):
+                        found.append(node)
+                        places.append(f)
+                        parts.append(inside.view(np.int64))
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((found, places, parts), kinds)], ["node", "fragment", "grams"])
+
+    # One row speaks for a set: the one with the smallest id, which the ids and texts find again.
+    one = sets.join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("_row"))
+    wanted = one.select("_row.doc_id", "_row.key").distinct().hint("shuffle_hash").alias("w")
+    mine = texts.alias("t").join(wanted, F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.key") == F.col("w.key")), "left_semi")
+    return mine.select("text").mapInArrow(run, "node long, fragment int, grams array<long>")
 
-    wanted = nodes.select(F.col("node").alias("doc_id")).distinct().hint("shuffle_hash")
-    mine = texts.join(wanted, "doc_id", "left_semi")
-    return mine.mapInArrow(run, "node long, fragments array<array<long>>")
 
+def _least_overlap(na: Column, nb: Column, percent: int) -> Column:
+    return F.ceil((na + nb) * percent / (100 + percent))
 
-def _linked(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
-    """The pairs at the threshold: overlaps are counted fragment by fragment and summed per pair."""
-    left = fragments.select(F.col("node").alias("a"), F.col("fragments").alias("fa"))
-    right = fragments.select(F.col("node").alias("b"), F.col("fragments").alias("fb"))
-    partial = F.zip_with("fa", "fb", lambda x, y: F.size(F.array_intersect(x, y)))
-    counted = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", partial.alias("o"))
-    summed = counted.withColumn("o", F.aggregate("o", F.lit(0), lambda total, o: total + o))
-    return summed.where(F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * percent).select("a", "b")
+
+def _linked(scratch: Scratch, pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
+    """The pairs at the threshold: each fragment is joined and counted by itself, and the counts are summed per pair.
+
+    A fragment's table holds its n-grams only. A pair whose sum and what is left of its sets cannot reach the least overlap
+    does not go on to the next fragment. Rows that repeat a set give equal rows, which fall together.
+    """
+    c = F.col
+    open_pairs = pairs.select("a", "b", "na", "nb", F.lit(0).alias("o"), c("na").alias("ra"), c("nb").alias("rb"))
+    nothing = F.array().cast("array<bigint>")
+    for f in FRAGMENTS:
+        here = fragments.where(c("fragment") == f).select("node", "grams")
+        left, right = here.select(c("node").alias("a"), c("grams").alias("ga")), here.select(c("node").alias("b"), c("grams").alias("gb"))
+        met = open_pairs.join(left, "a", "left").join(right, "b", "left")
+        ga, gb = F.coalesce("ga", nothing), F.coalesce("gb", nothing)
+        counted = met.select(
+            "a", "b", "na", "nb", (c("o") + F.size(F.array_intersect(ga, gb))).alias("o"),
+            (c("ra") - F.size(ga)).alias("ra"), (c("rb") - F.size(gb)).alias("rb"),
+        )
+        possible = counted.where(c("o") + F.least("ra", "rb") >= _least_overlap(c("na"), c("nb"), percent))
+        open_pairs = scratch.put("counted", possible.distinct())
+    return open_pairs.where(c("o") * 100 >= (c("na") + c("nb") - c("o")) * percent).select("a", "b")
 
 
 def _drawn(turn: int, pivots: int) -> Column:
-    """About ``pivots`` members of every list of ``c`` rows, others in every turn."""
-    return F.pmod(F.xxhash64(F.lit(turn), "token", "node"), F.col("c")) < pivots
+    """About ``pivots`` members of every list of ``c`` rows, others in every turn; lists of the same nodes draw the same ones."""
+    steps = 1 << 30
+    return F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(steps)) * F.col("c") < pivots * steps
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT, pivots: int = PIVOTS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+def _labelled(
+    docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, pivots: int, scratch: Scratch
+) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, n, node) of every row, and (node, component) of the linked sets. Only these tables stay in the folder."""
     texts = _texts(docs, id_col, text_col)
-    measured = cut(_measured(texts, n))
-    sets = measured.where("chunk is null").select("doc_id", "n", "fp", "fp2")
+    measured = scratch.put("measured", _measured(texts, n))
+    sets = measured.where("chunk is null").select("doc_id", "key", "n", "node")
     classes = _classes(measured)
-    shared = cut(_shared(_postings(texts, n, percent, classes)))
+    shared = scratch.put("shared", _shared(_postings(texts, n, percent, classes)))
     lists = shared.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
     # Bounded: a document's prefix.
-    prefixes = cut(shared.groupBy("node").agg(F.collect_list("token").alias("tokens")))
-    marked = cut(shared.join(lists, "token").join(prefixes.select("node", F.size("tokens").alias("k")), "node"))
+    prefixes = scratch.put("prefixes", shared.groupBy("node").agg(F.collect_list("token").alias("tokens")))
+    marked = scratch.put("marked", shared.join(lists, "token").join(prefixes.select("node", F.size("tokens").alias("k")), "node"))
+    scratch.drop("shared")
     long_lists = marked.where(F.col("c") > pivots)
     # Every row of a list meets the list's pivots; two pivots meet once.
     drawn = marked.withColumn("pivot", (F.col("c") <= pivots) | _drawn(0, pivots))
     once = ~F.col("s.pivot") | (F.col("s.node") > F.col("t.node"))
-    pairs = cut(_pair_up(drawn, drawn.where("pivot"), once, prefixes, percent))
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(long_lists.select("node"))
-    fragments = cut(_fragments(texts, nodes, n, classes))
-    links = cut(_linked(pairs, fragments, percent))
-    labels = connected(links)
+    pairs = scratch.put("pairs", _pair_up(drawn, drawn.where("pivot"), once, prefixes, percent))
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+        fragments = scratch.put("fragments", _fragments(texts, sets, nodes, n, classes))
+        links = scratch.put(name, _linked(scratch, pairs, fragments, percent))
+        scratch.drop("fragments", "counted")
+        return links
+
+    links = linked(pairs, "links")
+    labels = scratch.put("labels", connected(links, scratch))
     # Long lists again, for pairs in different components only: with other pivots, then every pair.
     for turn in range(1, PIVOT_ROUNDS + 1):
-        grouped = cut(long_lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        grouped = scratch.put("grouped", long_lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
         if turn < PIVOT_ROUNDS:
             apart, few = F.col("s.component") != F.col("t.component"), grouped.where(_drawn(turn, pivots))
         else:
             apart, few = F.col("s.component") < F.col("t.component"), grouped
-        rest = cut(_pair_up(grouped, few, apart, prefixes, percent))
+        rest = scratch.put("pairs", _pair_up(grouped, few, apart, prefixes, percent))
         if not rest.isEmpty():
-            links = cut(links.union(_linked(rest, fragments, percent)))
-            labels = connected(links)
-    known = sets.where("n > 0").groupBy("fp", "fp2").agg(F.min("doc_id").alias("node"))
-    classes_of = known.join(labels, "node", "left").select("fp", "fp2", F.coalesce("component", "node").alias("component"))
-    empty = F.col("n") == 0
-    return sets.join(classes_of, ["fp", "fp2"], "left").select(
-        "doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component")).alias("component_id")
-    )
+            links = scratch.put("links", links.union(linked(rest, "more")))
+            labels = scratch.put("labels", connected(links, scratch))
+    scratch.drop("marked", "prefixes", "pairs", "links", "more", "grouped", "stars")
+    return sets, labels
+
+
+def join(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT, pivots: int = PIVOTS
+) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    sets, labels = _labelled(docs, id_col, text_col, n, percent, pivots, Scratch(docs.sparkSession, "ngrams"))
+    # Sets first, so that the rows of one set are counted before anything is joined.
+    known = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("_id")).join(labels, "node", "left")
+    grouped = known.select("node", "_id", F.coalesce("component", "node").alias("_group"))
+    least = grouped.groupBy("_group").agg(F.min("_id").alias("component_id"))
+    named = grouped.join(least, "_group").select("node", "component_id")
+    own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return sets.join(named, "node", "left").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), own.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The document with the smallest id of every component, with all its columns; one row if that id repeats."""
-    joined = join(docs, id_col, text_col, **options)
-    first = joined.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("_row")).join(first, F.col(f"_row.{id_col}") == F.col("_first"), "left_semi")
-    once = rows.groupBy(F.col(f"_row.{id_col}").alias("_id")).agg(F.first("_row").alias("_row"))
-    return once.select("_row.*")
+    """One row of every component, with all its columns; rows without words link with nothing and all stay.
+
+    It is the row with the smallest id, null ids last; of rows that share that id the one whose text has the smallest
+    hash, and of rows with equal id and text any one.
+    """
+    settings = {"n": N, "percent": PERCENT, "pivots": PIVOTS} | options
+    sets, labels = _labelled(docs, id_col, text_col, scratch=Scratch(docs.sparkSession, "ngrams"), **settings)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    known = sets.where("n > 0").groupBy("node").agg(F.min(order).alias("_first")).join(labels, "node", "left")
+    first = known.groupBy(F.coalesce("component", "node")).agg(F.min("_first").alias("_first"))
+    chosen = first.select(F.col("_first.doc_id").alias("_id"), F.col("_first.key").alias("_key"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("_doc"), _text_key(text_col).alias("_text"))
+    none = F.length(F.btrim(F.coalesce(F.col(f"_row.{text_col}"), F.lit("")), F.lit(SPACE_CHARS))) == 0
+    found = rows.where(~none).join(chosen, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")), "left_semi")
+    once = found.groupBy("_doc", "_text").agg(F.first("_row").alias("_row"))
+    return once.select("_row.*").unionByName(rows.where(none).select("_row.*"))
 
 
 pickle_by_value(__name__)
