@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from roadweave import schema
 from roadweave.bindings import proxies as P
 from roadweave.bindings.columns import _RATED
 from roadweave.bindings.proxies import r6, s6
@@ -15,6 +16,7 @@ from roadweave.functions import scoring
 from roadweave.operators import demand, graph, objective, population, reporting
 from roadweave.operators.ordering import number_rows_sliced
 from roadweave.plans import search
+from roadweave.session import scratch_path
 
 c = F.col
 
@@ -614,6 +616,57 @@ def distance_to_target(members):
     return members.select("run_id", "generation", "individual_id", loss.alias("loss"))
 
 
+def with_metrics(members):
+    """Stand-in evaluator with metrics; one genome in seven gets no result."""
+    total = population.gene_sum(c("genes"))
+    metrics = F.struct((total / 2.0).alias("e_loss"), (total % 3).cast("double").alias("fail_total"))
+    full = F.struct(*[(metrics[n] if n in ("e_loss", "fail_total") else F.lit(None)).cast(t).alias(n) for n, t in
+                      (x.split() for x in schema.METRICS.split(", "))])
+    return members.select("run_id", "generation", "individual_id", total.cast("double").alias("loss"), full.alias("metrics")).where(total % 7 > 0)
+
+
+_GENE_TOTALS = f"""(SELECT run_id, individual_id, list_sum(list_transform(string_split(genes, ','), lambda g: g::BIGINT))::BIGINT AS total FROM ({_CANDIDATES}))"""
+
+
+@query("x2_evaluate_members", f"""SELECT run_id, individual_id, CASE WHEN total % 7 > 0 THEN total::DOUBLE ELSE 'inf'::DOUBLE END AS loss,
+    CASE WHEN total % 7 > 0 THEN total / 2.0::DOUBLE ELSE 'inf'::DOUBLE END AS e_loss, CASE WHEN total % 7 > 0 THEN (total % 3)::DOUBLE ELSE 1.0 END::DOUBLE AS fail_total,
+    total % 7 = 0 AS worker_error, CASE WHEN total % 7 = 0 THEN 'no evaluation result' END AS error FROM {_GENE_TOTALS}""")
+def _(spark, d):
+    members = population.random_candidates(_runs(spark, d))
+    store = search.EvaluationStore(spark, scratch_path(spark, "evaluations"))
+    search.evaluate_members(members, with_metrics, store, "first")
+    # Known genomes come from the store, the others are asked for again.
+    m = c("metrics")
+    return search.evaluate_members(members, with_metrics, store, "second").select(
+        "run_id", "individual_id", "loss", m["e_loss"].alias("e_loss"), m["fail_total"].alias("fail_total"),
+        F.coalesce(m["worker_error"], F.lit(False)).alias("worker_error"), m["error"].alias("error"),
+    )
+
+
+@query("x2_evaluate_plain_loss", f"""SELECT run_id, individual_id, list_sum(list_transform(range(1, 17), lambda j:
+    abs(string_split(genes, ',')[j]::BIGINT - (j - 1) % 5)))::DOUBLE AS loss, true AS without_metrics FROM ({_CANDIDATES})""")
+def _(spark, d):
+    members = population.random_candidates(_runs(spark, d))
+    return search.evaluate_members(members, distance_to_target).select(
+        "run_id", "individual_id", "loss", c("metrics.e_loss").isNull().alias("without_metrics")
+    )
+
+
+@query("x3_progress", f"""SELECT g::INT AS generation, members, CASE WHEN g = 0 THEN best END AS first_best, 0::BIGINT AS failed FROM (SELECT count(*) AS members, min(loss) AS best FROM (
+    SELECT list_sum(list_transform(range(1, 17), lambda j: abs(string_split(genes, ',')[j]::BIGINT - (j - 1) % 5)))::DOUBLE AS loss FROM ({_CANDIDATES}))), range(0, 2) t(g)""")
+def _(spark, d):
+    told = []
+
+    def on_generation(pop, progress):
+        told.append(tuple(progress))
+        raise RuntimeError("a failing callback changes nothing")
+
+    runs = _runs(spark, d).select("run_id", "genome_size", "lower_bound", "upper_bound", "activation")
+    search.evolve(runs, distance_to_target, 1, population_size=20, sigma=3.0, on_generation=on_generation)
+    emitted = spark.createDataFrame(told, "generation int, members bigint, best_loss double, failed bigint")
+    return emitted.select("generation", "members", F.when(c("generation") == 0, c("best_loss")).alias("first_best"), "failed")
+
+
 @query("p8_evolve")
 def _(spark, d):
     runs = _runs(spark, d).select("run_id", "genome_size", "lower_bound", "upper_bound", "activation")

@@ -16,7 +16,7 @@ REQUIRED_FILES = (
 )
 
 
-def _holds_results(spark: SparkSession, root: str) -> bool:
+def holds_results(spark: SparkSession, root: str) -> bool:
     """Whether a write to ``root`` has been completed; any other fault of a stored result stays an error."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_SUCCESS")
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
@@ -29,7 +29,7 @@ def materialize(inputs: DataFrame, build: Callable[[DataFrame], DataFrame], root
     """
     spark = inputs.sparkSession
     missing = inputs
-    if _holds_results(spark, root):
+    if holds_results(spark, root):
         stored = spark.read.parquet(root).select(F.col(key).cast("string").alias(key)).distinct()
         missing = inputs.join(stored, key, "left_anti")
     built = build(missing)

@@ -231,15 +231,18 @@ def test_evolution_lowers_the_loss_and_is_reproducible(spark):
     runs = spark.createDataFrame([("a", 6, 0, 9, None), ("b", 6, 0, 9, 0.5)], "run_id string, genome_size int, lower_bound int, upper_bound int, activation double")
     seen = []
 
-    def callback(pop, number):
-        seen.append(number)
+    def callback(pop, progress):
+        seen.append(progress)
         raise RuntimeError("must not stop the search")
 
     options = {"population_size": 16, "sigma": 3.0, "immigrant_rate": 0.1}
     history, stats = search.evolve(runs, evaluator, 3, on_generation=callback, **options)
     best = {(r["run_id"], r["generation"]): r["best_loss"] for r in stats.collect()}
     start = {r["run_id"]: r["m"] for r in history.where("generation = 0").groupBy("run_id").agg(F.min("loss").alias("m")).collect()}
-    assert seen == [1, 2, 3] and len(best) == 6
+    assert [p.generation for p in seen] == [0, 1, 2, 3] and len(best) == 6
+    sizes = {r["generation"]: r["count"] for r in history.groupBy("generation").count().collect()}
+    assert all(p.members == sizes[p.generation] and p.failed == 0 for p in seen) and sizes[0] == 32
+    assert [p.best_loss for p in seen[1:]] == [min(best["a", g], best["b", g]) for g in (1, 2, 3)]
     for run in "ab":
         assert start[run] >= best[run, 1] >= best[run, 2] >= best[run, 3] and best[run, 3] < start[run]
     _, again = search.evolve(runs.repartition(3), evaluator, 1, **options)
@@ -251,3 +254,41 @@ def test_lost_evaluations_become_failures(spark):
     rows = {r["individual_id"]: r for r in search.evaluate_members(pop, lambda m: evaluator(m).where("individual_id <> 1")).collect()}
     assert rows[1]["loss"] == math.inf and rows[1]["metrics"]["worker_error"] and rows[1]["metrics"]["fail_total"] == 1
     assert rows[0]["loss"] == 0.0 and rows[0]["metrics"]["worker_error"] is None
+
+
+def test_a_stopped_search_goes_on_as_if_it_never_stopped(spark, tmp_path):
+    runs = spark.createDataFrame([("a", 6, 0, 9, None)], "run_id string, genome_size int, lower_bound int, upper_bound int, activation double")
+    options = {"population_size": 12, "sigma": 3.0, "immigrant_rate": 0.1}
+    _, whole = search.evolve(runs, evaluator, 2, **options)
+    calls, root = [], str(tmp_path / "search")
+
+    def counted(rows):
+        calls.append(rows.count())
+        if len(calls) == 4:
+            raise RuntimeError("the cluster went away")
+        return evaluator(rows)
+
+    with pytest.raises(RuntimeError):
+        search.evolve(runs, counted, 2, root=root, **options)
+    # Generation 1 stands; the half-written generation 2 is made anew, without a second look at the first population.
+    history, resumed = search.evolve(runs, counted, 2, root=root, **options)
+    assert sorted(map(tuple, resumed.collect())) == sorted(map(tuple, whole.collect()))
+    assert history.groupBy("generation").count().count() == 3 and len(calls) == 6 and calls[0] == 12
+    with pytest.raises(ValueError):
+        search.evolve(runs, evaluator, 2, root=root, **{**options, "sigma": 4.0})
+
+
+def test_equal_genomes_are_evaluated_once(spark, tmp_path):
+    rows = [("r", 0, 0, [1, 2]), ("r", 0, 1, [1, 2]), ("r", 0, 2, [3, 3]), ("q", 0, 0, [1, 2]), ("r", 0, 3, None)]
+    pop = spark.createDataFrame(rows, "run_id string, generation int, individual_id int, genes array<int>")
+    asked = []
+
+    def recording(members):
+        asked.append(sorted((r["run_id"], r["individual_id"]) for r in members.collect()))
+        return evaluator(members).where("individual_id <> 2")
+
+    store = search.EvaluationStore(spark, str(tmp_path / "store"))
+    first = {(r["run_id"], r["individual_id"]): r["loss"] for r in search.evaluate_members(pop, recording, store, "one").collect()}
+    again = {(r["run_id"], r["individual_id"]): r["loss"] for r in search.evaluate_members(pop, recording, store, "two").collect()}
+    assert asked[0] == [("q", 0), ("r", 0), ("r", 2), ("r", 3)] and asked[1] == [("r", 2), ("r", 3)]
+    assert first == again and first["r", 0] == first["r", 1] == first["q", 0] == 2.0 and first["r", 2] == math.inf
