@@ -156,20 +156,28 @@ class Mix:
         return spark.range(0, shards, 1, tasks).mapInPandas(run, "shard long, slot long, skey string, block long")
 
 
+def row_key(docs: DataFrame) -> Column:
+    """Hash of all columns of a row but maps."""
+    return F.xxhash64(*[f.name for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")])
+
+
 def lay_out(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(doc_id, skey, size, off, slice): the place of every document in the words of its source.
+    """(doc_id, key, skey, size, off): the place of every document in the words of its source.
 
-    Documents follow the hash of their id; sizes are summed per hash slice first, so that no task orders a whole source.
+    Documents follow the hash of their id, rows without one that of their columns; sizes are summed per hash slice first,
+    so that no task orders a whole source. ``key`` tells rows with one id apart: equal ones agree in all columns.
     """
-    slice_ = F.pmod(F.xxhash64(F.lit(SEED), F.col(id_col)), F.lit(SLICES)).cast("int")
+    key = row_key(docs)
+    slice_ = F.pmod(F.xxhash64(F.lit(SEED), F.coalesce(F.col(id_col).cast("long"), key)), F.lit(SLICES)).cast("int")
     size = F.size(words_of(text_or_empty(text_col))).cast("bigint")
-    sized = cut(docs.select(F.col(id_col).alias("doc_id"), source_key(source_col).alias("skey"), size.alias("size"), slice_.alias("slice")))
+    columns = (F.col(id_col).alias("doc_id"), key.alias("key"), source_key(source_col).alias("skey"), size.alias("size"), slice_.alias("slice"))
+    sized = cut(docs.select(*columns))
     slices = sized.groupBy("skey", "slice").agg(F.sum("size").alias("n"))
     before = W.partitionBy("skey").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     starts = slices.select("skey", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("slice_off"))
-    inner = W.partitionBy("skey", "slice").orderBy("doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inner = W.partitionBy("skey", "slice").orderBy("doc_id", "size", "key").rowsBetween(W.unboundedPreceding, -1)
     return sized.join(starts, ["skey", "slice"]).select(
-        "doc_id", "skey", "size", (F.col("slice_off") + F.coalesce(F.sum("size").over(inner), F.lit(0))).alias("off")
+        "doc_id", "key", "skey", "size", (F.col("slice_off") + F.coalesce(F.sum("size").over(inner), F.lit(0))).alias("off")
     )
 
 
@@ -177,7 +185,7 @@ def usage(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, block: int = BLOCK, shard: int = SHARD, seed: int = SEED,
 ) -> tuple[DataFrame, Mix]:
-    """(doc_id, skey, size, off, at, n, uses): every stretch of a document that lies in one block, and how often the mix
+    """(doc_id, key, skey, size, off, at, n, uses): every stretch of a document that lies in one block, and how often the mix
     takes that block. A document without words has one row of length 0."""
     spark = docs.sparkSession
     laid = cut(lay_out(docs, id_col, text_col, source_col))
@@ -194,7 +202,7 @@ def usage(
     uses = mix.draws(spark).groupBy("skey", "block").agg(F.count(F.lit(1)).alias("uses"))
     # The draws start from a short range, so their size would be guessed far too small: never broadcast them.
     joined = pieces.join(uses.hint("merge"), ["skey", "block"], "left")
-    return joined.select("doc_id", "skey", "size", "off", "at", "n", F.coalesce("uses", F.lit(0)).alias("uses")), mix
+    return joined.select("doc_id", "key", "skey", "size", "off", "at", "n", F.coalesce("uses", F.lit(0)).alias("uses")), mix
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
@@ -211,30 +219,29 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The mix as documents: for every repetition of a document the runs of its words that the mix takes.
 
-    A document taken whole keeps its text; a run of it joins its words with single spaces. Other columns are repeated.
+    A document taken whole keeps its text; a run of it joins its words with single spaces. Other columns are repeated. Rows
+    find their runs by id, null or not, and the hash of their columns; equal rows share theirs.
     """
     stretches, _ = usage(docs, id_col=id_col, text_col=text_col, **options)
     taken = stretches.where(F.col("n") * F.col("uses") > 0).select(
-        "doc_id", "off", "size", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("uses"))).alias("turn"), "at", (F.col("at") + F.col("n")).alias("to")
+        "doc_id", "key", "off", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("uses"))).alias("turn"), "at", (F.col("at") + F.col("n")).alias("to")
     )
-    order = W.partitionBy("doc_id", "off", "size", "turn").orderBy("at")
+    order = W.partitionBy("doc_id", "key", "off", "turn").orderBy("at")
     fresh = F.when(F.lag("to").over(order) == F.col("at"), 0).otherwise(1)
     runs = (
         taken.withColumn("_fresh", fresh)
         .withColumn("_run", F.sum("_fresh").over(order))
-        .groupBy("doc_id", "off", "size", "turn", "_run")
+        .groupBy("doc_id", "key", "off", "turn", "_run")
         .agg(F.min("at").alias("_at"), F.max("to").alias("_to"))
-        .groupBy("doc_id", "off", "size")
-        .agg(F.collect_list(F.struct("turn", "_at", "_to")).alias("_runs"))
+        .groupBy("doc_id", "key")
+        .agg(F.collect_list(F.struct("off", "turn", "_at", "_to")).alias("_runs"))
     )
-    # Rows that share an id are told apart by their order.
+    # Equal rows become one, so that the texts are dealt once, by the key that the runs join on.
     size = F.size(words_of(text_or_empty(text_col))).cast("bigint")
-    mine = docs.select(F.struct(*docs.columns).alias("_row"), size.alias("_size")).where(F.col("_size") > 0)
-    mine = mine.withColumn("_copy", F.row_number().over(W.partitionBy(F.col("_row")[id_col]).orderBy("_size")))
-    theirs = runs.select(
-        F.col("doc_id").alias("_id"), "_runs", F.row_number().over(W.partitionBy("doc_id").orderBy("size", "off")).alias("_nth")
-    )
-    joined = mine.join(theirs, (F.col("_row")[id_col] == F.col("_id")) & (F.col("_copy") == F.col("_nth")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(docs).alias("key"), F.struct(*docs.columns).alias("_row"), size.alias("_size"))
+    mine = rows.where(F.col("_size") > 0).groupBy("doc_id", "key").agg(F.first("_row").alias("_row"), F.first("_size").alias("_size"))
+    same = mine["doc_id"].eqNullSafe(runs["doc_id"]) & (mine["key"] == runs["key"])
+    joined = mine.join(runs.hint("merge"), same).select("_row", "_size", "_runs")
     out = joined.select("_row", "_size", F.explode(F.array_sort("_runs")).alias("_r"))
     whole = (F.col("_r._at") == 0) & (F.col("_r._to") == F.col("_size"))
     words = words_of(F.col("_row")[text_col])

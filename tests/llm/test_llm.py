@@ -16,6 +16,7 @@ from roadweave.llm import (
     embedding_dedup, language_id, license_scan, mixing, ngram_join, packing, pii, quality_rules, toxicity, url_filter,
 )
 from roadweave.llm.common import crc_bucket
+from roadweave.session import cut
 
 DATA = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{i % 997} x{i % 89}" for i in range(6000))
@@ -374,7 +375,7 @@ def test_pipeline_stages_follow_each_other(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     columns, before = docs.columns, docs.count()
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = corpus_pipeline.cut(stage(spark, docs, DATA))
+        out = cut(stage(spark, docs, DATA))
         assert out.columns == columns and out.count() > 0, name
         if name in ("quality_rules", "ngram_join"):
             assert out.count() <= before
@@ -389,4 +390,4 @@ def test_queries_are_registered():
     import __spark_entry__ as driver
 
     names = driver.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
