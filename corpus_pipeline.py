@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from roadweave.llm import mixing, ngram_join, packing, pii, quality_rules
-from roadweave.session import cut
+from roadweave.session import Scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of every group that n-gram links join.
+    """One document, the one with the smallest id, null ids last, of every group that n-gram links join.
 
     Documents without words link with nothing and stay.
     """
@@ -54,7 +54,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        # The documents of the stage before are deleted once these are written.
+        docs = scratch.put("documents", stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
