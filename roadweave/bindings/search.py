@@ -44,6 +44,18 @@ def _(spark, d):
     return graph.reachable(P.graph_pairs(spark, d), P.links(spark, d))
 
 
+_NUMBER = "substr({}, 2)::BIGINT"
+
+
+@query("j10_od_candidates", f"""SELECT area_id, origin, destination, distance FROM (SELECT *, abs({_NUMBER.format('origin')} - {_NUMBER.format('destination')}) * 10.0::DOUBLE AS distance
+    FROM ({_REACHED})) WHERE distance >= {_NUMBER.format('area_id')} % 5 * 100""")
+def _(spark, d):
+    number = lambda name: F.substring(name, 2, 20).cast("bigint")
+    pairs = P.graph_pairs(spark, d).withColumn("distance", F.abs(number("origin") - number("destination")) * F.lit(10.0))
+    areas = pairs.select("area_id").distinct().withColumn("min_distance", (number("area_id") % 5 * 100).cast("double"))
+    return demand.od_candidates(pairs, areas, P.links(spark, d)).select("area_id", "origin", "destination", "distance")
+
+
 _HOPS = """WITH links AS ({links}), graph_pairs AS ({pairs}), h1 AS (SELECT area_id, from_edge AS o, to_edge AS n FROM links),
     h2 AS (SELECT DISTINCT a.area_id, a.o, b.n FROM h1 a JOIN h1 b ON a.area_id = b.area_id AND a.n = b.o)
     SELECT area_id, origin, destination FROM graph_pairs p WHERE origin = destination

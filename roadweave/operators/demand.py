@@ -122,6 +122,24 @@ def _accept(tries: pd.DataFrame, max_pairs: int, max_failures: int) -> pd.DataFr
     return ordered.iloc[taken].assign(od_idx=range(len(taken)))
 
 
+def od_candidates(candidates: DataFrame, areas: DataFrame, links: DataFrame) -> DataFrame:
+    """The candidates (area_id, origin, destination, distance) that are far enough apart for their area and have a route.
+
+    ``areas``: area_id and min_distance; an area without a positive minimum takes any distance, an unknown distance
+    is too short elsewhere. Only pairs that pass the cheap test of distance are looked up in the network.
+    """
+    wanted = F.coalesce("min_distance", F.lit(0.0))
+    far = candidates.join(areas.select("area_id", "min_distance"), "area_id").where(
+        (wanted <= 0) | (F.col("distance") >= wanted)
+    ).drop("min_distance")
+    return routable(far, links)
+
+
+def routable(candidates: DataFrame, links: DataFrame) -> DataFrame:
+    ends = ["area_id", "origin", "destination"]
+    return candidates.join(reachable(candidates.select(*ends), links), ends, "left_semi")
+
+
 def _attempts(
     weighted: DataFrame, links: DataFrame, areas: DataFrame, max_pairs: int, seed: int, attempts: int, max_failures: int
 ) -> DataFrame:
@@ -140,10 +158,8 @@ def _attempts(
         .where(F.col("tier") < len(factors))
         .select("area_id", "draw", "origin", "destination", "distance", "tier")
     )
-    ends = ["area_id", "origin", "destination"]
-    routable = tries.join(reachable(tries.select(*ends).distinct(), links), ends, "left_semi")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tries.schema) + ", od_idx int"
-    return cut(routable.groupBy("area_id").applyInPandas(lambda t: _accept(t, max_pairs, max_failures), schema))
+    return cut(routable(tries, links).groupBy("area_id").applyInPandas(lambda t: _accept(t, max_pairs, max_failures), schema))
 
 
 def select_od_pairs(

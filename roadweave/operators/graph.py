@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from roadweave.session import cut
+from roadweave.session import Scratch, cut, pickle_by_value
 
 
 def neighbors(links: DataFrame) -> DataFrame:
@@ -73,140 +77,218 @@ def shortcuts(links: DataFrame, growth: int = SHORTCUT_GROWTH, rounds: int = SHO
     return links
 
 
-def reachable(pairs: DataFrame, links: DataFrame, max_hops: int | None = None, pivot_rounds: int = 1) -> DataFrame:
+HUB_GROWTH = 32
+PAIR = ["area_id", "origin", "destination"]
+
+
+def reachable(pairs: DataFrame, links: DataFrame, max_hops: int | None = None) -> DataFrame:
     """Pairs (area_id, origin, destination) with a route, as distinct rows.
 
-    Without a hop limit one pivot per area decides most pairs at the cost of two traversals: whatever reaches the
-    pivot reaches everything the pivot reaches, and a pair that crosses out of either set has no route. Only the
-    undecided rest is followed origin by origin.
+    With a hop limit every origin is followed. Without one the pairs are looked up in hub labels (:func:`hub_labels`): a pair
+    has a route if a hub that the origin reaches also reaches the destination. Hubs are added in batches that grow, and
+    pairs leave as soon as they are decided; once an area has fewer open origins than the next batch has hubs, its origins
+    are followed instead, but never past a node that a label already covers, so no table of origins and all their nodes arises.
     """
-    links = cut(links.select("area_id", "from_edge", "to_edge").distinct())
-    pairs = pairs.select("area_id", "origin", "destination").distinct()
+    scratch = Scratch(links.sparkSession, "reach")
+    links = scratch.put("links", links.select("area_id", "from_edge", "to_edge").distinct())
+    pairs = pairs.select(*PAIR).distinct()
     same = pairs.where(F.col("origin") == F.col("destination"))
-    open_pairs = pairs.where(F.col("origin") != F.col("destination"))
     # A node without an outgoing (incoming) link cannot start (end) a route.
     starts = links.select("area_id", F.col("from_edge").alias("origin")).distinct()
     ends = links.select("area_id", F.col("to_edge").alias("destination")).distinct()
-    open_pairs = cut(
-        open_pairs.join(starts, ["area_id", "origin"], "left_semi").join(ends, ["area_id", "destination"], "left_semi")
-    )
-    found = same
-    if max_hops is None:
-        reach, used = shortcuts(links), None
-        for _ in range(pivot_rounds):
-            pivots = _pivots(links, open_pairs, used)
-            used = pivots if used is None else used.unionByName(pivots)
-            yes, open_pairs = _decide_by_pivot(open_pairs, reach, pivots)
-            found = found.unionByName(yes)
-        links = reach
-    origins = open_pairs.select("area_id", "origin").distinct()
-    seeds = origins.withColumn("node", F.col("origin"))
-    visited = spread(seeds, links, ["area_id", "origin"], max_hops)
-    rest = open_pairs.join(
-        visited.withColumnRenamed("node", "destination"), ["area_id", "origin", "destination"], "left_semi"
+    open_pairs = pairs.where(F.col("origin") != F.col("destination"))
+    open_pairs = scratch.put(
+        "open", open_pairs.join(starts, ["area_id", "origin"], "left_semi").join(ends, ["area_id", "destination"], "left_semi")
     )
-    return found.unionByName(rest)
+    origins = open_pairs.select("area_id", F.col("origin").alias("node")).distinct()
+    if max_hops is not None:
+        visited = spread(origins.select("area_id", F.col("node").alias("origin"), "node"), links, ["area_id", "origin"], max_hops)
+        rest = open_pairs.join(visited.withColumnRenamed("node", "destination"), PAIR, "left_semi")
+        return same.unionByName(rest)
+    links = shortcuts(links)
+    found, labels, done, size = same, None, 0, 1
+    ranked = _ranked_nodes(links)
+    while True:
+        most = open_pairs.select("area_id", "origin").distinct().groupBy("area_id").count().agg(F.max("count")).first()[0] or 0
+        if most == 0:
+            return found
+        if labels is not None and most <= size:
+            break
+        wanted = open_pairs.select("area_id").distinct()
+        hubs = ranked.where((F.col("rank") > done) & (F.col("rank") <= done + size)).join(wanted, "area_id", "left_semi")
+        if hubs.isEmpty():
+            return found
+        both = hubs.select("area_id", "node", F.explode(F.array(F.lit(True), F.lit(False))).alias("forward"))
+        grown = hub_labels(both, links, labels)
+        decided = scratch.put(f"decided{done}", _decide(open_pairs, grown if labels is None else labels.unionByName(grown), labels is None))
+        labels = grown if labels is None else labels.unionByName(grown)
+        found = found.unionByName(decided.where("yes").select(*PAIR))
+        open_pairs = scratch.put("open", decided.where("not yes and not no").select(*PAIR))
+        done, size = done + size, size * HUB_GROWTH
+    seeds = open_pairs.select("area_id", F.col("origin").alias("node"), F.lit(True).alias("forward")).distinct()
+    own = hub_labels(seeds, links, labels).select("area_id", F.col("hub").alias("origin"), F.col("node").alias("destination"))
+    return found.unionByName(open_pairs.join(own, PAIR, "left_semi"))
+
+
+def _ranked_nodes(links: DataFrame) -> DataFrame:
+    """(area_id, node, rank): nodes with many links on their narrower side first, from 1."""
+    through = F.least("in_degree", "out_degree")
+    order = [F.desc(through), F.desc("out_degree"), "edge_id"]
+    numbered = neighbors(links).withColumn("rank", F.row_number().over(W.partitionBy("area_id").orderBy(*order)))
+    return numbered.select("area_id", F.col("edge_id").alias("node"), "rank")
 
 
-def _pivots(links: DataFrame, open_pairs: DataFrame, used: DataFrame | None) -> DataFrame:
-    """Per area with open pairs the unused node that has the most links on its narrower side."""
-    through = F.least("in_degree", "out_degree")
-    candidates = neighbors(links).join(open_pairs.select("area_id").distinct(), "area_id", "left_semi")
-    if used is not None:
-        candidates = candidates.join(used.withColumnRenamed("node", "edge_id"), ["area_id", "edge_id"], "left_anti")
-    return candidates.groupBy("area_id").agg(
-        F.max_by("edge_id", F.struct(through, "out_degree", "edge_id")).alias("node")
+def hub_labels(seeds: DataFrame, links: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(area_id, hub, node, forward): what each seed reaches (forward) or is reached from, itself included.
+
+    A node whose connection to the seed runs over a hub of ``labels`` is left out and not gone past: that hub, or one
+    before it, already speaks for everything behind. Each round joins only the newest entries.
+    """
+    steps = links.select("area_id", F.lit(True).alias("forward"), F.col("from_edge").alias("node"), F.col("to_edge").alias("next")).union(
+        links.select("area_id", F.lit(False), "to_edge", "from_edge")
     )
+    entry = ["area_id", "hub", "node", "forward"]
+    scratch = Scratch(links.sparkSession, "labels")
+    frontier = scratch.put("0", seeds.select("area_id", F.col("node").alias("hub"), "node", "forward"))
+    visited, hop = frontier, 0
+    while not frontier.isEmpty():
+        hop += 1
+        moved = frontier.join(steps, ["area_id", "forward", "node"]).select("area_id", "hub", F.col("next").alias("node"), "forward").distinct()
+        fresh = moved.join(visited, entry, "left_anti")
+        if labels is not None:
+            fresh = fresh.join(_covered(fresh, labels), entry, "left_anti")
+        frontier = scratch.put(str(hop), fresh)
+        visited = visited.unionByName(frontier)
+        if hop % 8 == 0:
+            visited = scratch.put(f"upto{hop}", visited)
+            scratch.drop(*map(str, range(hop - 8, hop)), f"upto{hop - 8}")
+    return visited
 
 
-def _decide_by_pivot(open_pairs: DataFrame, links: DataFrame, pivots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    # Both directions advance in one loop: the direction is part of the key.
-    both = links.select(F.concat("area_id", F.lit(">")).alias("area_id"), "from_edge", "to_edge").union(
-        links.select(F.concat("area_id", F.lit("<")), F.col("to_edge"), F.col("from_edge"))
-    )
-    seeds = pivots.select(
-        F.explode(F.array(F.concat("area_id", F.lit(">")), F.concat("area_id", F.lit("<")))).alias("area_id"), "node"
-    )
-    visited = spread(seeds, both, ["area_id"])
-    area = F.expr("substring(area_id, 1, length(area_id) - 1)")
-    sides = (
-        visited.select(area.alias("area_id"), "node", F.col("area_id").endswith(">").alias("forward"))
-        .groupBy("area_id", "node")
-        .agg(F.bool_or("forward").alias("from_pivot"), F.bool_or(~F.col("forward")).alias("to_pivot"))
+def _ends(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hubs that a node reaches, and hubs that reach it."""
+    return (
+        labels.where("not forward").select("area_id", F.col("node").alias("start"), F.col("hub").alias("via")),
+        labels.where("forward").select("area_id", F.col("node").alias("end"), F.col("hub").alias("via")),
     )
 
-    def of(end: str, prefix: str) -> DataFrame:
-        return sides.select(
-            "area_id", F.col("node").alias(end), F.col("from_pivot").alias(f"{prefix}_from"),
-            F.col("to_pivot").alias(f"{prefix}_to"),
-        )
 
-    marked = open_pairs.join(of("origin", "o"), ["area_id", "origin"], "left").join(
-        of("destination", "d"), ["area_id", "destination"], "left"
-    )
-    marked = marked.fillna(False, ["o_from", "o_to", "d_from", "d_to"])
-    yes = F.col("o_to") & F.col("d_from")
-    no = (F.col("o_from") & ~F.col("d_from")) | (F.col("d_to") & ~F.col("o_to"))
-    decided = cut(marked.select("area_id", "origin", "destination", yes.alias("yes"), no.alias("no")))
-    columns = ["area_id", "origin", "destination"]
-    return decided.where("yes").select(*columns), decided.where("not yes and not no").select(*columns)
+def _covered(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    leaves, arrives = _ends(labels)
+    ways = entries.withColumns({
+        "start": F.when(F.col("forward"), F.col("hub")).otherwise(F.col("node")),
+        "end": F.when(F.col("forward"), F.col("node")).otherwise(F.col("hub")),
+    })
+    met = ways.join(leaves, ["area_id", "start"]).join(arrives, ["area_id", "end", "via"], "left_semi")
+    return met.select("area_id", "hub", "node", "forward").distinct()
+
+
+def _decide(open_pairs: DataFrame, labels: DataFrame, complete: bool) -> DataFrame:
+    """Adds ``yes`` and ``no``. ``complete`` labels list everything a hub reaches and is reached from: a pair that leaves
+    either set has no route."""
+    leaves, arrives = _ends(labels)
+    out = leaves.select("area_id", F.col("start").alias("origin"), "via")
+    into = arrives.select("area_id", F.col("end").alias("destination"), "via")
+    routed = open_pairs.join(out, ["area_id", "origin"]).join(into, ["area_id", "destination", "via"], "left_semi").select(*PAIR).distinct()
+    marked = open_pairs.join(routed.withColumn("yes", F.lit(True)), PAIR, "left").fillna(False, ["yes"])
+    if not complete:
+        return marked.withColumn("no", F.lit(False))
+    sides = labels.groupBy("area_id", "node").agg(F.bool_or("forward").alias("from"), F.bool_or(~F.col("forward")).alias("to"))
+    for end in ("origin", "destination"):
+        side = sides.select("area_id", F.col("node").alias(end), F.col("from").alias(f"{end}_from"), F.col("to").alias(f"{end}_to"))
+        marked = marked.join(side, ["area_id", end], "left").fillna(False, [f"{end}_from", f"{end}_to"])
+    no = (F.col("origin_from") & ~F.col("destination_from")) | (F.col("destination_to") & ~F.col("origin_to"))
+    return marked.select(*PAIR, "yes", no.alias("no"))
 
 
 def components(edges: DataFrame, links: DataFrame) -> DataFrame:
-    """Weakly connected component of every edge; the label is the smallest edge id of the component.
-
-    Alternates large-star and small-star steps, which shrink the graph to stars in few rounds whatever its
-    diameter. A hub's minimum is a mergeable aggregate joined back on, so no neighbourhood meets in one task.
-    """
+    """Weakly connected component of every edge; the label is the smallest edge id of the component."""
     nodes = edges.select("area_id", "edge_id").distinct()
     inner = (
         links.select("area_id", "from_edge", "to_edge")
-        .where(F.col("from_edge") != F.col("to_edge"))
         .join(nodes.withColumnRenamed("edge_id", "from_edge"), ["area_id", "from_edge"], "left_semi")
         .join(nodes.withColumnRenamed("edge_id", "to_edge"), ["area_id", "to_edge"], "left_semi")
     )
-    stars = cut(
-        inner.select("area_id", F.greatest("from_edge", "to_edge").alias("u"), F.least("from_edge", "to_edge").alias("v"))
-        .distinct()
+    labels = star_components(inner.select("area_id", F.col("from_edge").alias("a"), F.col("to_edge").alias("b")), ["area_id"])
+    return nodes.join(labels.withColumnRenamed("node", "edge_id"), ["area_id", "edge_id"], "left").select(
+        "area_id", "edge_id", F.coalesce("component", "edge_id").alias("component")
     )
+
+
+FOREST_LINKS = 500_000
+
+
+def star_components(links: DataFrame, keys: list[str], scratch: Scratch | None = None, name: str = "stars") -> DataFrame:
+    """(keys, node, component) of every node in ``links`` (keys, a, b); the component is its smallest node.
+
+    Tasks first reduce the links they read to stars, a bounded number at a time and without a shuffle, so that only what
+    several tasks share is left. Large-star and small-star steps then finish in rounds that follow the logarithm of the size,
+    not the diameter; each is one job, which counts and hashes the stars while it writes them. A node's least neighbour is a
+    mergeable aggregate, and the join that brings it back is one that Spark splits where a hub makes it skewed.
+    """
+    scratch = scratch or Scratch(links.sparkSession, "components")
+    apart = links.where("a <> b").select(*keys, "a", "b")
+    kind = apart.schema["a"].dataType.simpleString()
+    ddl = ", ".join([f"{k} {apart.schema[k].dataType.simpleString()}" for k in keys] + [f"u {kind}", f"v {kind}"])
+
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+        seen, schema = 0, None
+
+        def root(node):
+            while parent[node] != node:
+                parent[node] = node = parent[parent[node]]
+            return node
+
+        def stars() -> pa.RecordBatch:
+            rows = [(*node[:-1], node[-1], top[-1]) for node in parent if (top := root(node)) != node]
+            columns = list(zip(*rows)) or [()] * (len(keys) + 2)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema)], [*keys, "u", "v"])
+
+        for batch in batches:
+            schema = [*batch.schema.types]
+            columns = [c.to_pylist() for c in batch.columns]
+            for *key, a, b in zip(*columns):
+                x, y = (*key, a), (*key, b)
+                x, y = root(parent.setdefault(x, x)), root(parent.setdefault(y, y))
+                if x[-1] < y[-1]:
+                    parent[y] = x
+                elif y[-1] < x[-1]:
+                    parent[x] = y
+            seen += batch.num_rows
+            if seen >= FOREST_LINKS:
+                yield stars()
+                parent, seen = {}, 0
+        if parent:
+            yield stars()
+
+    columns = [*keys, "u", "v"]
+    stars = scratch.put(name, apart.mapInArrow(forest, ddl).distinct())
     before = None
     while True:
-        stars = cut(_small_star(_large_star(stars)))
-        state = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("area_id", "u", "v").cast("decimal(38,0)"))).first()
+        seen = Observation()
+        figures = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("hash")]
+        stars = scratch.put(name, _small_star(_large_star(stars, keys), keys).observe(seen, *figures))
+        state = (seen.get["n"], seen.get["hash"])
         if state == before:
             break
         before = state
-    # Every remaining link is (node, label); a label itself or an isolated edge labels itself.
-    labels = stars.groupBy("area_id", F.col("u").alias("edge_id")).agg(F.min("v").alias("component"))
-    return nodes.join(labels, ["area_id", "edge_id"], "left").select(
-        "area_id", "edge_id", F.coalesce("component", "edge_id").alias("component")
-    )
-
-
-def _both_ways(stars: DataFrame) -> DataFrame:
-    return stars.select("area_id", F.col("u").alias("a"), F.col("v").alias("b")).union(
-        stars.select("area_id", F.col("v"), F.col("u"))
-    )
+    leaves = stars.groupBy(*keys, F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    return leaves.union(stars.select(*keys, F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _large_star(stars: DataFrame) -> DataFrame:
+def _large_star(stars: DataFrame, keys: list[str]) -> DataFrame:
     """Link every larger neighbour of a node to the least node of its neighbourhood."""
-    around = _both_ways(stars)
-    least = around.groupBy("area_id", "a").agg(F.min("b").alias("m")).select("area_id", "a", F.least("a", "m").alias("m"))
-    return (
-        around.where(F.col("b") > F.col("a"))
-        .join(least, ["area_id", "a"])
-        .select("area_id", F.col("b").alias("u"), F.col("m").alias("v"))
-        .distinct()
-    )
+    around = stars.select(*keys, F.col("u").alias("a"), F.col("v").alias("b")).union(stars.select(*keys, "v", "u"))
+    least = around.groupBy(*keys, "a").agg(F.min("b").alias("m")).select(*keys, "a", F.least("a", "m").alias("m"))
+    return around.where(F.col("b") > F.col("a")).join(least, [*keys, "a"]).select(*keys, F.col("b").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(stars: DataFrame) -> DataFrame:
+def _small_star(stars: DataFrame, keys: list[str]) -> DataFrame:
     """Link a node and its smaller neighbours to the least of them."""
-    down = stars.select("area_id", F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b"))
-    least = down.groupBy("area_id", "a").agg(F.min("b").alias("m"))
-    moved = down.join(least, ["area_id", "a"]).select("area_id", F.col("b").alias("u"), F.col("m").alias("v"))
-    own = least.select("area_id", F.col("a").alias("u"), F.col("m").alias("v"))
+    least = stars.groupBy(*keys, "u").agg(F.min("v").alias("m"))
+    moved = stars.join(least, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
+    own = least.select(*keys, "u", F.col("m").alias("v"))
     return moved.union(own).where(F.col("u") != F.col("v")).distinct()
 
 
@@ -228,3 +310,6 @@ def largest_component(labelled: DataFrame) -> DataFrame:
 def largest_component_edges(labelled: DataFrame) -> DataFrame:
     best = largest_component(labelled).select("area_id", "component")
     return labelled.join(best, ["area_id", "component"], "left_semi").select("area_id", "edge_id")
+
+
+pickle_by_value(__name__)

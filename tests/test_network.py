@@ -110,15 +110,16 @@ def brute_reach(links, area, start, hops=None):
     return seen
 
 
-@pytest.mark.parametrize(("hops", "rounds"), [(None, 1), (None, 2), (3, 1)])
-def test_reachable_equals_bfs(spark, hops, rounds):
+@pytest.mark.parametrize(("hops", "growth"), [(None, 32), (None, 2), (3, 32)])
+def test_reachable_equals_bfs(spark, monkeypatch, hops, growth):
+    monkeypatch.setattr(graph, "HUB_GROWTH", growth)
     rnd = random.Random(9)
     links = random_graph(rnd, "AB", 40, 55)
     pairs = {(a, f"n{rnd.randrange(40)}", f"n{rnd.randrange(40)}") for a in "AB" for _ in range(120)}
     pairs.add(("A", "lonely", "lonely"))
     got = graph.reachable(
         spark.createDataFrame(sorted(pairs), "area_id string, origin string, destination string"),
-        spark.createDataFrame(links, "area_id string, from_edge string, to_edge string"), hops, rounds,
+        spark.createDataFrame(links, "area_id string, from_edge string, to_edge string"), hops,
     )
     rows = [tuple(r) for r in got.select("area_id", "origin", "destination").collect()]
     assert len(rows) == len(set(rows))
