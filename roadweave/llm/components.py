@@ -1,53 +1,13 @@
-"""Connected components of links between long ids, by alternating star steps written to the shared folder."""
+"""Connected components of links between long ids."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from roadweave.operators.graph import star_components
 from roadweave.session import Scratch
 
 
 def connected(links: DataFrame, scratch: Scratch | None = None, name: str = "stars") -> DataFrame:
-    """(node, component) of every node that occurs in ``links`` (a, b); the component is its smallest node.
-
-    Large-star and small-star steps shrink every component to a star in a number of rounds that follows the logarithm of
-    its size. A node's least neighbour is a mergeable aggregate; it is joined back in salted parts, so a hub's neighbourhood
-    spreads over ``SALTS`` tasks. Each round takes the place of the one before in the shared folder.
-    """
-    scratch = scratch or Scratch(links.sparkSession, "components")
-    pairs = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    stars = scratch.put(name, pairs)
-    before = None
-    while True:
-        stars = scratch.put(name, _small_star(_large_star(stars)))
-        state = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    leaves = stars.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-    return leaves.union(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
-SALTS = 16
-
-
-def _salted(rows: DataFrame, least: DataFrame, key: str, other: str) -> DataFrame:
-    """Join the least neighbour of ``key`` back on; rows of one key are spread by the hash of their other end."""
-    spread = least.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.hash(other), F.lit(SALTS))).join(spread, [key, "_salt"])
-
-
-def _large_star(stars: DataFrame) -> DataFrame:
-    """Link every larger neighbour of a node to the least node of its neighbourhood."""
-    around = stars.select(F.col("u").alias("a"), F.col("v").alias("b")).union(stars.select("v", "u"))
-    least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return _salted(around.where("b > a"), least, "a", "b").select(F.col("b").alias("u"), F.col("m").alias("v"))
-
-
-def _small_star(stars: DataFrame) -> DataFrame:
-    """Link a node and its smaller neighbours to the least of them."""
-    least = stars.groupBy("u").agg(F.min("v").alias("m"))
-    moved = _salted(stars, least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    own = least.select("u", F.col("m").alias("v"))
-    return moved.union(own).where("u <> v").distinct()
+    """(node, component) of every node that occurs in ``links`` (a, b); the component is its smallest node."""
+    return star_components(links.select("a", "b"), [], scratch, name)

@@ -12,7 +12,7 @@ results, frequencies only make it fast. The order is cut into fragments:
   whose sum cannot reach the threshold any more is dropped before the next range. The n-grams of one range at a time are moved.
 
 A long posting list is not paired with itself: its nodes are first paired with about ``PIVOTS`` of its members, the same
-ones in every list of a group. Links found join nodes into components; only pairs of a list that are still in different
+ones in every list of a group, and a node does so in its longest lists only. Links found join nodes into components; only pairs of a list that are still in different
 components are then compared, each of them. So every link that could change a component is decided exactly, while a
 large group of near copies costs rows in proportion to its size.
 
@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roadweave.llm.common import SPACE_CHARS
@@ -44,7 +45,9 @@ BUCKET_BITS = 20
 CHUNKS = 64
 FRAGMENT_BITS = 2
 PIVOTS = 8
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 3
+#: Of its long lists a node meets the pivots in so many, the longest ones: the lists of a group hold much the same nodes.
+TOP_LISTS = 3
 CACHED_WORDS = 200_000
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -338,13 +341,16 @@ def _labelled(
     lists = shared.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
     # Bounded: a document's prefix.
     prefixes = scratch.put("prefixes", shared.groupBy("node").agg(F.collect_list("token").alias("tokens")))
-    marked = scratch.put("marked", shared.join(lists, "token").join(prefixes.select("node", F.size("tokens").alias("k")), "node"))
+    longest = F.row_number().over(W.partitionBy("node").orderBy(F.desc("c"), "token"))
+    sized = shared.join(lists, "token").join(prefixes.select("node", F.size("tokens").alias("k")), "node")
+    marked = scratch.put("marked", sized.withColumn("top", longest <= TOP_LISTS))
     scratch.drop("shared")
     long_lists = marked.where(F.col("c") > pivots)
     # Every row of a list meets the list's pivots; two pivots meet once.
     drawn = marked.withColumn("pivot", (F.col("c") <= pivots) | _drawn(0, pivots))
     once = ~F.col("s.pivot") | (F.col("s.node") > F.col("t.node"))
-    pairs = scratch.put("pairs", _pair_up(drawn, drawn.where("pivot"), once, prefixes, percent))
+    meeting = (F.col("c") <= pivots) | F.col("top")
+    pairs = scratch.put("pairs", _pair_up(drawn.where(meeting), drawn.where("pivot"), once, prefixes, percent))
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
@@ -359,10 +365,10 @@ def _labelled(
     for turn in range(1, PIVOT_ROUNDS + 1):
         grouped = scratch.put("grouped", long_lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
         if turn < PIVOT_ROUNDS:
-            apart, few = F.col("s.component") != F.col("t.component"), grouped.where(_drawn(turn, pivots))
+            apart, many, few = F.col("s.component") != F.col("t.component"), grouped.where("top"), grouped.where(_drawn(turn, pivots))
         else:
-            apart, few = F.col("s.component") < F.col("t.component"), grouped
-        rest = scratch.put("pairs", _pair_up(grouped, few, apart, prefixes, percent))
+            apart, many, few = F.col("s.component") < F.col("t.component"), grouped, grouped
+        rest = scratch.put("pairs", _pair_up(many, few, apart, prefixes, percent))
         if not rest.isEmpty():
             links = scratch.put("links", links.union(linked(rest, "more")))
             labels = scratch.put("labels", connected(links, scratch))
