@@ -366,6 +366,16 @@ def _(spark, d):
     return B._rounded(store.storage_stats(files), "size_mb")
 
 
+@query("s21_storage_stats_of_files", f"""SELECT 'cat=' || o_custkey % 4 AS category, 1::BIGINT AS files, {s6('count(*) * 10.0::DOUBLE / 1048576')} AS size_mb
+    FROM orders GROUP BY 1""")
+def _(spark, d):
+    # One file a category, ten bytes a line.
+    root = scratch_path(spark, "inventory")
+    line = F.lpad((c("o_orderkey") % 1_000_000_000).cast("string"), 9, "0").alias("line")
+    P.table(spark, d, "orders").select((c("o_custkey") % 4).alias("cat"), line).repartition("cat").write.partitionBy("cat").text(root)
+    return B._rounded(store.storage_stats(readers.list_files(spark, root)), "size_mb")
+
+
 # ---- T: streams --------------------------------------------------------------------------------------------------------------
 
 

@@ -255,18 +255,23 @@ def _boosts(spark, d):
     return p.withColumn("boosted", F.col("generation") == 1)
 
 
-@query("a13_generation_stats", P.sql(*_RATED, select=f"""SELECT run_id, generation, min(loss) AS best_loss, {s6('avg(loss)')} AS mean_loss,
+def _with_diversity(sql):
+    """The twin of some figures per generation, with the diversity of the listed pairs."""
+    return f"SELECT s.*, g.genotypic_diversity FROM ({sql}) s JOIN ({_LISTED_PAIRS}) g USING (run_id, generation)"
+
+
+@query("a13_generation_stats", _with_diversity(P.sql(*_RATED, select=f"""SELECT run_id, generation, min(loss) AS best_loss, {s6('avg(loss)')} AS mean_loss,
     {s6('stddev_pop(loss)')} AS std_loss, arg_min(magnitude, (loss, v))::DOUBLE AS best_magnitude, {s6('avg(magnitude)')} AS mean_magnitude,
     arg_min([zero_flow], (loss, v))[1]::DOUBLE AS best_zero_flow, {s6('avg(zero_flow)')} AS mean_zero_flow,
     arg_min([routing_failures], (loss, v))[1]::DOUBLE AS best_routing_failures, {s6('avg(routing_failures)')} AS mean_routing_failures,
     arg_min(fails, (loss, v))::BIGINT AS best_fail_total, {s6('avg(fails)')} AS mean_fail_total,
-    {s6('stddev_pop(loss)')} AS phenotypic_diversity, generation = 1 AS mutation_boosted FROM rated WHERE loss < 'inf'::DOUBLE GROUP BY 1, 2"""))
+    {s6('stddev_pop(loss)')} AS phenotypic_diversity, generation = 1 AS mutation_boosted FROM rated WHERE loss < 'inf'::DOUBLE GROUP BY 1, 2""")))
 def _(spark, d):
-    stats = population.generation_stats(_finite_population(spark, d), _boosts(spark, d)).drop("genotypic_diversity")
+    stats = population.generation_stats(_finite_population(spark, d), _boosts(spark, d), diversity_pairs=population.DIVERSITY_PAIRS)
     stats = stats.withColumn("best_fail_total", c("best_fail_total").cast("bigint"))
     return _rounded(
         stats, "mean_loss", "std_loss", "mean_magnitude", "mean_zero_flow", "mean_routing_failures", "mean_fail_total",
-        "phenotypic_diversity",
+        "phenotypic_diversity", "genotypic_diversity",
     )
 
 
@@ -323,15 +328,15 @@ def _stats_sql(select: str) -> str:
 @query("w8_failure_series", _stats_sql(f"""coalesce(arg_min([zero_flow], (loss, v))[1], 0)::DOUBLE AS best_zero_flow,
     coalesce({s6('avg(zero_flow)')}, 0.0) AS mean_zero_flow, arg_min(fails, (loss, v))::DOUBLE AS best_failures, {s6('avg(fails)')} AS mean_failures"""))
 def _(spark, d):
-    stats = population.generation_stats(_finite_population(spark, d))
+    stats = population.generation_stats(_finite_population(spark, d), diversity_pairs=population.DIVERSITY_PAIRS)
     return _rounded(reporting.failure_series(stats), "mean_zero_flow", "mean_failures")
 
 
-@query("w9_population_series", _stats_sql(f"""arg_min(magnitude, (loss, v))::DOUBLE AS best_magnitude, {s6('avg(magnitude)')} AS mean_magnitude,
-    {s6('stddev_pop(loss)')} AS phenotypic_diversity, CASE WHEN generation = 1 THEN generation END AS boosted_at"""))
+@query("w9_population_series", _with_diversity(_stats_sql(f"""arg_min(magnitude, (loss, v))::DOUBLE AS best_magnitude, {s6('avg(magnitude)')} AS mean_magnitude,
+    {s6('stddev_pop(loss)')} AS phenotypic_diversity, CASE WHEN generation = 1 THEN generation END AS boosted_at""")))
 def _(spark, d):
-    stats = population.generation_stats(_finite_population(spark, d), _boosts(spark, d))
-    return _rounded(reporting.population_series(stats).drop("genotypic_diversity"), "mean_magnitude", "phenotypic_diversity")
+    stats = population.generation_stats(_finite_population(spark, d), _boosts(spark, d), diversity_pairs=population.DIVERSITY_PAIRS)
+    return _rounded(reporting.population_series(stats), "mean_magnitude", "phenotypic_diversity", "genotypic_diversity")
 
 
 _STAGNATION = P.sql("generations", select="SELECT 1").replace("WITH ", "WITH RECURSIVE ", 1).removesuffix("SELECT 1").rstrip() + """,

@@ -78,7 +78,7 @@ def phenotypic_diversity(pop: DataFrame) -> DataFrame:
     )
 
 
-def generation_stats(pop: DataFrame, boosts: DataFrame | None = None, diversity_pairs: int | None = DIVERSITY_PAIRS) -> DataFrame:
+def generation_stats(pop: DataFrame, boosts: DataFrame | None = None, *, diversity_pairs: int | None) -> DataFrame:
     """The fifteen per-generation figures; the best individual is the first one on equal loss.
 
     The genotypic diversity takes ``diversity_pairs`` pairs, None for all.

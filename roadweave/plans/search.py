@@ -175,19 +175,21 @@ def evolve_step(
 def evolve(
     runs: DataFrame, evaluate: Evaluate, generations: int, population_size: int = 50, seed: int = 42,
     patience: int = 20, boost: float = 1.5, epsilon: float = 0.1, sigma: float = 20.0, rate: float = 0.5,
-    on_generation: Callable[[DataFrame, Progress], None] | None = None, root: str | None = None, **step_options,
+    on_generation: Callable[[DataFrame, Progress], None] | None = None, root: str | None = None,
+    diversity_pairs: int | None = P.DIVERSITY_PAIRS, **step_options,
 ) -> tuple[DataFrame, DataFrame]:
     """Run the whole search for all rows of ``runs`` (run_id, genome_size, lower_bound, upper_bound, activation).
 
     Returns (all populations, generation statistics). Only the loop counter lives on the driver. ``on_generation`` gets each
     stored population and its figures; its errors are swallowed. A ``root`` that holds committed generations of a search
-    with the same settings is gone on with; with other settings it is an error.
+    with the same settings is gone on with; with other settings it is an error. The statistics take the genotypic diversity
+    of ``diversity_pairs`` pairs of a population, None for all.
     """
     spark = runs.sparkSession
     root = root or scratch_path(spark, "search")
     settings = {
         "population_size": population_size, "seed": seed, "patience": patience, "boost": boost, "epsilon": epsilon,
-        "sigma": sigma, "rate": rate, **step_options,
+        "sigma": sigma, "rate": rate, "diversity_pairs": diversity_pairs, **step_options,
     }
     record = json.dumps(settings, sort_keys=True)
     immigrants = max(0, int(population_size * step_options.get("immigrant_rate", IMMIGRANT_RATE)))
@@ -248,7 +250,7 @@ def evolve(
         )
         pop, progress = _store_population(following, folder(number, "population"), number)
         flags = boosts.withColumn("generation", F.lit(number))
-        _store(P.generation_stats(pop, flags), folder(number, "stats"))
+        _store(P.generation_stats(pop, flags, diversity_pairs=diversity_pairs), folder(number, "stats"))
         commit(number)
         stats = statistics(number)
         tell(pop, progress)

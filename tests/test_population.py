@@ -207,7 +207,7 @@ def test_infinite_losses_survive_replacement(spark):
 
 def test_generation_stats_fields(spark):
     rows = [((1, 1), 5.0, {"zero_flow_edges": 2.0, "routing_failures": 1.0}), ((2, 2), 3.0, {"fail_total": 4.0}), ((9, 9), 3.0, {"zero_flow_edges": math.inf})]
-    r = P.generation_stats(members(spark, rows)).first()
+    r = P.generation_stats(members(spark, rows), diversity_pairs=None).first()
     assert (r["best_loss"], r["best_magnitude"], r["best_fail_total"], r["best_zero_flow"]) == (3.0, 4.0, 4, None)
     assert (r["mean_zero_flow"], r["mean_routing_failures"]) == (2.0, 1.0)
     assert r["mean_fail_total"] == pytest.approx(5 / 3) and r["std_loss"] == pytest.approx(np.std([5, 3, 3])) and len(r) == 16
