@@ -202,7 +202,9 @@ def in_order(rows: DataFrame, partitions: int | None = None) -> DataFrame:
     order = [F.col(c).asc_nulls_first() for c in ORDER]
     seen = F.row_number().over(W.partitionBy("conv_id", "gone", "_same").orderBy(order[0])) > 1
     faulty = F.when(~F.col("gone") & (F.col("_own") != BLANK) & seen, DUPLICATE).otherwise(F.col("_own"))
-    return dealt.select("conv_id", "turn", "role", "text", "gone", faulty.alias("fault")).sortWithinPartitions("conv_id", *order)
+    judged = dealt.select("conv_id", "turn", "role", "text", "gone", faulty.alias("fault"))
+    # Of equal rows the one that is no duplicate stands first.
+    return judged.sortWithinPartitions("conv_id", *order, F.col("fault") == DUPLICATE)
 
 
 def repair(rows: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -267,4 +269,54 @@ def repaired_rows(rows: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
+def twin_sql() -> str:
+    """The result of ``repair(damage(conversations))`` in DuckDB SQL: a fold over the rows of every conversation.
+
+    Each state holds its cheapest (cost, audit, text), compared in this order as one struct.
+    """
+    far = "{'c': 1000000000::BIGINT, 'a': '', 'r': ''}"
+
+    def step(path: str, letter: str, cost: str, line: str = "''", when: str = "true") -> str:
+        return f"CASE WHEN {when} THEN {{'c': {path}.c + {cost}, 'a': {path}.a || '{letter}', 'r': {path}.r || {line}}} ELSE {far} END"
+
+    def line(role: str, text: str = "''") -> str:
+        return f"chr(10) || {role} || ':' || {text}"
+
+    insert_user = [step(p, "I", "3", line("'user'")) for p in ("d.s0", "d.s1", "d.s3")]
+    lead_user = f"list_min([d.s2, {', '.join(insert_user)}])"
+    lead_done = f"list_min([d.s3, {step('d.s2', 'I', '3', line(chr(39) + 'assistant' + chr(39)))}])"
+    keep = lambda p, initial: step(p, "K", "d.more", line("d.role", "d.text"), f"d.kept AND d.role[1] = '{initial}'")
+    rerole = lambda p, role: step(p, "R", "3 + d.more", line(f"'{role}'", "d.text"), "d.kept")
+    into_user = [step("d.p2", "D", "4")] + [f(p, x) for p in ("d.s0", "d.s1", "d.p3") for f, x in ((keep, "u"), (rerole, "user"))]
+    into_done = [step("d.p3", "D", "4"), keep("d.p2", "a"), rerole("d.p2", "assistant")]
+    last = step("s2", "I", "3", line("'assistant'"))
+    return f"""WITH RECURSIVE crc_table AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k:
+        CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+    keyed AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+    dealt AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, dense_rank() OVER (ORDER BY conv_id) AS no,
+        xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda x: ord(x)::BIGINT)),
+            lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 AS kind FROM keyed, crc_table),
+    rows AS (SELECT no, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+        FROM dealt, range(2) copies(k) WHERE kind <> 0 AND (k = 0 OR kind = 3)),
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY no ORDER BY turn NULLS FIRST, role, text) AS i FROM rows),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY no, role, text ORDER BY i) > 1 AS again,
+        right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS mark FROM ordered),
+    faulty AS (SELECT *, CASE WHEN mark = '' THEN 1 WHEN again THEN 2 WHEN mark NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+        lag(role[1]) OVER (PARTITION BY no ORDER BY i) || role[1] AS two FROM placed),
+    w AS (SELECT *, fault NOT IN (1, 2) AS kept, CASE WHEN fault = 3 THEN 3 ELSE 0 END AS more FROM faulty),
+    dp AS (SELECT DISTINCT no, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 'r': ''}} AS s0, {far} AS s1, {far} AS s2, {far} AS s3 FROM dealt
+        UNION ALL SELECT no, i, {step('d.s0', 'D', '4')}, list_min([{step('d.s1', 'D', '4')}, {keep('d.s0', 's')}]),
+            list_min([{', '.join(into_user)}]), list_min([{', '.join(into_done)}])
+        FROM (SELECT w.no, w.i, d.s0, d.s1, d.s2, d.s3, {lead_user} AS p2, {lead_done} AS p3, w.role, w.text, w.kept, w.more
+            FROM dp d JOIN w ON w.no = d.no AND w.i = d.i + 1) d),
+    ends AS (SELECT no, list_min([s0, s3, {last}]) AS best FROM dp QUALIFY row_number() OVER (PARTITION BY no ORDER BY i DESC) = 1),
+    figures AS (SELECT no, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+        count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+        count(*) FILTER (two IS NOT NULL AND two NOT IN ('su', 'ua', 'au')) AS illegal FROM w GROUP BY 1)
+    SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+        coalesce(illegal, 0) AS illegal, best.c AS cost, best.a AS audit, sha256(substr(best.r, 2)) AS repaired_sha256
+    FROM (SELECT DISTINCT no, conv_id FROM dealt) JOIN ends USING (no) LEFT JOIN figures USING (no)"""
+
+
 pickle_by_value(__name__)

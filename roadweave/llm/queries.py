@@ -101,5 +101,6 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op11_conversation_repair": conversation_repair.twin_sql(),
     "op7_quality_rules": quality_rules.twin_sql(),
 }

@@ -114,6 +114,16 @@ def test_repair_equals_search(spark, conversations):
     assert out == {c: w[-1] for c, w in want.items() if w[-1]}
 
 
+def test_repair_twin_equals_search(conversations):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", [list(r) for r in conversations])
+    got = {r[0]: tuple(r[1:]) for r in con.execute(conversation_repair.twin_sql()).fetchall()}
+    assert got == {c: w[:-1] for c, w in expected_conversations(conversations).items()}
+
+
 def test_repair_of_nothing_and_of_dropped_rows(spark):
     empty = spark.createDataFrame([], CONV)
     assert conversation_repair.repair(conversation_repair.damage(empty)).collect() == []
