@@ -13,6 +13,7 @@ PARTS_PER_AREA = 250
 CUSTOMERS_PER_AREA = 188
 ORDERS_PER_GRAPH = 25
 GRAPH_NODES = 100
+MEMBERS_PER_RUNS = 500  # one run a label among so many members, so that runs grow in number and not in size
 N_OD = 6
 N_BINS = 4
 
@@ -352,7 +353,7 @@ def population(spark, d) -> DataFrame:
         table(spark, d, "embeddings")
         .withColumn("genes", genes_col)
         .withColumn("loss", loss)
-        .select("*", (v % 2).alias("generation"), _cat("run_", F.col("label")).alias("run_id"))
+        .select("*", (v % 2).alias("generation"), _cat("run_", F.col("label"), "_", div("vec_id", MEMBERS_PER_RUNS)).alias("run_id"))
     )
     null = F.lit(None)
     metrics = F.struct(
@@ -516,7 +517,7 @@ VIEWS: dict[str, str] = {
         FROM expanded JOIN od_pairs USING (area_id, od_idx)""",
     "trips": """SELECT 'run_' || (o_custkey // 300) AS run_id, 'trip_' || o_orderkey AS trip_id, 'n' || (o_custkey % 83) AS origin,
         'n' || (o_orderkey % 61) AS destination, o_orderkey % 1200 + 0.5::DOUBLE AS departure FROM orders""",
-    "pop_base": """SELECT vec_id AS v, 'run_' || label AS run_id, vec_id % 2 AS generation,
+    "pop_base": f"""SELECT vec_id AS v, 'run_' || label || '_' || (vec_id // {MEMBERS_PER_RUNS}) AS run_id, vec_id % 2 AS generation,
         list_transform(embedding, lambda x: trunc(x::DOUBLE * 20)::INT) AS genes FROM embeddings""",
     "pop_loss": """SELECT *, list_sum(genes)::BIGINT AS magnitude, CASE WHEN v % 29 = 0 THEN 'inf'::DOUBLE
         ELSE list_sum(list_transform(genes, lambda g: abs(g))) + (v % 7) * 0.25 END AS loss FROM pop_base""",
