@@ -12,7 +12,7 @@ results, frequencies only make it fast. The order is cut into fragments:
   whose sum cannot reach the threshold any more is dropped before the next range. The n-grams of one range at a time are moved.
 
 A long posting list is not paired with itself: its nodes are first paired with about ``PIVOTS`` of its members, the same
-ones in every list of a group, and a node does so in its longest lists only. Links found join nodes into components; only pairs of a list that are still in different
+ones in every list of a group, and a node does so in its longest and shortest lists only. Links found join nodes into components; only pairs of a list that are still in different
 components are then compared, each of them. So every link that could change a component is decided exactly, while a
 large group of near copies costs rows in proportion to its size.
 
@@ -45,8 +45,9 @@ BUCKET_BITS = 20
 CHUNKS = 64
 FRAGMENT_BITS = 2
 PIVOTS = 8
-PIVOT_ROUNDS = 3
-#: Of its long lists a node meets the pivots in so many, the longest ones: the lists of a group hold much the same nodes.
+PIVOT_ROUNDS = 2
+#: Of its long lists a node meets the pivots in so many of the longest and of the shortest: the longest hold a whole group,
+#: much the same nodes in each, the shortest its nearest relatives.
 TOP_LISTS = 3
 CACHED_WORDS = 200_000
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -341,9 +342,10 @@ def _labelled(
     lists = shared.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
     # Bounded: a document's prefix.
     prefixes = scratch.put("prefixes", shared.groupBy("node").agg(F.collect_list("token").alias("tokens")))
-    longest = F.row_number().over(W.partitionBy("node").orderBy(F.desc("c"), "token"))
+    far = F.row_number().over(W.partitionBy("node").orderBy(F.desc("c"), "token"))
+    near = F.row_number().over(W.partitionBy("node").orderBy(F.col("c") <= pivots, "c", "token"))
     sized = shared.join(lists, "token").join(prefixes.select("node", F.size("tokens").alias("k")), "node")
-    marked = scratch.put("marked", sized.withColumn("top", longest <= TOP_LISTS))
+    marked = scratch.put("marked", sized.withColumn("top", (far <= TOP_LISTS) | (near <= TOP_LISTS)))
     scratch.drop("shared")
     long_lists = marked.where(F.col("c") > pivots)
     # Every row of a list meets the list's pivots; two pivots meet once.
@@ -361,11 +363,15 @@ def _labelled(
 
     links = linked(pairs, "links")
     labels = scratch.put("labels", connected(links, scratch))
-    # Long lists again, for pairs in different components only: with other pivots, then every pair.
+    # Long lists again, for pairs in different components only: with the best linked sets as pivots, then every pair.
     for turn in range(1, PIVOT_ROUNDS + 1):
         grouped = scratch.put("grouped", long_lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
         if turn < PIVOT_ROUNDS:
-            apart, many, few = F.col("s.component") != F.col("t.component"), grouped.where("top"), grouped.where(_drawn(turn, pivots))
+            # A set near the middle of its group links with most drawn pivots, and so does it with those that stand apart.
+            links_of = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("_links"))
+            best = F.row_number().over(W.partitionBy("token").orderBy(F.desc_nulls_last("_links"), F.xxhash64(F.lit(turn), "node"), "node"))
+            few = grouped.join(links_of, "node", "left").withColumn("_best", best).where(F.col("_best") <= 2 * pivots).drop("_links", "_best")
+            apart, many = F.col("s.component") != F.col("t.component"), grouped.where("top")
         else:
             apart, many, few = F.col("s.component") < F.col("t.component"), grouped, grouped
         rest = scratch.put("pairs", _pair_up(many, few, apart, prefixes, percent))
