@@ -12,7 +12,7 @@ results, frequencies only make it fast. The order is cut into fragments:
   whose sum cannot reach the threshold any more is dropped before the next range. The n-grams of one range at a time are moved.
 
 A long posting list is not paired with itself: its nodes are first paired with about ``PIVOTS`` of its members, the same
-ones in every list of a group, and a node does so in its longest and shortest lists only. Links found join nodes into components; only pairs of a list that are still in different
+ones in every list of a group, and a node does so in its longest lists only. Links found join nodes into components; only pairs of a list that are still in different
 components are then compared, each of them. So every link that could change a component is decided exactly, while a
 large group of near copies costs rows in proportion to its size.
 
@@ -46,9 +46,8 @@ CHUNKS = 64
 FRAGMENT_BITS = 2
 PIVOTS = 8
 PIVOT_ROUNDS = 2
-#: Of its long lists a node meets the pivots in so many of the longest and of the shortest: the longest hold a whole group,
-#: much the same nodes in each, the shortest its nearest relatives.
-TOP_LISTS = 3
+#: Of its long lists a node meets the pivots in so many, the longest ones: they hold a whole group, much the same nodes in each.
+TOP_LISTS = 2
 CACHED_WORDS = 200_000
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -342,10 +341,9 @@ def _labelled(
     lists = shared.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
     # Bounded: a document's prefix.
     prefixes = scratch.put("prefixes", shared.groupBy("node").agg(F.collect_list("token").alias("tokens")))
-    far = F.row_number().over(W.partitionBy("node").orderBy(F.desc("c"), "token"))
-    near = F.row_number().over(W.partitionBy("node").orderBy(F.col("c") <= pivots, "c", "token"))
+    longest = F.row_number().over(W.partitionBy("node").orderBy(F.desc("c"), "token"))
     sized = shared.join(lists, "token").join(prefixes.select("node", F.size("tokens").alias("k")), "node")
-    marked = scratch.put("marked", sized.withColumn("top", (far <= TOP_LISTS) | (near <= TOP_LISTS)))
+    marked = scratch.put("marked", sized.withColumn("top", longest <= TOP_LISTS))
     scratch.drop("shared")
     long_lists = marked.where(F.col("c") > pivots)
     # Every row of a list meets the list's pivots; two pivots meet once.
