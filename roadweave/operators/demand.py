@@ -241,10 +241,10 @@ def init_bounds(areas: DataFrame) -> DataFrame:
 
 
 def explode_genome(genomes: DataFrame, n_bins: str | int) -> DataFrame:
-    """Gene arrays to (gene_idx, od_idx, bin_idx, value); genes are od-major."""
+    """Gene arrays to (gene_idx, od_idx, bin_idx, value); genes are od-major, a null is a place without a gene."""
     bins = F.col(n_bins) if isinstance(n_bins, str) else F.lit(n_bins)
     rest = [c for c in genomes.columns if c != "genes"]
-    return genomes.select("*", F.posexplode("genes").alias("gene_idx", "value")).select(
+    return genomes.select("*", F.posexplode("genes").alias("gene_idx", "value")).where("value is not null").select(
         *rest, "gene_idx", F.floor(F.col("gene_idx") / bins).cast("int").alias("od_idx"),
         (F.col("gene_idx") % bins).cast("int").alias("bin_idx"), "value",
     )
@@ -253,6 +253,7 @@ def explode_genome(genomes: DataFrame, n_bins: str | int) -> DataFrame:
 def collapse_genome(genes: DataFrame, n_od: int, n_bins: int) -> DataFrame:
     """Long genes to one array per scenario; ``complete`` says that every (od, bin) is there once.
 
+    A gene stands at the place of its (od, bin), and the place of a missing one is null.
     The array length is fixed by the parameters, so one scenario is always small.
     """
     size = n_od * n_bins
@@ -261,11 +262,11 @@ def collapse_genome(genes: DataFrame, n_od: int, n_bins: int) -> DataFrame:
         F.sum("value").alias("_v"), F.count(F.lit(1)).alias("_n")
     )
     grouped = per_gene.where((F.col("_i") >= 0) & (F.col("_i") < size)).groupBy("scenario_id").agg(
-        F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_genes"), F.max("_n").alias("_most")
+        F.map_from_entries(F.collect_list(F.struct("_i", "_v"))).alias("_genes"), F.max("_n").alias("_most")
     )
     return grouped.select(
         "scenario_id",
-        F.transform("_genes", lambda g: g["_v"]).alias("genes"),
+        F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.try_element_at("_genes", i)).alias("genes"),
         ((F.size("_genes") == size) & (F.col("_most") == 1)).alias("complete"),
     )
 

@@ -112,3 +112,14 @@ def test_explode_range(spark):
     df = spark.createDataFrame([("a", 10), ("b", 0), ("c", None), ("d", 3)], "k string, n int")
     got = sorted((r["k"], r["j"]) for r in explode_range(df, "n", "j", chunk=4).collect())
     assert got == [("a", j) for j in range(1, 11)] + [("d", j) for j in (1, 2, 3)]
+
+
+def test_genes_keep_their_place_when_others_are_missing(spark):
+    rows = [("s", 0, 1, 5), ("s", 2, 0, 7), ("t", 1, 1, 4)]
+    genes = spark.createDataFrame(rows, "scenario_id string, od_idx int, bin_idx int, value int")
+    arrays = demand.collapse_genome(genes, 3, 2)
+    assert {r["scenario_id"]: (r["genes"], r["complete"]) for r in arrays.collect()} == {
+        "s": ([None, 5, None, None, 7, None], False), "t": ([None, None, None, 4, None, None], False)
+    }
+    back = demand.explode_genome(arrays, 2).select("scenario_id", "od_idx", "bin_idx", "value")
+    assert sorted(map(tuple, back.collect())) == rows
