@@ -292,3 +292,34 @@ def test_equal_genomes_are_evaluated_once(spark, tmp_path):
     again = {(r["run_id"], r["individual_id"]): r["loss"] for r in search.evaluate_members(pop, recording, store, "two").collect()}
     assert asked[0] == [("q", 0), ("r", 0), ("r", 2), ("r", 3)] and asked[1] == [("r", 2), ("r", 3)]
     assert first == again and first["r", 0] == first["r", 1] == first["q", 0] == 2.0 and first["r", 2] == math.inf
+
+
+@pytest.mark.parametrize("block", [3, 7, 2048])
+def test_all_pairs_are_measured_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(P, "PAIR_BLOCK", block)
+    monkeypatch.setattr(P, "PAIR_STRIP", 2)
+    rnd = random.Random(block)
+    genes = [tuple(rnd.randrange(9) for _ in range(5)) for _ in range(20)] + [(1, 2, 3, 4, 5)] * 3 + [(1,)]
+    want = [math.dist(a, b) for i, a in enumerate(genes) for b in genes[i + 1:] if len(a) == len(b)]
+    pop = members(spark, [(g, 1.0, {}) for g in genes]).union(members(spark, [((4, 4), 1.0, {})], "alone"))
+    got = {r["run_id"]: r["genotypic_diversity"] for r in P.genotypic_diversity(pop, None).collect()}
+    assert got == {"r": pytest.approx(sum(want) / len(want)), "alone": 0}
+
+
+WHOLE_LABELS = ("a11_genotypic_diversity_all_pairs", "p3_tournament", "p3_winners_come_from_the_pool", "p7_replace_crowding", "w4_e_rank_sliced")
+
+
+@pytest.mark.parametrize("name", WHOLE_LABELS)
+def test_a_population_is_a_whole_label(name):
+    import __spark_entry__ as driver
+
+    assert "vec_id //" not in driver.oracle_sql()[name]
+
+
+def test_a_population_grows_with_its_label(spark, tmp_path):
+    from roadweave.bindings import proxies
+
+    rows = spark.range(3000).selectExpr("id AS vec_id", "array(1.0F, 2.0F) AS embedding", "cast(id % 2 AS int) AS label")
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    runs = proxies.population(spark, str(tmp_path), whole=True).groupBy("run_id", "generation").count().collect()
+    assert {(r["run_id"], r["count"]) for r in runs} == {("run_0", 1500), ("run_1", 1500)}
