@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
@@ -77,6 +77,89 @@ def shortcuts(links: DataFrame, growth: int = SHORTCUT_GROWTH, rounds: int = SHO
     return links
 
 
+# An area is searched in one task if it has at most so many rows, and its rows times its seeds are at most so many steps.
+LOCAL_ROWS = 200_000
+LOCAL_STEPS = 100_000_000
+
+
+def large_areas(links: DataFrame, others: DataFrame, seeds: bool) -> DataFrame:
+    """Stored area_ids that are too much for one task; with ``seeds`` each row of ``others`` is followed through its links."""
+    counted = links.select("area_id", F.lit(1).alias("link")).union(others.select("area_id", F.lit(0)))
+    n, n_links = F.count(F.lit(1)), F.sum("link")
+    many = n > LOCAL_ROWS
+    if seeds:
+        many = many | (n_links.cast("double") * (n - n_links) > LOCAL_STEPS)
+    return cut(counted.groupBy("area_id").agg(many.alias("many")).where("many").select("area_id"))
+
+
+def per_area(links: DataFrame, others: DataFrame, search: Callable, output: list[str]) -> DataFrame:
+    """``search(links, others)`` of every area, both as lists of pairs; gives rows of two values, named in ``output`` behind area_id.
+    Inputs: area_id and two columns.
+
+    The rows of an area meet in a task, one area after the other: a task holds one area, however many it has.
+    """
+    names = ["area_id", "a", "b"]
+    rows = links.toDF(*names).withColumn("link", F.lit(True)).union(others.toDF(*names).withColumn("link", F.lit(False)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        area, known, asked, out, types = None, [], [], [], None
+
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*out)) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], output)
+
+        for batch in batches:
+            types = batch.schema.types[:3]
+            for name, a, b, link in zip(*(c.to_pylist() for c in batch.columns)):
+                if name != area:
+                    out.extend((area, x, y) for x, y in search(known, asked))
+                    area, known, asked = name, [], []
+                    if len(out) >= 10_000:
+                        yield flush()
+                        out = []
+                (known if link else asked).append((a, b))
+        out.extend((area, x, y) for x, y in search(known, asked))
+        if out:
+            yield flush()
+
+    ddl = ", ".join(f"{name} {f.dataType.simpleString()}" for name, f in zip(output, rows.schema.fields))
+    return rows.repartition("area_id").sortWithinPartitions("area_id").mapInArrow(run, ddl)
+
+
+def routed(links: list, pairs: list) -> Iterator[tuple]:
+    """The pairs of one area that have a route."""
+    onward: dict = {}
+    for a, b in links:
+        onward.setdefault(a, set()).add(b)
+    wanted: dict = {}
+    for origin, destination in pairs:
+        wanted.setdefault(origin, set()).add(destination)
+    for origin, ends in wanted.items():
+        seen, todo = {origin}, [origin]
+        while todo:
+            fresh = onward.get(todo.pop(), set()) - seen
+            seen |= fresh
+            todo += fresh
+        yield from ((origin, end) for end in ends & seen)
+
+
+def joined_nodes(links: list, nodes: list) -> Iterator[tuple]:
+    """Every node of one area with the smallest node it is linked to."""
+    parent = {node: node for node, _ in nodes}
+
+    def root(node):
+        while parent[node] != node:
+            parent[node] = node = parent[parent[node]]
+        return node
+
+    for a, b in links:
+        if a in parent and b in parent:
+            x, y = root(a), root(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    return ((node, root(node)) for node in parent)
+
+
 HUB_GROWTH = 32
 PAIR = ["area_id", "origin", "destination"]
 
@@ -84,14 +167,28 @@ PAIR = ["area_id", "origin", "destination"]
 def reachable(pairs: DataFrame, links: DataFrame, max_hops: int | None = None) -> DataFrame:
     """Pairs (area_id, origin, destination) with a route, as distinct rows.
 
-    With a hop limit every origin is followed. Without one the pairs are looked up in hub labels (:func:`hub_labels`): a pair
-    has a route if a hub that the origin reaches also reaches the destination. Hubs are added in batches that grow, and
+    With a hop limit every origin is followed. Without one an area that is small enough is searched in one task, and the pairs of
+    the others are looked up in hub labels (:func:`hub_labels`): a pair has a route if a hub that the origin reaches also reaches the destination. Hubs are added in batches that grow, and
     pairs leave as soon as they are decided; once an area has fewer open origins than the next batch has hubs, its origins
     are followed instead, but never past a node that a label already covers, so no table of origins and all their nodes arises.
     """
     scratch = Scratch(links.sparkSession, "reach")
-    links = scratch.put("links", links.select("area_id", "from_edge", "to_edge").distinct())
-    pairs = pairs.select(*PAIR).distinct()
+    links, pairs = links.select("area_id", "from_edge", "to_edge"), pairs.select(*PAIR)
+    if max_hops is None:
+        known = links.where("area_id is not null and from_edge is not null and to_edge is not null")
+        asked = pairs.where("area_id is not null and origin is not null and destination is not null")
+        large = large_areas(known, asked, seeds=True)
+        if large.isEmpty():
+            return per_area(known, asked, routed, PAIR)
+        here = per_area(known.join(large, "area_id", "left_anti"), asked.join(large, "area_id", "left_anti"), routed, PAIR)
+        rest = _looked_up(asked.join(large, "area_id", "left_semi"), known.join(large, "area_id", "left_semi"), None, scratch)
+        return here.unionByName(rest)
+    return _looked_up(pairs, links, max_hops, scratch)
+
+
+def _looked_up(pairs: DataFrame, links: DataFrame, max_hops: int | None, scratch: Scratch) -> DataFrame:
+    links = scratch.put("links", links.distinct())
+    pairs = pairs.distinct()
     same = pairs.where(F.col("origin") == F.col("destination"))
     # A node without an outgoing (incoming) link cannot start (end) a route.
     starts = links.select("area_id", F.col("from_edge").alias("origin")).distinct()
@@ -202,11 +299,27 @@ def _decide(open_pairs: DataFrame, labels: DataFrame, complete: bool) -> DataFra
 
 
 def components(edges: DataFrame, links: DataFrame) -> DataFrame:
-    """Weakly connected component of every edge; the label is the smallest edge id of the component."""
-    nodes = edges.select("area_id", "edge_id").distinct()
+    """Weakly connected component of every edge; the label is the smallest edge id of the component.
+
+    An area that is small enough is joined up in one task, the others by :func:`star_components`.
+    """
+    links, edges = links.select("area_id", "from_edge", "to_edge"), edges.select("area_id", "edge_id")
+    known = links.where("area_id is not null and from_edge is not null and to_edge is not null")
+    asked = edges.where("area_id is not null and edge_id is not null")
+    large = large_areas(known, asked, seeds=False)
+    whole = large.isEmpty()
+    own_links, own_edges = (known, asked) if whole else (x.join(large, "area_id", "left_anti") for x in (known, asked))
+    here = per_area(own_links, own_edges.withColumn("same", F.col("edge_id")), joined_nodes, ["area_id", "edge_id", "component"])
+    here = here.unionByName(edges.where("area_id is null or edge_id is null").distinct().withColumn("component", F.col("edge_id")))
+    if whole:
+        return here
+    return here.unionByName(_star_labelled(asked.join(large, "area_id", "left_semi"), known.join(large, "area_id", "left_semi")))
+
+
+def _star_labelled(edges: DataFrame, links: DataFrame) -> DataFrame:
+    nodes = edges.distinct()
     inner = (
-        links.select("area_id", "from_edge", "to_edge")
-        .join(nodes.withColumnRenamed("edge_id", "from_edge"), ["area_id", "from_edge"], "left_semi")
+        links.join(nodes.withColumnRenamed("edge_id", "from_edge"), ["area_id", "from_edge"], "left_semi")
         .join(nodes.withColumnRenamed("edge_id", "to_edge"), ["area_id", "to_edge"], "left_semi")
     )
     labels = star_components(inner.select("area_id", F.col("from_edge").alias("a"), F.col("to_edge").alias("b")), ["area_id"])

@@ -288,3 +288,34 @@ def test_matches_in_crowded_cells_equal_all_pairs(spark, monkeypatch):
         assert matching.network_cells(frame[1], 100.0)[1].isEmpty() == (crowd == 256)
         got = {r["segment_id"]: (r["edge_id"], round(r["match_confidence"], 6)) for r in matching.match_segments(*frame).collect()}
         assert got == want and len(want) > 50
+
+
+@pytest.mark.parametrize("limit", [0, 60, 200_000])
+def test_areas_of_any_size_are_searched_whole(spark, monkeypatch, limit):
+    monkeypatch.setattr(graph, "LOCAL_ROWS", limit)
+    rnd = random.Random(limit)
+    links, pairs, edges, routes, parts = [], [], [], set(), {}
+    for area, n in (("small", 8), ("large", 40), ("empty", 3)):
+        names = [f"e{i}" for i in range(n)]
+        ways = [(rnd.choice(names), rnd.choice(names)) for _ in range(0 if area == "empty" else n)] + [(names[0], "outside")]
+        asked = [(a, b) for a in names for b in names if rnd.random() < 0.3 or a == b]
+        links += [(area, a, b) for a, b in ways] * 2
+        pairs += [(area, a, b) for a, b in asked]
+        edges += [(area, a) for a in names]
+        reach, around = {a: {a} for a in names}, {a: {a} for a in names}
+        for _ in names:
+            for a, b in ways:
+                if b != "outside":
+                    for seen in reach.values():
+                        seen |= {b} if a in seen else set()
+                    for seen in around.values():
+                        seen |= {a, b} if seen & {a, b} else set()
+        routes |= {(area, a, b) for a, b in asked if b in reach[a]}
+        parts |= {(area, a): min(around[a]) for a in names}
+    links = spark.createDataFrame(links + [(None, "e0", "e1"), ("small", None, "e1")], "area_id string, from_edge string, to_edge string")
+    got = graph.reachable(spark.createDataFrame(pairs * 2, "area_id string, origin string, destination string"), links).collect()
+    assert sorted(map(tuple, got)) == sorted(routes)
+    got = graph.components(spark.createDataFrame(edges * 2, "area_id string, edge_id string"), links).collect()
+    assert len(got) == len(parts) and {(r["area_id"], r["edge_id"]): r["component"] for r in got} == parts
+    here = graph.large_areas(links, links, False).count()
+    assert here == {0: 4, 60: 1, 200_000: 0}[limit]
