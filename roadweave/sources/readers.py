@@ -1,4 +1,8 @@
-"""Readers for landed files. Partition directories such as ``area_id=..`` or ``scenario_id=..`` become columns."""
+"""Readers for landed files. Partition directories such as ``area_id=..`` or ``scenario_id=..`` become columns.
+
+Where areas or scenarios are many and small, a file may hold several of them: ``key`` then names the attribute or last column that
+says which one a row belongs to, and no directory has to be made and listed for each.
+"""
 
 from __future__ import annotations
 
@@ -10,15 +14,16 @@ from roadweave.functions import geo, observe
 from roadweave.operators.matching import INTERNAL
 
 
-def _xml(spark: SparkSession, path: str, row_tag: str, schema) -> DataFrame:
-    return (
+def _xml(spark: SparkSession, path: str, row_tag: str, schema, key: str | None = None) -> DataFrame:
+    raw = (
         spark.read.format("xml")
         .option("rowTag", row_tag)
         .option("mode", "DROPMALFORMED")
         .option("ignoreNamespace", "true")
-        .schema(schema)
+        .schema(schema if key is None else f"{schema}, _{key} string")
         .load(path)
     )
+    return raw if key is None else raw.withColumnRenamed(f"_{key}", key)
 
 
 def _extra(df: DataFrame, schema) -> list[str]:
@@ -32,13 +37,17 @@ def parse_geometry_text(text):
     return F.transform(pairs, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat")))
 
 
-def read_traffic_csv(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.schema(S.TRAFFIC_CSV).option("header", True).option("escape", '"').csv(path)
+def _with_key(schema: str, key: str | None) -> str:
+    return schema if key is None else f"{schema}, {key} string"
+
+
+def read_traffic_csv(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+    raw = spark.read.schema(_with_key(S.TRAFFIC_CSV, key)).option("header", True).option("escape", '"').csv(path)
     return raw.withColumn("geometry", parse_geometry_text(F.col("geometry")))
 
 
-def read_observed_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.OBSERVED_EDGES).option("header", True).csv(path)
+def read_observed_csv(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+    return spark.read.schema(_with_key(S.OBSERVED_EDGES, key)).option("header", True).csv(path)
 
 
 def read_net_lanes(spark: SparkSession, path: str) -> DataFrame:
@@ -73,8 +82,8 @@ def read_net_connections(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_net_location(spark: SparkSession, path: str) -> DataFrame:
-    raw = _xml(spark, path, "location", S.NET_LOCATION_XML)
+def read_net_location(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+    raw = _xml(spark, path, "location", S.NET_LOCATION_XML, key)
     parts = F.transform(F.split("_netOffset", ","), lambda p: F.trim(p).try_cast("double"))
     good = (F.size(parts) == 2) & ~F.exists(parts, lambda p: p.isNull())
     return raw.select(
@@ -96,8 +105,8 @@ def read_edge_intervals(spark: SparkSession, path: str) -> DataFrame:
     ).select(*extra, "begin", "end", F.col("e._id").alias("edge_id"), F.col("e._speed").alias("speed"))
 
 
-def read_tripinfo(spark: SparkSession, path: str) -> DataFrame:
-    raw = _xml(spark, path, "tripinfo", S.TRIPINFO_XML)
+def read_tripinfo(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+    raw = _xml(spark, path, "tripinfo", S.TRIPINFO_XML, key)
     return raw.select(
         *_extra(raw, S.TRIPINFO_XML),
         F.col("_id").alias("id"),
@@ -106,9 +115,9 @@ def read_tripinfo(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_sim_statistics(spark: SparkSession, path: str) -> DataFrame:
+def read_sim_statistics(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
     """Vehicle counts; teleports from their own element if present, else from the older attribute, else 0."""
-    raw = _xml(spark, path, "statistics", S.STATISTICS_XML)
+    raw = _xml(spark, path, "statistics", S.STATISTICS_XML, key)
     vehicles = {k: observe.safe_int(F.col(f"vehicles._{k}")).alias(k) for k in ("loaded", "inserted", "running", "waiting")}
     own = F.when(F.col("teleports").isNotNull(), observe.safe_int(F.col("teleports._total")))
     return raw.select(

@@ -42,8 +42,13 @@ def write_agents(trips: DataFrame, path: str, mode: str = "error") -> None:
     od_dictionary(trips).orderBy("run_id", "role", "idx").write.mode(mode).partitionBy("run_id").json(f"{path}/od")
 
 
-def write_speed_comparison(comparison: DataFrame, path: str, mode: str = "error") -> None:
-    comparison.repartitionByRange("scenario_id", "edge_id").write.mode(mode).partitionBy("scenario_id").option("header", True).csv(path)
+def write_speed_comparison(comparison: DataFrame, path: str, mode: str = "error", folders: bool = True) -> None:
+    """One directory per scenario, or with ``folders`` off files that scenarios share, with scenario_id as the last column."""
+    rows = comparison.repartitionByRange("scenario_id", "edge_id")
+    if folders:
+        rows.write.mode(mode).partitionBy("scenario_id").option("header", True).csv(path)
+    else:
+        rows.select(*[n for n in rows.columns if n != "scenario_id"], "scenario_id").write.mode(mode).option("header", True).csv(path)
 
 
 def write_meta_json(records: DataFrame, path: str, partition_by: str | None = None, mode: str = "error") -> None:

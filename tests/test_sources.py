@@ -207,3 +207,22 @@ def test_provider_result_is_checked(spark):
     calibration.register_provider("thin", lambda s, a: s.range(1))
     with pytest.raises(ValueError, match="lacks columns"):
         calibration.fetch_segments("thin", spark, None)
+
+
+def test_files_may_hold_many_areas(spark, tmp_path):
+    loc = spark.createDataFrame([("a", "+proj=utm +zone=3", "1,2"), ("b", None, "bad")], "_area_id string, _projParameter string, _netOffset string")
+    loc.coalesce(1).write.format("xml").option("rootTag", "net").option("rowTag", "location").save(f"{tmp_path}/net")
+    got = readers.read_net_location(spark, f"{tmp_path}/net", "area_id").collect()
+    assert {(r["area_id"], r["proj"], r["x_off"], r["y_off"]) for r in got} == {("a", "+proj=utm +zone=3", 1.0, 2.0), ("b", None, 0.0, 0.0)}
+    trips = spark.createDataFrame([("s", "1", "2.5", "0"), ("t", "1", "x", "1")], "_scenario_id string, _id string, _duration string, _waitingTime string")
+    trips.coalesce(1).write.format("xml").option("rootTag", "tripinfos").option("rowTag", "tripinfo").save(f"{tmp_path}/trips")
+    assert {(r["scenario_id"], r["id"]) for r in readers.read_tripinfo(spark, f"{tmp_path}/trips", "scenario_id").collect()} == {("s", "1"), ("t", "1")}
+    seen = spark.createDataFrame([("e1", "s1", 3.0, 4.0, "2026-02-17 15:07:39.5", 0.5, "a"), ("e1", "s1", 5.0, 6.0, "2026-02-17 15:07:39.5", 0.5, "b")],
+                                 "edge_id string, segment_id string, current_speed double, freeflow_speed double, timestamp string, match_confidence double, area_id string")
+    seen.coalesce(1).write.option("header", True).csv(f"{tmp_path}/seen")
+    assert {(r["area_id"], r["current_speed"]) for r in readers.read_observed_csv(spark, f"{tmp_path}/seen", "area_id").collect()} == {("a", 3.0), ("b", 5.0)}
+    table = spark.createDataFrame([("s", "e", 1.0), ("t", "e", 2.0)], "scenario_id string, edge_id string, observed_speed double")
+    writers.write_speed_comparison(table, f"{tmp_path}/compared", folders=False)
+    assert not list((tmp_path / "compared").glob("scenario_id=*"))
+    back = spark.read.option("header", True).csv(f"{tmp_path}/compared")
+    assert back.columns[-1] == "scenario_id" and {(r["scenario_id"], r["observed_speed"]) for r in back.collect()} == {("s", "1.0"), ("t", "2.0")}
