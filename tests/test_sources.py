@@ -226,3 +226,14 @@ def test_files_may_hold_many_areas(spark, tmp_path):
     assert not list((tmp_path / "compared").glob("scenario_id=*"))
     back = spark.read.option("header", True).csv(f"{tmp_path}/compared")
     assert back.columns[-1] == "scenario_id" and {(r["scenario_id"], r["observed_speed"]) for r in back.collect()} == {("s", "1.0"), ("t", "2.0")}
+
+
+def test_a_stored_key_is_not_spread_over_all_tasks(spark, tmp_path):
+    inputs = spark.createDataFrame([(f"k{i}",) for i in range(5)], "cache_key string")
+
+    def build(missing):
+        return missing.crossJoin(spark.range(40)).repartition(8, "id")
+
+    stored = store.materialize(inputs, build, f"{tmp_path}/store")
+    assert stored.count() == 200
+    assert len(list((tmp_path / "store").glob("cache_key=*/*.parquet"))) == 5
