@@ -174,16 +174,15 @@ def read_tile_features(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_dataset_catalog(
-    spark: SparkSession, root: str, source: str, pattern: str = "*/dataset_meta.json"
+    spark: SparkSession, root: str, source: str, pattern: str = "*/dataset_meta.json", key: str | None = None
 ) -> DataFrame:
-    """Every readable metadata file ``<root>/<name>/dataset_meta.json`` with a valid box."""
-    meta = (
-        spark.read.schema(S.DATASET_META)
-        .option("multiLine", True)
-        .option("mode", "DROPMALFORMED")
-        .json(f"{root}/{pattern}")
-        .withColumn("name", F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+)/[^/]+$", 1))
-    )
+    """Every readable metadata file ``<root>/<name>/dataset_meta.json`` with a valid box.
+
+    With ``key`` a file holds a line for each of many datasets, and this field names them.
+    """
+    read = spark.read.schema(_with_key(S.DATASET_META, key)).option("mode", "DROPMALFORMED").option("multiLine", key is None)
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+)/[^/]+$", 1) if key is None else F.col(key)
+    meta = read.json(f"{root}/{pattern}").withColumn("name", name)
     box = [F.col(f"bbox.{side}") for side in ("west", "south", "east", "north")]
     return meta.where(geo.valid_bbox(*box)["ok"]).select(
         F.concat(F.lit(f"{source}:"), "name").alias("id"),

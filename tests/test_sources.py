@@ -237,3 +237,13 @@ def test_a_stored_key_is_not_spread_over_all_tasks(spark, tmp_path):
     stored = store.materialize(inputs, build, f"{tmp_path}/store")
     assert stored.count() == 200
     assert len(list((tmp_path / "store").glob("cache_key=*/*.parquet"))) == 5
+
+
+def test_catalog_of_files_that_datasets_share(spark, tmp_path):
+    box = "named_struct('west', 1.0D, 'south', 1.0D, 'east', 2.0D, 'north', id)"
+    rows = spark.range(40).selectExpr("concat('ds', id) AS dataset", f"{box} AS bbox", "named_struct('label', 'good', 'score', 7.0D) AS quality")
+    writers.write_meta_json(rows.coalesce(2), str(tmp_path / "shared"))
+    found = readers.scan_dataset_catalog(spark, str(tmp_path / "shared"), "packaged", "*.json", "dataset").collect()
+    # A box without height is not listed; no folder is made for a dataset.
+    assert {(r["id"], r["name"], r["north"], r["quality_label"]) for r in found} == {(f"packaged:ds{i}", f"ds{i}", float(i), "good") for i in range(2, 40)}
+    assert len(list((tmp_path / "shared").glob("*.json"))) == 2
