@@ -127,11 +127,11 @@ def read_sim_statistics(spark: SparkSession, path: str, key: str | None = None)
     )
 
 
-def read_trips(spark: SparkSession, path: str) -> DataFrame:
+def read_trips(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
     """Trips given as ``trip`` elements or as vehicles with a route; rows without both ends are dropped."""
-    trips = _xml(spark, path, "trip", S.TRIP_XML)
+    trips = _xml(spark, path, "trip", S.TRIP_XML, key)
     extra = _extra(trips, S.TRIP_XML)
-    vehicles = _xml(spark, path, "vehicle", S.VEHICLE_XML)
+    vehicles = _xml(spark, path, "vehicle", S.VEHICLE_XML, key)
     stops = F.filter(F.split(F.trim("route._edges"), r"\s+"), lambda s: s != "")
     depart = observe.safe_double(F.col("_depart")).alias("departure")
     plain = trips.select(

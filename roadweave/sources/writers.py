@@ -20,17 +20,18 @@ def write_demand_csv(trips: DataFrame, path: str, mode: str = "error") -> None:
     ).write.mode(mode).partitionBy("scenario_id").option("header", True).csv(path)
 
 
-def write_trips_xml(trips: DataFrame, path: str, mode: str = "error") -> None:
-    """``routes/trip`` files in departure order, one directory per scenario."""
-    order_trips(trips).select(
-        "scenario_id",
+def write_trips_xml(trips: DataFrame, path: str, mode: str = "error", folders: bool = True) -> None:
+    """``routes/trip`` files in departure order, one directory per scenario, or with ``folders`` off files that scenarios share,
+    with scenario_id as an attribute."""
+    rows = order_trips(trips).select(
+        F.col("scenario_id").alias("scenario_id" if folders else "_scenario_id"),
         F.col("trip_id").alias("_id"),
         observe.format_departure(F.col("departure")).alias("_depart"),
         F.col("origin").alias("_from"),
         F.col("destination").alias("_to"),
-    ).write.format("xml").mode(mode).partitionBy("scenario_id").option("rootTag", "routes").option(
-        "rowTag", "trip"
-    ).save(path)
+    )
+    writer = rows.write.format("xml").mode(mode).option("rootTag", "routes").option("rowTag", "trip")
+    (writer.partitionBy("scenario_id") if folders else writer).save(path)
 
 
 def write_agents(trips: DataFrame, path: str, mode: str = "error") -> None:

@@ -247,3 +247,11 @@ def test_catalog_of_files_that_datasets_share(spark, tmp_path):
     # A box without height is not listed; no folder is made for a dataset.
     assert {(r["id"], r["name"], r["north"], r["quality_label"]) for r in found} == {(f"packaged:ds{i}", f"ds{i}", float(i), "good") for i in range(2, 40)}
     assert len(list((tmp_path / "shared").glob("*.json"))) == 2
+
+
+def test_trips_of_files_that_scenarios_share(spark, tmp_path):
+    trips = spark.range(60).selectExpr("concat('s', id % 20) AS scenario_id", "concat('t', id) AS trip_id", "'a' AS origin", "'b' AS destination", "id * 0.5D AS departure")
+    writers.write_trips_xml(trips, str(tmp_path / "xml"), folders=False)
+    back = readers.read_trips(spark, str(tmp_path / "xml"), "scenario_id").collect()
+    assert {(r["scenario_id"], r["trip_id"], r["departure"]) for r in back} == {(f"s{i % 20}", f"t{i}", i * 0.5) for i in range(60)}
+    assert not [p for p in (tmp_path / "xml").iterdir() if p.is_dir()]
