@@ -51,31 +51,24 @@ def build_links(connections: DataFrame, lanes: DataFrame, vclass: str = "passeng
     """Distinct edge pairs whose two lanes may be used; edges absent from the lane table do not block."""
     keys = [c for c in ("area_id",) if c in lanes.columns]
     permitted = lane_permissions(lanes, vclass)
-    # Known edges and their allowed lanes in one table: lane -1 says that the edge is known.
-    known = permitted.select(*keys, "edge_id").distinct().withColumn("known", F.lit(True))
-    usable = permitted.where("ok").select(*keys, "edge_id", "lane_index").distinct().withColumn("usable", F.lit(True))
+    # One row an edge: the lanes of it that may be used, none for a known edge that is closed.
+    open_lanes = permitted.groupBy(*keys, "edge_id").agg(F.collect_set(F.when(F.col("ok"), F.col("lane_index"))).alias("open"))
     outer = connections.where(
         F.col("from_edge").isNotNull() & F.col("to_edge").isNotNull()
         & (F.col("from_edge") != "") & (F.col("to_edge") != "")
         & ~F.col("from_edge").startswith(INTERNAL) & ~F.col("to_edge").startswith(INTERNAL)
     )
-    checked = outer
-    for side in ("from", "to"):
-        known_side = known.select(*keys, F.col("edge_id").alias(f"{side}_edge"), F.col("known").alias(f"{side}_known"))
-        lane_side = usable.select(
-            *keys, F.col("edge_id").alias(f"{side}_edge"), F.col("lane_index").alias(f"{side}_lane"),
-            F.col("usable").alias(f"{side}_usable"),
-        )
-        checked = checked.join(known_side, [*keys, f"{side}_edge"], "left").join(
-            lane_side, [*keys, f"{side}_edge", f"{side}_lane"], "left"
-        )
     # Both lane numbers must be readable for a lane check to apply.
     readable = F.col("from_lane").isNotNull() & F.col("to_lane").isNotNull()
-    blocked = readable & (
-        (F.col("from_known").isNotNull() & F.col("from_usable").isNull())
-        | (F.col("to_known").isNotNull() & F.col("to_usable").isNull())
-    )
-    return checked.where(~blocked).select(*keys, "from_edge", "to_edge").distinct()
+    checked = outer
+    for side in ("from", "to"):
+        # Built from the edges, never from the connections, which only stream by.
+        known = open_lanes.select(*keys, F.col("edge_id").alias(f"{side}_edge"), F.col("open").alias("_open")).hint("shuffle_hash")
+        blocked = readable & F.col("_open").isNotNull() & ~F.array_contains("_open", F.col(f"{side}_lane"))
+        checked = checked.join(known, [*keys, f"{side}_edge"], "left").where(~F.coalesce(blocked, F.lit(False))).drop("_open")
+    # Equal pairs are rare among the rows a task reads, so they meet before any of them is held.
+    pair = [*keys, "from_edge", "to_edge"]
+    return checked.select(*pair).repartition(*pair).distinct()
 
 
 def _cells(low, high, size: float):

@@ -319,3 +319,11 @@ def test_areas_of_any_size_are_searched_whole(spark, monkeypatch, limit):
     assert len(got) == len(parts) and {(r["area_id"], r["edge_id"]): r["component"] for r in got} == parts
     here = graph.large_areas(links, links, False).count()
     assert here == {0: 4, 60: 1, 200_000: 0}[limit]
+
+
+def test_links_are_built_from_two_joins_that_hold_edges_only(spark):
+    lanes = spark.createDataFrame([("A", 3, "road", 0, 0, "bus", "", 8.0, "0,0 1,1"), ("A", 3, "road", 1, 1, "", "", 9.0, "0,1 1,2")], LANE)
+    links = matching.build_links(spark.createDataFrame([("A", "B", 1, 0), ("A", "B", 1, 1), ("A", "C", 0, 0)], CONNECTION), lanes)
+    assert {tuple(r) for r in links.collect()} == {("A", "B")}
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 2 and plan.count("rightHint=(strategy=shuffle_hash)") == 2
