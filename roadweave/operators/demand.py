@@ -186,6 +186,8 @@ def select_od_pairs(
         left = cut(left.join(over, "area_id", "left_anti"))
         if left.isEmpty():
             break
+        weighted = cut(weighted.join(left, "area_id", "left_semi"))
+        links = cut(links.join(left, "area_id", "left_semi"))
         attempts = min(limit, attempts * ATTEMPTS_GROWTH)
     return reduce(DataFrame.unionByName, results).select("area_id", "od_idx", "origin", "destination", "distance", "tier")
 

@@ -127,20 +127,52 @@ def per_area(links: DataFrame, others: DataFrame, search: Callable, output: list
 
 
 def routed(links: list, pairs: list) -> Iterator[tuple]:
-    """The pairs of one area that have a route."""
+    """The pairs of one area that have a route.
+
+    Nodes that reach each other are found first and share one set of the destinations they reach, a bit for each of those; a
+    group is complete once all it leads to is, so every link is followed once, whatever the number of origins.
+    """
     onward: dict = {}
     for a, b in links:
         onward.setdefault(a, set()).add(b)
     wanted: dict = {}
     for origin, destination in pairs:
         wanted.setdefault(origin, set()).add(destination)
+    place = {end: i for i, end in enumerate({destination for _, destination in pairs})}
+    number, low, reach, waiting = {}, {}, {}, []
+    for origin in wanted:
+        calls = []
+        if origin not in number:
+            number[origin] = low[origin] = len(number)
+            waiting.append(origin)
+            calls.append((origin, iter(onward.get(origin, ()))))
+        while calls:
+            node, rest = calls[-1]
+            for after in rest:
+                if after not in number:
+                    number[after] = low[after] = len(number)
+                    waiting.append(after)
+                    calls.append((after, iter(onward.get(after, ()))))
+                    break
+                if after not in reach:
+                    low[node] = min(low[node], number[after])
+            else:
+                calls.pop()
+                if calls:
+                    low[calls[-1][0]] = min(low[calls[-1][0]], low[node])
+                if low[node] == number[node]:
+                    group, got = [waiting.pop()], 0
+                    while group[-1] != node:
+                        group.append(waiting.pop())
+                    for member in group:
+                        if member in place:
+                            got |= 1 << place[member]
+                        for after in onward.get(member, ()):
+                            got |= reach.get(after, 0)
+                    for member in group:
+                        reach[member] = got
     for origin, ends in wanted.items():
-        seen, todo = {origin}, [origin]
-        while todo:
-            fresh = onward.get(todo.pop(), set()) - seen
-            seen |= fresh
-            todo += fresh
-        yield from ((origin, end) for end in ends & seen)
+        yield from ((origin, end) for end in ends if reach[origin] >> place[end] & 1)
 
 
 def joined_nodes(links: list, nodes: list) -> Iterator[tuple]:

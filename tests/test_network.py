@@ -327,3 +327,25 @@ def test_links_are_built_from_two_joins_that_hold_edges_only(spark):
     assert {tuple(r) for r in links.collect()} == {("A", "B")}
     plan = links._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftOuter") == 2 and plan.count("rightHint=(strategy=shuffle_hash)") == 2
+
+
+def test_routes_of_many_origins_follow_each_link_once():
+    looked_up = [0]
+
+    class Node(int):
+        def __hash__(self):
+            looked_up[0] += 1
+            return int.__hash__(self)
+
+    nodes = [Node(i) for i in range(400)]
+    links = [(nodes[i], nodes[i + 1]) for i in range(399)] + [(nodes[i], nodes[i - 3]) for i in range(203, 400, 50)]
+    rnd = random.Random(5)
+    pairs = [(rnd.choice(nodes), rnd.choice(nodes)) for _ in range(800)]
+    found = set(graph.routed(links, pairs))
+    assert looked_up[0] < 100 * (len(links) + len(pairs))
+    back = {int(i): int(i) - 3 for i in range(203, 400, 50)}
+
+    def leads(a, b):
+        return b >= a or any(a <= i and back[i] <= b for i in back)
+
+    assert found == {p for p in pairs if leads(int(p[0]), int(p[1]))}
