@@ -238,21 +238,32 @@ def _bound(overlap: Column, percent: int) -> Column:
     return overlap + rest + 1 >= F.ceil((na + nb) * percent / (100 + percent))
 
 
+def _early(percent: int) -> Column:
+    """The token lies in the early part of the smaller document's prefix, and the shared tokens of both allow the threshold."""
+    smaller = F.struct("s.n", "s.node") < F.struct("t.n", "t.node")
+    return F.when(smaller, F.col("s.early")).otherwise(F.col("t.early")) & _bound(F.least("s.k", "t.k"), percent)
+
+
+def _first(percent: int) -> Column:
+    """The token may be the first that a pair at the threshold shares, in the order of list lengths, short lists first.
+
+    Behind the first one the prefix overlap holds no more tokens than either set has left, so every such pair meets this at
+    its first token, and long lists, which come last, bring only sets together that could still share enough in them.
+    """
+    return _bound(F.least("s.left", "t.left"), percent)
+
+
 def _pair_up(left: DataFrame, right: DataFrame, condition: Column, prefixes: DataFrame, percent: int) -> DataFrame:
     """Distinct (a, b, na, nb), a < b, of rows that share a token, meet ``condition`` and may still reach the threshold.
 
-    The shared token lies in the early part of the smaller document's prefix. The number of shared tokens of each bounds
-    the prefix overlap at once; it is counted exactly for the pairs that remain.
+    The prefix overlap is counted exactly for the pairs that meet.
     """
     s, t = left.alias("s"), right.alias("t")
-    smaller = F.struct("s.n", "s.node") < F.struct("t.n", "t.node")
     met = s.join(
         t,
         (F.col("s.token") == F.col("t.token"))
         & (F.col("s.node") != F.col("t.node"))
         & _fits(F.col("s.n"), F.col("t.n"), percent)
-        & F.when(smaller, F.col("s.early")).otherwise(F.col("t.early"))
-        & _bound(F.least("s.k", "t.k"), percent)
         & condition,
     )
     lower = F.col("s.node") < F.col("t.node")
@@ -341,16 +352,18 @@ def _labelled(
     lists = shared.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
     # Bounded: a document's prefix.
     prefixes = scratch.put("prefixes", shared.groupBy("node").agg(F.collect_list("token").alias("tokens")))
-    longest = F.row_number().over(W.partitionBy("node").orderBy(F.desc("c"), "token"))
+    # Tokens that a set has left from this one on, short lists first.
+    left = F.row_number().over(W.partitionBy("node").orderBy(F.desc("c"), F.desc("token")))
     sized = shared.join(lists, "token").join(prefixes.select("node", F.size("tokens").alias("k")), "node")
-    marked = scratch.put("marked", sized.withColumn("top", longest <= TOP_LISTS))
+    marked = scratch.put("marked", sized.withColumn("left", left).withColumn("top", F.col("left") <= TOP_LISTS))
     scratch.drop("shared")
     long_lists = marked.where(F.col("c") > pivots)
     # Every row of a list meets the list's pivots; two pivots meet once.
     drawn = marked.withColumn("pivot", (F.col("c") <= pivots) | _drawn(0, pivots))
     once = ~F.col("s.pivot") | (F.col("s.node") > F.col("t.node"))
     meeting = (F.col("c") <= pivots) | F.col("top")
-    pairs = scratch.put("pairs", _pair_up(drawn.where(meeting), drawn.where("pivot"), once, prefixes, percent))
+    met = F.when(F.col("s.c") <= pivots, _first(percent)).otherwise(_early(percent))
+    pairs = scratch.put("pairs", _pair_up(drawn.where(meeting), drawn.where("pivot"), once & met, prefixes, percent))
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
@@ -369,9 +382,9 @@ def _labelled(
             links_of = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("_links"))
             best = F.row_number().over(W.partitionBy("token").orderBy(F.desc_nulls_last("_links"), F.xxhash64(F.lit(turn), "node"), "node"))
             few = grouped.join(links_of, "node", "left").withColumn("_best", best).where(F.col("_best") <= 2 * pivots).drop("_links", "_best")
-            apart, many = F.col("s.component") != F.col("t.component"), grouped.where("top")
+            apart, many = (F.col("s.component") != F.col("t.component")) & _early(percent), grouped.where("top")
         else:
-            apart, many, few = F.col("s.component") < F.col("t.component"), grouped, grouped
+            apart, many, few = (F.col("s.component") < F.col("t.component")) & _first(percent), grouped, grouped
         rest = scratch.put("pairs", _pair_up(many, few, apart, prefixes, percent))
         if not rest.isEmpty():
             links = scratch.put("links", links.union(linked(rest, "more")))

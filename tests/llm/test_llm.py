@@ -391,3 +391,21 @@ def test_queries_are_registered():
 
     names = driver.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
+
+
+def test_long_lists_do_not_bring_sets_together_that_share_too_little(spark):
+    from pyspark.sql import functions as F
+
+    from roadweave.llm import ngram_join as N
+
+    # 30 sets of 100 n-grams; 8 of a prefix are shared: one with a partner each, four with all. At least 5 must be common.
+    rows = []
+    for node in range(30):
+        lists = [(1000 + node // 2 * 10 + i, 2) for i in range(4)] + [(i, 30) for i in range(4)]
+        rows += [(token, node, 100, True, 8, c, 8 - at) for at, (token, c) in enumerate(lists)]
+    sets = spark.createDataFrame(rows, "token long, node long, n int, early boolean, k int, c int, left int")
+    s, t = sets.alias("s"), sets.alias("t")
+    met = s.join(t, (F.col("s.token") == F.col("t.token")) & (F.col("s.node") < F.col("t.node")))
+    assert met.where(N._early(90)).count() == 4 * 15 + 4 * 30 * 29 // 2
+    found = met.where(N._first(90)).select("s.node", "t.node").distinct().toDF("a", "b").collect()
+    assert {tuple(r) for r in found} == {(i, i + 1) for i in range(0, 30, 2)}
