@@ -14,7 +14,8 @@ results, frequencies only make it fast. The order is cut into fragments:
 A long posting list is not paired with itself: its nodes are first paired with about ``PIVOTS`` of its members, the same
 ones in every list of a group, and a node does so in its longest lists only. Links found join nodes into components; only pairs of a list that are still in different
 components are then compared, each of them. So every link that could change a component is decided exactly, while a
-large group of near copies costs rows in proportion to its size.
+large group of near copies costs rows in proportion to its size. Such a pair, and one of a short list, is made at about one
+of the tokens that its sets share, however many these are.
 
 Nodes are distinct sets, not ids, so rows without an id and rows that share one take part like all others.
 
@@ -48,6 +49,10 @@ PIVOTS = 8
 PIVOT_ROUNDS = 2
 #: Of its long lists a node meets the pivots in so many, the longest ones: they hold a whole group, much the same nodes in each.
 TOP_LISTS = 2
+#: So many shared tokens before one are looked at to see that a pair has met already.
+LOOK_BACK = 4
+#: Pairs of sizes that ask for no more common tokens than these in the prefix meet by the places of their tokens.
+FEW = 2
 CACHED_WORDS = 200_000
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -160,15 +165,12 @@ def _classes(measured: DataFrame) -> np.ndarray:
 
 
 def _postings(texts: DataFrame, n: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """(token, node, n, early): the first fragment of every document.
-
-    ``early`` marks its shorter part that a document of at least the same size must meet.
-    """
+    """(token, node, n, place): the first fragment of every document; places count from 0 in the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            tokens, nodes, sizes, counts, early = [], [], [], [], []
+            tokens, nodes, sizes, counts, places = [], [], [], [], []
             for text in batch.column(1):
                 grams = ngram_set(text.as_py(), n, hashes)
                 size = len(grams)
@@ -179,24 +181,24 @@ def _postings(texts: DataFrame, n: int, percent: int, classes: np.ndarray) -> Da
                     nodes.append(_set_hash(grams))
                     sizes.append(size)
                     counts.append(length)
-                    early.append(np.arange(length) < size - least_overlap(size, size, percent) + 1)
+                    places.append(np.arange(length, dtype=np.int32))
             if nodes:
                 columns = (
                     np.concatenate(tokens).view(np.int64), np.repeat(np.array(nodes, np.int64), counts),
-                    np.repeat(np.array(sizes, np.int32), counts), np.concatenate(early),
+                    np.repeat(np.array(sizes, np.int32), counts), np.concatenate(places),
                 )
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "node", "n", "early"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "node", "n", "place"])
 
-    return texts.mapInArrow(run, "token long, node long, n int, early boolean")
+    return texts.mapInArrow(run, "token long, node long, n int, place int")
 
 
 def _shared(postings: DataFrame) -> DataFrame:
-    """(token, node, n, early) of the tokens that at least two different sets hold, one row per token and set.
+    """(token, node, n, place) of the tokens that at least two different sets hold, one row per token and set.
 
     Rows arrive sorted by token and set; a run is passed on while it streams by, so a long one is never held.
     """
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_())
-    names = ["token", "node", "n", "early"]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    names = ["token", "node", "n", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_old = None, False  # the last row, and whether it shares its token with the row before
@@ -219,7 +221,7 @@ def _shared(postings: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([h], t) for h, t in zip(held, kinds)], names)
 
     ordered = postings.repartition("token").sortWithinPartitions("token", "node")
-    return ordered.mapInArrow(run, "token long, node long, n int, early boolean")
+    return ordered.mapInArrow(run, "token long, node long, n int, place int")
 
 
 def _fits(n1: Column, n2: Column, percent: int) -> Column:
@@ -253,6 +255,21 @@ def _first(percent: int) -> Column:
     return _bound(F.least("s.left", "t.left"), percent)
 
 
+def _meeting(percent: int) -> Column:
+    """The token is the one, or among the few, at which a pair of a list is made; every pair at the threshold has one.
+
+    Sizes that ask for more than ``FEW`` common tokens in the prefix: the token may be the first shared one, and none of the
+    tokens that either set holds right before it, short lists first, is in what the other holds there. The first shared
+    token always meets this; without the look back, sets that share a long prefix would meet at most of its tokens.
+    Other sizes, of which so small an overlap says nothing: neither set has more tokens before this one, in the global
+    order, than it may lack in the other. The first shared token in that order always meets this.
+    """
+    fewest = _least_overlap(F.col("s.n"), F.col("t.n"), percent)
+    asked = fewest - F.ceil(F.greatest("s.n", "t.n") * percent / 100)
+    by_place = (F.col("s.place") <= F.col("s.n") - fewest) & (F.col("t.place") <= F.col("t.n") - fewest)
+    return F.when(asked <= FEW, by_place).otherwise(_first(percent) & ~F.arrays_overlap("s.before", "t.before"))
+
+
 def _pair_up(left: DataFrame, right: DataFrame, condition: Column, prefixes: DataFrame, percent: int) -> DataFrame:
     """Distinct (a, b, na, nb), a < b, of rows that share a token, meet ``condition`` and may still reach the threshold.
 
@@ -353,16 +370,19 @@ def _labelled(
     # Bounded: a document's prefix.
     prefixes = scratch.put("prefixes", shared.groupBy("node").agg(F.collect_list("token").alias("tokens")))
     # Tokens that a set has left from this one on, short lists first.
-    left = F.row_number().over(W.partitionBy("node").orderBy(F.desc("c"), F.desc("token")))
+    back = W.partitionBy("node").orderBy(F.desc("c"), F.desc("token"))
+    left, before = F.row_number().over(back), F.collect_list("token").over(back.rowsBetween(1, LOOK_BACK))
+    # The shorter part of the prefix that a document of at least the same size must meet.
+    early = F.col("place") <= F.col("n") - _least_overlap(F.col("n"), F.col("n"), percent)
     sized = shared.join(lists, "token").join(prefixes.select("node", F.size("tokens").alias("k")), "node")
-    marked = scratch.put("marked", sized.withColumn("left", left).withColumn("top", F.col("left") <= TOP_LISTS))
+    marked = scratch.put("marked", sized.withColumns({"left": left, "before": before, "early": early}).withColumn("top", F.col("left") <= TOP_LISTS))
     scratch.drop("shared")
     long_lists = marked.where(F.col("c") > pivots)
     # Every row of a list meets the list's pivots; two pivots meet once.
     drawn = marked.withColumn("pivot", (F.col("c") <= pivots) | _drawn(0, pivots))
     once = ~F.col("s.pivot") | (F.col("s.node") > F.col("t.node"))
     meeting = (F.col("c") <= pivots) | F.col("top")
-    met = F.when(F.col("s.c") <= pivots, _first(percent)).otherwise(_early(percent))
+    met = F.when(F.col("s.c") <= pivots, _meeting(percent)).otherwise(_early(percent))
     pairs = scratch.put("pairs", _pair_up(drawn.where(meeting), drawn.where("pivot"), once & met, prefixes, percent))
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
@@ -384,7 +404,7 @@ def _labelled(
             few = grouped.join(links_of, "node", "left").withColumn("_best", best).where(F.col("_best") <= 2 * pivots).drop("_links", "_best")
             apart, many = (F.col("s.component") != F.col("t.component")) & _early(percent), grouped.where("top")
         else:
-            apart, many, few = (F.col("s.component") < F.col("t.component")) & _first(percent), grouped, grouped
+            apart, many, few = (F.col("s.component") < F.col("t.component")) & _meeting(percent), grouped, grouped
         rest = scratch.put("pairs", _pair_up(many, few, apart, prefixes, percent))
         if not rest.isEmpty():
             links = scratch.put("links", links.union(linked(rest, "more")))

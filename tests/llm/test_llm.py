@@ -409,3 +409,35 @@ def test_long_lists_do_not_bring_sets_together_that_share_too_little(spark):
     assert met.where(N._early(90)).count() == 4 * 15 + 4 * 30 * 29 // 2
     found = met.where(N._first(90)).select("s.node", "t.node").distinct().toDF("a", "b").collect()
     assert {tuple(r) for r in found} == {(i, i + 1) for i in range(0, 30, 2)}
+
+
+def test_a_pair_of_sets_is_made_at_few_of_its_shared_tokens(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    base = [f"t{i}" for i in range(600)]
+    other = [f"s{i}" for i in range(600)]
+    texts = [" ".join(other), " ".join(other[:541]), " ".join(other[30:570])]  # 598, 539 and 538 n-grams: the first two link
+    for i in range(30):  # copies a little too far from one another to link
+        words = list(base)
+        for p in rng.choice(600, 7, replace=False):
+            words[p] = f"r{i}_{p}"
+        texts.append(" ".join(words))
+    rows = [(i, text, "en", "a", 0) for i, text in enumerate(texts)]
+    made, pair_up = [], ngram_join._pair_up
+
+    def counted(left, right, condition, prefixes, percent):
+        s, t = left.alias("s"), right.alias("t")
+        fits = ngram_join._fits(F.col("s.n"), F.col("t.n"), percent)
+        met = s.join(t, (F.col("s.token") == F.col("t.token")) & (F.col("s.node") != F.col("t.node")) & fits & condition)
+        ends = F.least("s.node", "t.node"), F.greatest("s.node", "t.node")
+        made.append(tuple(met.agg(F.count(F.lit(1)), F.count_distinct(*ends)).first()))
+        return pair_up(left, right, condition, prefixes, percent)
+
+    monkeypatch.setattr(ngram_join, "_pair_up", counted)
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(table, pivots=3).collect()}
+    want = brute_components(rows)
+    assert got == want and want[1][1] == 0 and want[2][1] == 2
+    assert len(made) == 3 and made[2][1] > 100
+    assert all(joined <= 2 * pairs for joined, pairs in made), made
