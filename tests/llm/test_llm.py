@@ -170,6 +170,19 @@ def test_url_filter_rules_and_method(spark):
     assert url_filter.viterbi("freebets", [(0, 4, 10), (4, 4, 10), (0, 1, 1)], 100) == ["free", "bets"]
 
 
+def test_url_filter_never_broadcasts_exploded_rows(spark):
+    hosts = ("a.net", "b.org", "freebets.io")
+    pages = spark.createDataFrame([(i, f"http://{hosts[i % 3]}/fr/x{i}", "free bets") for i in range(60)], "page_id long, url string, html string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "40k")  # the pages are below it, the product of two tables of words is not
+    try:
+        names = cut(spark.createDataFrame([("freebets",)], "name string"))
+        tables = [url_filter.judge(pages), url_filter.segment(names, url_filter.word_counts(pages, "html"))]
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in tables]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not [plan for plan in plans if "BuildLeft" in plan]
+
+
 def brute_links(vectors):
     good = [(i, np.array(v, float), lab) for i, v, lab in vectors if lab is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     links = {i: 0 for i, _, _ in vectors}
