@@ -306,6 +306,31 @@ def test_all_pairs_are_measured_in_blocks(spark, monkeypatch, block):
     assert got == {"r": pytest.approx(sum(want) / len(want)), "alone": 0}
 
 
+@pytest.mark.parametrize("name", ["a11_genotypic_diversity"])
+def test_diversity_queries_measure_every_pair(spark, tmp_path, name):
+    import duckdb
+
+    import __spark_entry__ as driver
+
+    rnd = random.Random(3)
+    rows = [(i, [rnd.randrange(-9, 10) / 20 + 0.01 for _ in range(4)], 1) for i in range(120)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["generation"]: r["genotypic_diversity"] for r in driver.queries()[name](spark, str(tmp_path)).collect()}
+    for generation in (0, 1):
+        genes = [[int(float(np.float32(x)) * 20) for x in v] for i, v, _ in rows if i % 2 == generation]
+        want = [math.dist(a, b) for i, a in enumerate(genes) for b in genes[i + 1:]]
+        assert len(want) > 200 and got[generation] == pytest.approx(sum(want) / len(want), abs=1e-6)
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    twin = con.execute(f"select generation, genotypic_diversity from ({driver.oracle_sql()[name]})").fetchall()
+    assert dict(twin) == got
+
+
+def test_distances_of_large_genes_are_exact(spark):
+    pop = members(spark, [((1_000_000_007, 3), 1.0, {}), ((1_000_000_000, 7), 1.0, {})])
+    assert P.genotypic_diversity(pop, None).first()["genotypic_diversity"] == pytest.approx(math.sqrt(65))
+
+
 WHOLE_LABELS = ("a11_genotypic_diversity_all_pairs", "p3_tournament", "p3_winners_come_from_the_pool", "p7_replace_crowding", "w4_e_rank_sliced")
 
 
