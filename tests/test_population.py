@@ -306,7 +306,7 @@ def test_all_pairs_are_measured_in_blocks(spark, monkeypatch, block):
     assert got == {"r": pytest.approx(sum(want) / len(want)), "alone": 0}
 
 
-@pytest.mark.parametrize("name", ["a11_genotypic_diversity", "a13_generation_stats"])
+@pytest.mark.parametrize("name", ["a11_genotypic_diversity", "a13_generation_stats", "w9_population_series"])
 def test_diversity_queries_measure_every_pair(spark, tmp_path, name):
     import duckdb
 
